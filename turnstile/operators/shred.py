@@ -261,7 +261,10 @@ def shred(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Returns (dom_nodes, quarantine). Quarantine rows carry the page html
     back via a join on page_id (only for failed pages)."""
     raw = shred_all(pages)
-    nodes = raw.filter(F.col("kind") != "error").drop("error")
+    # one hash partitioning by page_id for the whole DOM pipeline: later
+    # windows, aggregates and (page_id, ...) joins reuse it without a shuffle
+    nparts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = raw.filter(F.col("kind") != "error").drop("error").repartition(nparts, "page_id")
     bad = raw.filter(F.col("kind") == "error").select("page_id", F.lit("shred").alias("stage"), "error")
     quarantine = bad.join(pages.select(F.col("page_id").cast("long"), "html"), "page_id", "left")
     return nodes, quarantine

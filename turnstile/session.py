@@ -24,6 +24,7 @@ def get_spark(app: str = "turnstile", cpus: str | int | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TURNSTILE_DRIVER_MEM", "16g"))
     )
@@ -49,6 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+def co_partition_by_prefix(spark: SparkSession) -> None:
+    """Joins on ``(page_id, x)`` may reuse a hash partitioning on ``page_id``
+    alone: every DOM table is partitioned that way once, after the shred."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder: cuts lineage
     so a lost executor does not replay the Python shred."""
