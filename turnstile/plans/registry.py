@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnstile.plans import conversations
+from turnstile.plans import conversations, roundtrip
 
 
 def _modules():
-    return [conversations]
+    return [conversations, roundtrip]
 
 
 def queries():
@@ -24,4 +24,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return conversations.session_markdown(spark, sf_dir)
+    return roundtrip.rt_data_attr(spark, sf_dir)
