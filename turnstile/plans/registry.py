@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnstile.plans import conversations, roundtrip
+from turnstile.plans import conversations, pages, roundtrip
 
 
 def _modules():
-    return [conversations, roundtrip]
+    return [conversations, roundtrip, pages]
 
 
 def queries():
