@@ -123,7 +123,11 @@ def to_markdown(m: DataFrame, blocks: DataFrame, tables: bool = True) -> DataFra
     tbl = tag & (F.col("name") == "table") & F.lit(tables) & ~F.col("_ok") & ~F.col("_ok_anc")
     mem = mem.withColumn("_tblm", tbl)
     mem = mem.withColumn("_tbl_anc", has_marked_ancestor(F.col("_tblm"), bw))
-    mem = materialize(mem.withColumn("outer_tbl", F.col("_tblm") & ~F.col("_tbl_anc")))
+    mem = mem.withColumn("outer_tbl", F.col("_tblm") & ~F.col("_tbl_anc"))
+    # a wrapper whose only text is one placeholder stands for that placeholder
+    mem = materialize(mem.withColumn("_ok_rid", enclosing_root(F.col("_ok") & ~F.col("_ok_anc"), bw)))
+    okkey = (mem.filter(F.col("key").isNotNull() & F.col("_ok_rid").isNotNull())
+             .groupBy(*keys, F.col("_ok_rid").alias("node_id")).agg(F.first("key").alias("_okkey")))
     live = mem.filter(~F.col("_ok_anc") & ~F.col("_tbl_anc"))
 
     okroot = F.col("_ok")
@@ -132,8 +136,10 @@ def to_markdown(m: DataFrame, blocks: DataFrame, tables: bool = True) -> DataFra
     pos = [F.col("node_id").alias("k1"), F.lit(0).alias("k2"), F.col("depth").alias("k3"),
            F.col("node_id").alias("src")]
     # text-like rows and placeholder roots
-    ev_text = live.filter(F.col("kind").isin(*TEXT_KINDS) | (tag & okroot)).select(
-        *keys, *pos, F.when(okroot, F.coalesce("key", F.lit(""))).otherwise(F.col("text")).alias("piece"))
+    ev_text = (live.filter(F.col("kind").isin(*TEXT_KINDS) | (tag & okroot))
+               .join(okkey, keys + ["node_id"], "left")
+               .select(*keys, *pos, F.when(okroot, F.coalesce("_okkey", "key", F.lit("")))
+                       .otherwise(F.col("text")).alias("piece")))
     plain = live.filter(tag & ~okroot & ~F.col("outer_tbl") & ~is_nc)
     ev_open = plain.select(*keys, *pos, op.alias("piece"))
     ev_close = plain.select(*keys, F.col("end").alias("k1"), F.lit(1).alias("k2"),
