@@ -40,13 +40,13 @@ UI_LABEL_LINES = (
 
 def strip_ui_labels(c: Column) -> Column:
     # (?d): only "\n" ends a line, as in the reference's regex engine
-    return F.regexp_replace(c, "(?imd)" + UI_LABEL_LINES, "")
+    return F.regexp_replace(c, "(?imdu)" + UI_LABEL_LINES, "")
 
 
 def latex_dollars(c: Column) -> Column:
     """``\\\\(x\\\\)`` -> ``$x$``, ``\\[x\\]`` -> block ``$$x$$``, then
     single ``\\(`` / ``\\)`` -> ``$`` (legacy post-processing order)."""
-    c = F.regexp_replace(c, r"(?d)\\\\\\\((.*?)\\\\\\\)", r"\$$1\$")
+    c = F.regexp_replace(c, r"(?d)\\\\\((.*?)\\\\\)", r"\$$1\$")
     c = F.regexp_replace(c, r"(?s)\\\[(.*?)\\\]", "\n\n\\$\\$$1\\$\\$\n\n")
     c = F.regexp_replace(c, r"\\\(", r"\$")
     return F.regexp_replace(c, r"\\\)", r"\$")

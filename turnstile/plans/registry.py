@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnstile.plans import conversations, pages, roundtrip
+from turnstile.plans import conversations, documents, pages, roundtrip
 
 
 def _modules():
-    return [conversations, roundtrip, pages]
+    return [conversations, roundtrip, pages, documents]
 
 
 def queries():
