@@ -181,3 +181,24 @@ QUERIES = {
     "cluster_top10": cluster_top10,
     "node_paths": node_paths,
 }
+
+
+def stream_parity(spark, sf_dir, n_files: int = 2):
+    """§2.10: the pages table lands as files in a shared folder (under
+    ``spark.checkpoint.dir``), a file stream extracts them micro-batch by
+    micro-batch; the result has the batch job's rows."""
+    import os
+    import uuid
+
+    from turnstile.session import ensure_checkpoint_dir
+    from turnstile.streaming.stream import run_to_completion
+
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    src = os.path.join(base, "in")
+    (_pages(spark, sf_dir).repartition(n_files, "page_id").write.parquet(src))
+    out = run_to_completion(spark, src, os.path.join(base, "out"), os.path.join(base, "ckpt"),
+                            Options(detector="topo"))
+    return out.select("page_id", "idx", "role", "confidence", "strategy", "content")
+
+
+QUERIES["stream_parity"] = stream_parity
