@@ -47,6 +47,7 @@ class Extraction:
     diagnostics: DataFrame    # page_id, strategy, blocks
     quarantine: DataFrame     # page_id, stage, error, html
     metrics: DataFrame        # dom_nodes + protect/noise flags + subtree metrics
+    raw_content: DataFrame | None = None   # page_id, block_idx, content before restore
 
 
 def prepare(pages: DataFrame, opts: Options):
@@ -121,12 +122,12 @@ def assemble(m: DataFrame, blocks: DataFrame, protected: DataFrame, opts: Option
     code = F.when(F.col("nr"), F.col("code_n")).otherwise(F.col("code_f")) > 0
     u, mo = R.role_scores(F.array_join(F.coalesce("classes", F.array().cast("array<string>")), " "), code)
     b = materialize(R.alternate(b.withColumn("strong", R.strong_role(u, mo)), ["page_id"], "block_idx"))
-    md = to_markdown(m, b.select("page_id", "block_idx", "node_id", "nr"), tables=opts.tables)
-    if not opts.raw:
-        md = restore(md, protected, "content", ("page_id", "block_idx"))
+    md_raw = materialize(to_markdown(m, b.select("page_id", "block_idx", "node_id", "nr"), tables=opts.tables))
+    md = md_raw if opts.raw else restore(md_raw, protected, "content", ("page_id", "block_idx"))
     turns = b.join(md, ["page_id", "block_idx"], "left")
-    return turns.select("page_id", F.col("block_idx").alias("idx"), "node_id", "role", "confidence",
-                        F.coalesce("content", F.lit("")).alias("content"), "strategy")
+    turns = turns.select("page_id", F.col("block_idx").alias("idx"), "node_id", "role", "confidence",
+                         F.coalesce("content", F.lit("")).alias("content"), "strategy")
+    return turns, md_raw
 
 
 def extract(pages: DataFrame, opts: Options | None = None) -> Extraction:
@@ -134,6 +135,6 @@ def extract(pages: DataFrame, opts: Options | None = None) -> Extraction:
     m, protected, quarantine = prepare(pages, opts)
     facts = materialize(page_facts(m))
     blocks = materialize(choose_blocks(m, facts, opts))
-    turns = assemble(m, blocks, protected, opts)
+    turns, md_raw = assemble(m, blocks, protected, opts)
     diag = blocks.groupBy("page_id", "strategy").agg(F.count("*").alias("blocks"))
-    return Extraction(turns, protected, diag, quarantine, m)
+    return Extraction(turns, protected, diag, quarantine, m, md_raw)

@@ -65,7 +65,7 @@ def typed_parts(turns: DataFrame, raw_content: DataFrame, protected: DataFrame)
                               F.regexp_extract_all("content", F.lit(KEY_PATTERN), 0).alias("ks"))
     txt = segs.select("page_id", "block_idx", F.posexplode("segs").alias("i", "s")).select(
         "page_id", "block_idx", (F.col("i") * 2).alias("pos"), F.lit("text").alias("type"),
-        F.col("s").alias("content")).filter(F.regexp_replace("content", r"(?U)^\s+|\s+$", "") != "")
+        F.regexp_replace("s", r"(?U)^\s+|\s+$", "").alias("content")).filter(F.col("content") != "")
     ks = segs.select("page_id", "block_idx", F.posexplode("ks").alias("i", "key")).join(
         protected, ["page_id", "key"], "left")
     typ = (F.when(F.col("ptype") == "math", F.when(F.col("formatted").startswith("$$"), "math_block")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnstile.functions.text import py_strip
 from turnstile.operators.extract import Options, extract
+from turnstile.operators.render import typed_parts
 from turnstile.plans.conversations import ORACLE as CONV_ORACLE
 from turnstile.plans.synth_pages import NAV_MD, chat_pages
 from turnstile.sources.tables import read_table
@@ -67,6 +68,30 @@ def table_gfm(spark, sf_dir):
                            py_strip(F.col("content")).alias("gfm"))
 
 
+def rt_parts(spark, sf_dir):
+    """Typed parts of each turn (text / code / mermaid / math_inline)."""
+    ex = extract(chat_pages(spark, sf_dir, "data_attr"), Options(detector="heuristic"))
+    p = typed_parts(ex.turns, ex.raw_content, ex.protected)
+    return p.select(F.col("page_id").alias("conv_id"), F.col("block_idx").alias("idx"), "pos", "type",
+                    "content")
+
+
+def quality_report(spark, sf_dir):
+    """Extracted turns against the truth, per conversation (full outer
+    join on (conv_id, turn)): turns expected, found, detected with their
+    text, roles right, mean confidence."""
+    ext = rt_data_attr(spark, sf_dir).withColumnRenamed("idx", "turn")
+    truth = read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.when(F.col("role") == "assistant", "model").otherwise(F.col("role")).alias("true_role"),
+        "text")
+    j = truth.join(ext, ["conv_id", "turn"], "full_outer")
+    return j.groupBy("conv_id").agg(
+        F.count("text").alias("n_true"), F.count("content").alias("n_found"),
+        F.sum(F.coalesce(F.col("content").startswith(F.col("text")), F.lit(False)).cast("int")).alias("n_detected"),
+        F.sum(F.coalesce(F.col("role") == F.col("true_role"), F.lit(False)).cast("int")).alias("n_role_ok"),
+        F.round(F.avg("confidence"), 6).alias("mean_conf"))
+
+
 NL = "chr(10)"
 _PLANT_SQL = """
   (CASE WHEN role <> 'assistant' THEN NULL
@@ -129,7 +154,30 @@ ORACLE = {
         FROM nation GROUP BY n_regionkey""",
 }
 
+ORACLE["rt_parts"] = f"""
+    WITH p AS {_PLANTED}
+    SELECT conv_id, turn AS idx, 0 AS pos, 'text' AS type,
+           CASE WHEN kind = 'math' THEN text || {NL} || {NL} || 'Formula' ELSE text END AS content FROM p
+    UNION ALL
+    SELECT conv_id, turn, 1, CASE WHEN kind = 'math' THEN 'math_inline' ELSE kind END,
+           CASE kind WHEN 'code' THEN '``` python' || {NL} || raw || {NL} || '```'
+                     WHEN 'mermaid' THEN '```mermaid' || {NL} || raw || {NL} || '```'
+                     ELSE '$' || raw || '$' END
+    FROM p WHERE kind IS NOT NULL
+    UNION ALL
+    SELECT conv_id, turn, 2, 'text', 'here.' FROM p WHERE kind = 'math'"""
+ORACLE["quality_report"] = f"""
+    WITH r AS ({CONV_ORACLE['role_alternation']})
+    SELECT c.conv_id, count(*) AS n_true, count(*) AS n_found, count(*) AS n_detected,
+           sum(CASE WHEN r.inferred_role = (CASE WHEN c.role = 'assistant' THEN 'model' ELSE c.role END)
+                    THEN 1 ELSE 0 END) AS n_role_ok,
+           round(avg(r.confidence), 6) AS mean_conf
+    FROM conversations c JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn
+    GROUP BY c.conv_id"""
+
 QUERIES = {
+    "rt_parts": rt_parts,
+    "quality_report": quality_report,
     "rt_data_attr": rt_data_attr,
     "rt_semantic_class": rt_semantic_class,
     "rt_hr": rt_hr,
