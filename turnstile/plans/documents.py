@@ -75,3 +75,28 @@ QUERIES = {
     "blank_squeeze": blank_squeeze,
     "alternation_anomaly": alternation_anomaly,
 }
+
+
+def role_signal(spark, sf_dir):
+    """Role words in attribute values (the role name) or the first 200
+    characters of the turn text."""
+    from turnstile.operators.predicates import has_role_signal
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn",
+                    has_role_signal(F.create_map(F.lit("class"), F.col("role")), F.col("text")).alias("signal"))
+
+
+def mermaid_wrap(spark, sf_dir):
+    """O38 (set form over paragraphs) on whole documents."""
+    from turnstile.operators.predicates import wrap_mermaid
+    return _docs(spark, sf_dir).select("doc_id", *_digest(wrap_mermaid(F.col("text"))))
+
+
+from turnstile.operators.predicates import ROLE_SIGNAL  # noqa: E402
+
+ORACLE["role_signal"] = f"""
+    SELECT conv_id, turn,
+           regexp_matches(role || ' ' || substr(text, 1, 200), '{ROLE_SIGNAL}') AS signal
+    FROM conversations"""
+QUERIES["role_signal"] = role_signal
+QUERIES["mermaid_wrap"] = mermaid_wrap

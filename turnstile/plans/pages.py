@@ -202,3 +202,54 @@ def stream_parity(spark, sf_dir, n_files: int = 2):
 
 
 QUERIES["stream_parity"] = stream_parity
+
+
+# ---- legacy UI tags (O22, regex form), source rules (O95), node predicates --------
+# Fixed values (O22): legacy UI tags removed with their content.
+LEGACY_UI_TAGS = ["script", "style", "meta", "link", "noscript", "iframe", "template", "svg", "header",
+                  "footer", "nav", "ms-chunk-tab", "ms-turn-chunk-header", "ms-footer-info",
+                  "ms-thought-chunk-header", "ms-turn-header"]
+_VOID_UI = ["meta", "link"]
+LEGACY_UI_BLOCKS = "(?s)" + "|".join(
+    [rf"<{t}\b[^>]*>" for t in _VOID_UI]
+    + [rf"<{t}\b[^>]*>.*?</{t}>" for t in LEGACY_UI_TAGS if t not in _VOID_UI])
+
+
+def page_legacy_ui_removed(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    return p.select("page_id", F.length(F.regexp_replace("html", LEGACY_UI_BLOCKS, "")).alias("chars_after"))
+
+
+def page_source(spark, sf_dir):
+    from turnstile.operators.predicates import source_of
+    return source_of(spark, _pages(spark, sf_dir))
+
+
+def node_predicates(spark, sf_dir):
+    """O20, O21, O89, O94 per page: UI elements, empty tags, scrubbed
+    attributes, and class similarity of each tag with its parent."""
+    from turnstile.operators.predicates import class_jaccard, is_empty_node, is_ui_element, scrub_attrs
+    m, _, _ = prepare(_pages(spark, sf_dir), Options(raw=True))
+    t = m.filter(F.col("kind") == "tag")
+    par = t.select("page_id", F.col("node_id").alias("parent_id"), F.col("classes").alias("pcls"))
+    t = t.join(par, ["page_id", "parent_id"], "left")
+    return t.groupBy("page_id").agg(
+        F.sum(is_ui_element(F.col("classes"), F.col("name")).cast("int")).alias("n_ui"),
+        F.sum(is_empty_node(F.col("ne_f")).cast("int")).alias("n_empty"),
+        F.sum(F.size(scrub_attrs(F.col("attrs")))).alias("n_attrs_kept"),
+        F.round(F.avg(class_jaccard(F.coalesce("classes", F.array().cast("array<string>")),
+                                    F.coalesce("pcls", F.array().cast("array<string>")))), 6).alias("mean_jaccard"))
+
+
+_RULES_SQL = ", ".join(f"('{h}', '{s}')" for h, s in
+                       __import__("turnstile.operators.predicates", fromlist=["x"]).SOURCE_RULES)
+ORACLE["page_legacy_ui_removed"] = (
+    "SELECT page_id, length(regexp_replace(html, '" + LEGACY_UI_BLOCKS + "', '', 'g')) AS chars_after FROM pages")
+ORACLE["page_source"] = f"""
+    SELECT p.page_id, p.host, coalesce(r.source, 'generic') AS source
+    FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS host
+          FROM pages) p
+    LEFT JOIN (VALUES {_RULES_SQL}) r(host, source) ON p.host = r.host"""
+QUERIES["page_legacy_ui_removed"] = page_legacy_ui_removed
+QUERIES["page_source"] = page_source
+QUERIES["node_predicates"] = node_predicates
