@@ -170,3 +170,12 @@ def test_no_body_auto_gives_no_turns_and_fallback(spark):
     t = {r.page_id: r for r in ex.turns.collect()}
     assert 1 not in t            # no body: validation fails and there is no body to fall back on
     assert t[2].content.strip() == "Plain page with a handful of words in it"
+
+
+def test_data_latex_attribute_math(spark):
+    page = ('<html><body><div><p>Ratio <span data-latex="\\frac{a}{b}">a/b</span> holds here</p>'
+            '</div></body></html>')
+    ex = extract(pages_df(spark, [(1, page)]), Options(detector="heuristic"))
+    p = ex.protected.collect()
+    assert [(r.ptype, r.formatted) for r in p] == [("math", "$\\frac{a}{b}$")]
+    assert ex.turns.collect()[0].content.strip() == "Ratio $\\frac{a}{b}$ holds here"

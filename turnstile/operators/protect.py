@@ -141,6 +141,13 @@ def protect(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
           .join(ann_txt.withColumnRenamed("_ann_rid", "ann_id"), ["page_id", "ann_id"], "left")
           .select("page_id", "ann_id", F.coalesce("k", "m.node_id", "ann_id").alias("node_id"),
                   araw.alias("raw"), is_block.alias("blk")))
+    # A formula carried in a data-latex attribute is another math input;
+    # the element itself is the target (inline form)
+    dl = n.filter((F.col("kind") == "tag") & F.col("attrs")["data-latex"].isNotNull() & ~in_code
+                  & ~F.col("_in_merm") & F.col("_mroot").isNull())
+    dl = dl.select("page_id", F.col("node_id").alias("ann_id"), "node_id",
+                   py_strip(F.col("attrs")["data-latex"]).alias("raw"), F.lit(False).alias("blk"))
+    mt = mt.unionByName(dl)
     mt = mt.groupBy("page_id", "node_id").agg(F.min_by(F.struct("raw", "blk"), "ann_id").alias("a"))
     mt = mt.join(info.select("page_id", "node_id", "end"), ["page_id", "node_id"])
     mt = mt.withColumn("_t_anc", has_marked_ancestor(F.lit(True), w)).filter(~F.col("_t_anc"))
