@@ -4,16 +4,16 @@
   count >= ``min_density`` or holding a placeholder;
 * merge (O47): the one truly sequential step. Per page, candidates in
   document order join the newest of the last ``lookback`` clusters whose
-  last member is compatible (O46). It runs as ``groupBy(page_id)
-  .applyInPandas`` with O(n) state; only the few columns the pair test
-  needs cross into Python;
+  last member is compatible (O46). Rows are hash-partitioned by page and
+  sorted by (page_id, node_id); one ``mapInArrow`` pass per partition runs
+  the fold with O(n) state reset at each page boundary (no per-group
+  setup); only the few columns the pair test needs cross into Python;
 * score (O48), vertical dedupe (O49) and champion (O50) are aggregates,
   equi-joins and a page window.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from turnstile.session import materialize
@@ -51,40 +51,61 @@ def _compatible(a, b) -> bool:
     return True
 
 
-def _merge_page(lookback: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        tails: list[tuple[int, tuple]] = []   # (cluster_id, last member) of every cluster
-        out = []
-        for row in pdf.itertuples(index=False):
-            gp = None if pd.isna(row.gparent_id) else int(row.gparent_id)
-            par = None if pd.isna(row.parent_id) else int(row.parent_id)
-            cls = frozenset(row.cls) if row.cls is not None and len(row.cls) else frozenset()
-            cur = (int(row.node_id), int(row.end), par, gp, row.name, cls)
-            hit = None
-            for i in range(len(tails) - 1, max(len(tails) - lookback, 0) - 1, -1):
-                if _compatible(tails[i][1], cur):
-                    hit = i
-                    break
-            if hit is None:
-                tails.append((len(tails), cur))
-                cid = len(tails) - 1
-            else:
-                cid = tails[hit][0]
-                tails[hit] = (cid, cur)
-            out.append((int(row.page_id), cur[0], cid))
-        return pd.DataFrame(out, columns=["page_id", "node_id", "cluster_id"])
+def _fold_partition(lookback: int):
+    """Sequential merge over one partition whose rows are grouped by page and
+    sorted by (page_id, node_id): the state resets at every page boundary,
+    so no per-group setup is paid and each row is visited once."""
+    import pyarrow as pa
+
+    out_schema = pa.schema([("page_id", pa.int64()), ("node_id", pa.int32()), ("cluster_id", pa.int32())])
+
+    def run(batches):
+        page = None
+        tails: list[tuple[int, tuple]] = []
+        for batch in batches:
+            cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            out_p, out_n, out_c = [], [], []
+            for i in range(batch.num_rows):
+                pid = cols["page_id"][i]
+                if pid != page:
+                    page, tails = pid, []
+                cls = cols["cls"][i]
+                cur = (cols["node_id"][i], cols["end"][i], cols["parent_id"][i], cols["gparent_id"][i],
+                       cols["name"][i], frozenset(cls) if cls else frozenset())
+                hit = None
+                for j in range(len(tails) - 1, max(len(tails) - lookback, 0) - 1, -1):
+                    if _compatible(tails[j][1], cur):
+                        hit = j
+                        break
+                if hit is None:
+                    tails.append((len(tails), cur))
+                    cid = len(tails) - 1
+                else:
+                    cid = tails[hit][0]
+                    tails[hit] = (cid, cur)
+                out_p.append(pid)
+                out_n.append(cur[0])
+                out_c.append(cid)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out_p, pa.int64()), pa.array(out_n, pa.int32()), pa.array(out_c, pa.int32())],
+                schema=out_schema)
     return run
 
 
 def merge_clusters(cands: DataFrame, lookback: int = 3) -> DataFrame:
-    """(page_id, node_id, cluster_id); cluster ids follow creation order."""
+    """(page_id, node_id, cluster_id); cluster ids follow creation order.
+
+    Rows are hash-partitioned by page and sorted by (page_id, node_id), then
+    one ``mapInArrow`` pass per partition runs the fold; only the seven
+    columns the pair test needs cross into Python."""
+    nparts = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = cands.select(
         "page_id", "node_id", "end", "parent_id",
         F.try_element_at("path", F.lit(-2)).alias("gparent_id"), "name",
         F.filter(F.coalesce("classes", F.array().cast("array<string>")),
                  lambda c: ~c.rlike(UNSTABLE_CLASS)).alias("cls"))
-    return slim.groupBy("page_id").applyInPandas(_merge_page(lookback), MERGE_SCHEMA)
+    slim = slim.repartition(nparts, "page_id").sortWithinPartitions("page_id", "node_id")
+    return slim.mapInArrow(_fold_partition(lookback), MERGE_SCHEMA)
 
 
 def score_clusters(members: DataFrame, cands: DataFrame, facts: DataFrame) -> DataFrame:

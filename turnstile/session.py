@@ -13,7 +13,7 @@ def get_spark(app: str = "turnstile", cpus: str | int | None = None,
     """Local session used by tests and bench. On a cluster the session is
     supplied by the caller and this function is not used."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
-    parts = shuffle_partitions or int(cpus) * 2
+    parts = shuffle_partitions or int(cpus)
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
