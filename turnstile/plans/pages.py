@@ -253,3 +253,21 @@ ORACLE["page_source"] = f"""
 QUERIES["page_legacy_ui_removed"] = page_legacy_ui_removed
 QUERIES["page_source"] = page_source
 QUERIES["node_predicates"] = node_predicates
+
+
+def legacy_turns(spark, sf_dir):
+    """E3 (legacy monolith) over the real pages: noise strip, parent scoring,
+    role vote, minimum words, confidence marker."""
+    from turnstile.operators.legacy import legacy_extract
+    return legacy_extract(_pages(spark, sf_dir))
+
+
+def rt_legacy(spark, sf_dir):
+    """E3 over the data-attribute chat pages built from conversations."""
+    from turnstile.operators.legacy import legacy_extract
+    from turnstile.plans.synth_pages import chat_pages
+    return legacy_extract(chat_pages(spark, sf_dir, "data_attr")).withColumnRenamed("page_id", "conv_id")
+
+
+QUERIES["legacy_turns"] = legacy_turns
+QUERIES["rt_legacy"] = rt_legacy
