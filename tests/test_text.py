@@ -27,3 +27,14 @@ def test_squeeze_forms(spark):
 
 def test_unicode_word_split(spark):
     assert one(spark, py_words, "a b  c\n d ") == 4
+
+
+def test_chunked_alternation_equals_plain(spark):
+    from turnstile.operators import roles as R
+    import random
+    random.seed(7)
+    rows = [(c, i, random.choice(["user", "model", None, None, None])) for c in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, strong string")
+    a = sorted(tuple(r) for r in R.alternate(df, ["conv_id"], "turn").collect())
+    b = sorted(tuple(r) for r in R.alternate(df, ["conv_id"], "turn", chunk=5).collect())
+    assert a == b

@@ -58,12 +58,40 @@ def context_free_role(user: Column, model: Column) -> Column:
     return F.coalesce(strong_role(user, model), F.lit("user"))
 
 
-def alternate(df: DataFrame, part: list[str], idx: str, strong: str = "strong") -> DataFrame:
-    """Adds ``role`` and ``confidence`` from a nullable ``strong`` column."""
+def _last_strong_plain(df: DataFrame, part: list[str], idx: str, strong: str) -> DataFrame:
     w = Window.partitionBy(*part).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    s_role = F.last(F.col(strong), ignorenulls=True).over(w)
-    s_idx = F.last(F.when(F.col(strong).isNotNull(), F.col(idx)), ignorenulls=True).over(w)
-    df = df.withColumn("_s_role", s_role).withColumn("_s_idx", s_idx)
+    return (df.withColumn("_s_role", F.last(F.col(strong), ignorenulls=True).over(w))
+            .withColumn("_s_idx", F.last(F.when(F.col(strong).isNotNull(), F.col(idx)), ignorenulls=True)
+                        .over(w)))
+
+
+def _last_strong_chunked(df: DataFrame, part: list[str], idx: str, strong: str, chunk: int) -> DataFrame:
+    """Segmented scan for hot groups: windows run inside fixed-size chunks of
+    ``idx`` (bounded tasks); the last strong turn of every earlier chunk is
+    carried in by a window over the per-chunk summaries (one row per chunk,
+    so even a group holding a third of all rows stays small there)."""
+    d = df.withColumn("_chunk", F.floor(F.col(idx) / chunk))
+    inner = Window.partitionBy(*part, "_chunk").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
+    d = (d.withColumn("_l_role", F.last(F.col(strong), ignorenulls=True).over(inner))
+         .withColumn("_l_idx", F.last(F.when(F.col(strong).isNotNull(), F.col(idx)), ignorenulls=True)
+                     .over(inner)))
+    last_in = (d.filter(F.col(strong).isNotNull()).groupBy(*part, "_chunk")
+               .agg(F.max_by(F.struct(F.col(idx).alias("i"), F.col(strong).alias("r")), F.col(idx)).alias("s")))
+    chunks = d.select(*part, "_chunk").distinct().join(last_in, [*part, "_chunk"], "left")
+    cw = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.select(*part, "_chunk", F.last("s", ignorenulls=True).over(cw).alias("_carry"))
+    d = d.join(carry, [*part, "_chunk"], "left")
+    return (d.withColumn("_s_role", F.coalesce("_l_role", F.col("_carry.r")))
+            .withColumn("_s_idx", F.coalesce("_l_idx", F.col("_carry.i")))
+            .drop("_chunk", "_l_role", "_l_idx", "_carry"))
+
+
+def alternate(df: DataFrame, part: list[str], idx: str, strong: str = "strong",
+              chunk: int | None = None) -> DataFrame:
+    """Adds ``role`` and ``confidence`` from a nullable ``strong`` column.
+    ``chunk``: split each group into runs of that many indexes (hot groups)."""
+    df = (_last_strong_chunked(df, part, idx, strong, chunk) if chunk
+          else _last_strong_plain(df, part, idx, strong))
     other = F.when(F.col("_s_role") == "user", F.lit("model")).otherwise(F.lit("user"))
     role = (F.when(F.col(strong).isNotNull(), F.col(strong))
             .when(F.col("_s_role").isNull(),

@@ -14,6 +14,7 @@ from turnstile.sources.tables import read_table
 
 DEFAULT_TITLE = "Chat export"
 DEFAULT_DATE = "2024-01-01T00:00:00"
+TURN_CHUNK = 4096
 
 
 def _conv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,8 @@ def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _conv(spark, sf_dir)
     u, m = R.role_scores(F.col("role"))
     c = c.withColumn("strong", R.strong_role(u, m))
-    return R.alternate(c, ["conv_id"], "turn")
+    # conversations may be hot keys: the role scan runs in bounded chunks
+    return R.alternate(c, ["conv_id"], "turn", chunk=TURN_CHUNK)
 
 
 def role_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
