@@ -36,11 +36,20 @@ def _ordered_concat(col: str, order: str) -> F.Column:
     return F.expr(f"listagg({col}, '') WITHIN GROUP (ORDER BY {order})")
 
 
+def _concat_by_conv(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Ordered concatenation per conversation in two levels: bounded chunks
+    of turns are concatenated first (map-side work spread over tasks), then
+    the few chunk strings of a conversation are joined in order. Returns
+    (conv_id, n_turns, out)."""
+    c = df.withColumn("_chunk", F.floor(F.col("turn") / TURN_CHUNK))
+    part = c.groupBy("conv_id", "_chunk").agg(F.count("*").alias("_n"), _ordered_concat(col, "turn").alias("_s"))
+    return part.groupBy("conv_id").agg(F.sum("_n").alias("n_turns"), _ordered_concat("_s", "_chunk").alias(out))
+
+
 def session_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O63 + O65 + O81 + O83: one Markdown document per conversation."""
     p = _md_pieces(_conv(spark, sf_dir))
-    return (p.groupBy("conv_id")
-            .agg(F.count("*").alias("n_turns"), _ordered_concat("piece", "turn").alias("body"))
+    return (_concat_by_conv(p, "piece", "body")
             .select("conv_id", "n_turns", squeeze_once(F.col("body")).alias("markdown")))
 
 
@@ -48,8 +57,7 @@ def session_frontmatter(spark: SparkSession, sf_dir: str, title: str = DEFAULT_T
                         date: str = DEFAULT_DATE) -> DataFrame:
     """Front matter (title, date parameter, turn count) then the body."""
     p = _md_pieces(_conv(spark, sf_dir))
-    g = p.groupBy("conv_id").agg(F.count("*").alias("n_turns"),
-                                 _ordered_concat("piece", "turn").alias("body"))
+    g = _concat_by_conv(p, "piece", "body")
     doc = F.concat(F.lit(f"---\ntitle: {title}\ndate: {date}\nturns_count: "),
                    F.col("n_turns").cast("string"), F.lit("\n---\n\n"), F.col("body"))
     return g.select("conv_id", "n_turns", squeeze_once(doc).alias("markdown"))
@@ -107,8 +115,7 @@ def turn_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("### Turn "), F.col("turn").cast("string"), F.lit(" - "), F.col("role"),
                     F.lit(" (confidence: "), fmt2(F.col("confidence")), F.lit(")\n> "),
                     preview(F.col("text")), F.lit("\n\n"))
-    g = d.withColumn("line", line).groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"), _ordered_concat("line", "turn").alias("lines"))
+    g = _concat_by_conv(d.withColumn("line", line), "line", "lines")
     head = F.concat(F.lit("# Extraction report - conversation "), F.col("conv_id").cast("string"),
                     F.lit("\n\n- **Turns**: "), F.col("n_turns").cast("string"),
                     F.lit("\n\n## Turns\n\n"), F.col("lines"))
