@@ -179,3 +179,20 @@ def test_data_latex_attribute_math(spark):
     p = ex.protected.collect()
     assert [(r.ptype, r.formatted) for r in p] == [("math", "$\\frac{a}{b}$")]
     assert ex.turns.collect()[0].content.strip() == "Ratio $\\frac{a}{b}$ holds here"
+
+
+def test_signature_detector_format_and_short_readmit(spark):
+    from turnstile.operators.extract import prepare
+    from turnstile.operators.topology import signatures
+    page = ('<html><body><div role="row" data-testid="bar"></div><div id="t">'
+            '<div class="message msg-a1b2c3d4"><p>first message with enough words</p><p>x</p></div>'
+            '<div class="message msg-99887766ff"><p>second message with enough words here</p><p>y</p></div>'
+            '<div class="message msg-aabbccdd"><p>ok</p><p>z</p></div>'
+            '</div></body></html>')
+    m, _, _ = prepare(pages_df(spark, [(1, page)]), Options())
+    sig = {r.sig for r in signatures(m).collect()}
+    assert "div[message+msg](p:2)" in sig and "div[]()role=row;testid=bar" in sig
+    ex = extract(pages_df(spark, [(1, page)]), Options(detector="signature"))
+    got = [r.content.strip() for r in ex.turns.orderBy("idx").collect()]
+    assert got == ["first message with enough words\n\nx", "second message with enough words here\n\ny",
+                   "ok\n\nz"]

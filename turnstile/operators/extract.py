@@ -23,7 +23,7 @@ from turnstile.operators.metrics import mark_noise, page_facts, with_metrics
 from turnstile.operators.probes import heuristic_blocks
 from turnstile.operators.protect import no_protect, protect, restore
 from turnstile.operators.shred import shred
-from turnstile.operators.topology import topo_blocks
+from turnstile.operators.topology import signature_blocks, topo_blocks
 from turnstile.session import co_partition_by_prefix, materialize
 
 MIN_COVERAGE = 0.15
@@ -32,7 +32,7 @@ MIN_COVERAGE = 0.15
 @dataclass
 class Options:
     """Job parameters (the reference's extraction options)."""
-    detector: str = "topo"        # topo | heuristic | auto
+    detector: str = "topo"        # topo | heuristic | auto | signature (spec'd variant)
     raw: bool = False             # O35: skip protect/restore
     tables: bool = True           # O79: tables off -> plain text
     min_density: int = 3
@@ -88,6 +88,10 @@ def choose_blocks(m: DataFrame, facts: DataFrame, opts: Options) -> DataFrame:
         chosen = heuristic_blocks(m).select("page_id", "node_id", F.lit("forced_heuristic").alias("strategy"),
                                             F.lit(False).alias("nr"))
         fb_nr = F.lit(False)
+    elif mode == "signature":
+        chosen = signature_blocks(m).select("page_id", "node_id", F.lit("forced_signature").alias("strategy"),
+                                            F.lit(True).alias("nr"))
+        fb_nr = F.lit(True)
     elif mode == "topo":
         chosen = topo_blocks(m, facts, opts.min_density, opts.lookback).select(
             "page_id", "node_id", F.lit("forced_topo").alias("strategy"), F.lit(True).alias("nr"))

@@ -167,3 +167,75 @@ def fingerprint(m: DataFrame) -> DataFrame:
     sig = F.concat(F.lit("d"), F.col("depth").cast("string"), F.lit("|"), F.col("name"), F.lit("|"),
                    F.array_join(F.array_sort(F.slice(stable, 1, 3)), "+"))
     return m.filter(F.col("kind") == "tag").select("page_id", "node_id", sig.alias("fingerprint"))
+
+
+# ---- signature clustering (O53-O57, the spec'd variant; detector "signature") ----
+SIG_MIN_DENSITY = 3
+
+
+def signatures(m: DataFrame) -> DataFrame:
+    """``name[classes](child:count,...)role=..;testid=..`` per tag, with
+    dynamic class suffixes removed and child tags counted by name."""
+    t = m.filter((F.col("kind") == "tag") & ~F.col("claimed") & ~F.col("in_noise"))
+    counts = (t.filter(F.col("parent_id").isNotNull())
+              .groupBy("page_id", "parent_id", "name").agg(F.count("*").alias("k"))
+              .groupBy("page_id", "parent_id")
+              .agg(F.map_from_entries(F.collect_list(F.struct("name", "k"))).alias("kids")))
+    counts = counts.withColumnRenamed("parent_id", "node_id")
+    t = t.join(counts, ["page_id", "node_id"], "left")
+    norm = F.filter(F.transform(F.coalesce("classes", F.array().cast("array<string>")),
+                                lambda c: F.regexp_replace(F.regexp_replace(c, r"[_-]?[a-f0-9]{6,}", ""),
+                                                           r"[_-]?\d{4,}", "")),
+                    lambda c: c != "")
+    kids = F.coalesce("kids", F.create_map().cast("map<string,bigint>"))
+    kid_sig = F.array_join(F.transform(F.array_sort(F.map_entries(kids)),
+                                       lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    role = F.coalesce(F.col("attrs")["role"], F.lit(""))
+    tid = F.coalesce(F.col("attrs")["data-testid"], F.lit(""))
+    attr_sig = F.when((role != "") | (tid != ""), F.concat(F.lit("role="), role, F.lit(";testid="), tid)) \
+                .otherwise(F.lit(""))
+    sig = F.concat(F.col("name"), F.lit("["), F.array_join(F.array_sort(norm), "+"), F.lit("]("), kid_sig,
+                   F.lit(")"), attr_sig)
+    return t.select("page_id", "node_id", "parent_id", "name", "dens_n", sig.alias("sig"),
+                    F.array_sort(norm).alias("ncls"), kids.alias("kids"))
+
+
+def _compatible_sig(a_name, a_cls, a_kids, b_name, b_cls, b_kids):
+    """Same tag, overlapping classes, child counts within one."""
+    close = F.forall(F.map_values(F.map_zip_with(
+        a_kids, b_kids, lambda k, v1, v2: F.abs(F.coalesce(v1, F.lit(0)) - F.coalesce(v2, F.lit(0))) <= 1)),
+        lambda ok: ok)
+    return (a_name == b_name) & F.arrays_overlap(a_cls, b_cls) & close
+
+
+def signature_blocks(m: DataFrame) -> DataFrame:
+    """O54-O57 -> (page_id, node_id) of the best signature cluster."""
+    s = materialize(signatures(m))
+    # O55 positions among the parent's tag children
+    pos = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
+    s = s.withColumn("ord", F.row_number().over(pos))
+    cand = s.filter(F.col("dens_n") > SIG_MIN_DENSITY)
+    # Same parent and signature, at least two
+    cl = cand.groupBy("page_id", "parent_id", "sig").agg(
+        F.count("*").alias("n"), F.min("node_id").alias("first"), F.first("name").alias("cname"),
+        F.first("ncls").alias("ccls"), F.first("kids").alias("ckids"))
+    cl = cl.filter(F.col("n") >= 2)
+    # Merge a cluster into the previous one under the same parent when compatible
+    w = Window.partitionBy("page_id", "parent_id").orderBy("first")
+    prev = [F.lag(c).over(w) for c in ("cname", "ccls", "ckids")]
+    cl = cl.withColumn("_new", F.coalesce(~_compatible_sig(prev[0], prev[1], prev[2], F.col("cname"),
+                                                          F.col("ccls"), F.col("ckids")), F.lit(True)))
+    cl = cl.withColumn("grp", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    mem = cand.join(cl.select("page_id", "parent_id", "sig", "grp"), ["page_id", "parent_id", "sig"])
+    gw = Window.partitionBy("page_id", "parent_id", "grp").orderBy("ord")
+    mem = mem.withColumn("gap", F.col("ord") - F.lag("ord").over(gw))
+    sc = mem.groupBy("page_id", "parent_id", "grp").agg(
+        F.count("*").alias("n"), F.avg("dens_n").alias("avg_d"), F.var_pop("gap").alias("var_gap"),
+        F.min("node_id").alias("first"))
+    reg = F.when(F.col("n") < 3, F.lit(1.0)).otherwise(1.0 / (1.0 + F.coalesce("var_gap", F.lit(0.0))))
+    sc = sc.withColumn("score", F.col("n") * F.col("avg_d") * reg)
+    bw = Window.partitionBy("page_id").orderBy(F.col("score").desc(), "first")
+    best = sc.withColumn("r", F.row_number().over(bw)).filter(F.col("r") == 1).select("page_id", "parent_id", "grp")
+    sigs = mem.join(best, ["page_id", "parent_id", "grp"]).select("page_id", "parent_id", "sig").distinct()
+    # Short siblings with a winning signature are re-admitted
+    return s.join(sigs, ["page_id", "parent_id", "sig"]).select("page_id", "node_id")

@@ -45,6 +45,12 @@ def rt_topology(spark, sf_dir):
     return _turns(spark, sf_dir, "topology", "topo")
 
 
+def rt_signature(spark, sf_dir):
+    """Template topology with the signature-cluster detector (O53-O57): the
+    message wrappers share parent and signature and win."""
+    return _turns(spark, sf_dir, "topology", "signature")
+
+
 def protect_keys(spark, sf_dir):
     """The placeholder map of the planted blocks."""
     ex = extract(chat_pages(spark, sf_dir, "data_attr"), Options(detector="heuristic"))
@@ -141,6 +147,7 @@ ORACLE = {
         FROM p WHERE conv_id IN (SELECT conv_id FROM few) GROUP BY conv_id""",
     "rt_hr": _PARITY,
     "rt_topology": _PARITY,
+    "rt_signature": _PARITY,
     "protect_keys": f"""
         SELECT conv_id, kind AS ptype, raw,
                '__TSK_' || CASE kind WHEN 'code' THEN 'CODE' WHEN 'mermaid' THEN 'MERM' ELSE 'MATH' END
@@ -182,6 +189,7 @@ QUERIES = {
     "rt_semantic_class": rt_semantic_class,
     "rt_hr": rt_hr,
     "rt_topology": rt_topology,
+    "rt_signature": rt_signature,
     "protect_keys": protect_keys,
     "table_gfm": table_gfm,
 }
