@@ -196,3 +196,14 @@ def test_signature_detector_format_and_short_readmit(spark):
     got = [r.content.strip() for r in ex.turns.orderBy("idx").collect()]
     assert got == ["first message with enough words\n\nx", "second message with enough words here\n\ny",
                    "ok\n\nz"]
+
+
+def test_regroup_fragments_by_message(spark):
+    from turnstile.operators.extract import regroup
+    page = ('<div class="chat"><div class="message user-msg"><p>para one words here</p><p>para two words here</p>'
+            '</div><div class="message bot-msg"><p>para three words here</p><p>para four words here</p></div></div>')
+    ex = extract(pages_df(spark, [(1, page)]), Options(detector="topo"))
+    assert ex.turns.count() == 4
+    got = [(r.role, r.confidence, r.content.strip()) for r in regroup(ex).orderBy("idx").collect()]
+    assert got == [("user", 0.8, "para one words here\n\npara two words here"),
+                   ("model", 0.5, "para three words here\n\npara four words here")]

@@ -142,3 +142,43 @@ def extract(pages: DataFrame, opts: Options | None = None) -> Extraction:
     turns, md_raw = assemble(m, blocks, protected, opts)
     diag = blocks.groupBy("page_id", "strategy").agg(F.count("*").alias("blocks"))
     return Extraction(turns, protected, diag, quarantine, m, md_raw)
+
+
+# Fixed values (O97): classes or test ids that mark a whole message.
+MESSAGE_ANCHOR = r"(?i)message|turn"
+
+
+def regroup(ex: Extraction, opts: Options | None = None) -> DataFrame:
+    """Blocks that sit inside one message become one turn. The group key
+    is the nearest ancestor-or-self whose class string or ``data-testid``
+    names a message/turn (a block with none stays alone); raw block
+    Markdown is concatenated in order, restored, and the role is inferred
+    on the anchor, then alternation runs over the new order."""
+    opts = opts or Options()
+    m = ex.metrics
+    t = ex.turns.select("page_id", F.col("idx").alias("block_idx"), "node_id")
+    cls = F.array_join(F.coalesce("classes", F.array().cast("array<string>")), " ")
+    anchors = m.filter((F.col("kind") == "tag") & (cls.rlike(MESSAGE_ANCHOR)
+                       | F.coalesce(F.col("attrs")["data-testid"], F.lit("")).rlike(MESSAGE_ANCHOR)))
+    anchors = anchors.select("page_id", F.col("node_id").alias("anc"), F.col("depth").alias("adepth"))
+    up = (t.join(m.select("page_id", "node_id", "path"), ["page_id", "node_id"])
+          .select("page_id", "block_idx", "node_id", F.explode(F.concat("path", F.array("node_id"))).alias("anc")))
+    near = (up.join(anchors, ["page_id", "anc"]).groupBy("page_id", "block_idx")
+            .agg(F.max_by("anc", "adepth").alias("anchor")))
+    g = (t.join(near, ["page_id", "block_idx"], "left")
+         .withColumn("key", F.coalesce("anchor", "node_id"))
+         .join(ex.raw_content, ["page_id", "block_idx"], "left"))
+    merged = g.groupBy("page_id", "key").agg(
+        F.min("block_idx").alias("first"),
+        F.expr("listagg(coalesce(content, ''), '') WITHIN GROUP (ORDER BY block_idx)").alias("content"))
+    w = Window.partitionBy("page_id").orderBy("first")
+    merged = merged.withColumn("block_idx", (F.row_number().over(w) - 1).cast("int"))
+    if not opts.raw:
+        merged = restore(merged, ex.protected, "content", ("page_id", "block_idx"))
+    info = m.select("page_id", F.col("node_id").alias("key"), "classes", "code_f", "code_n")
+    merged = merged.join(info, ["page_id", "key"])
+    u, mo = R.role_scores(F.array_join(F.coalesce("classes", F.array().cast("array<string>")), " "),
+                          F.col("code_n") > 0)
+    merged = R.alternate(merged.withColumn("strong", R.strong_role(u, mo)), ["page_id"], "block_idx")
+    return merged.select("page_id", F.col("block_idx").alias("idx"), F.col("key").alias("node_id"), "role",
+                         "confidence", "content")

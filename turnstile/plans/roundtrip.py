@@ -51,6 +51,18 @@ def rt_signature(spark, sf_dir):
     return _turns(spark, sf_dir, "topology", "signature")
 
 
+def rt_regroup(spark, sf_dir):
+    """O97 on the data-attribute pages with the clustering detector: the
+    winning cluster holds fragments of messages, which are regrouped per
+    message anchor. Rows only: which fragments win depends on the page
+    (tested on a fixture in tests/test_extract.py)."""
+    from turnstile.operators.extract import regroup
+    ex = extract(chat_pages(spark, sf_dir, "data_attr"), Options(detector="topo"))
+    r = regroup(ex)
+    return r.select(F.col("page_id").alias("conv_id"), "idx", "role", "confidence",
+                    py_strip(F.col("content")).alias("content"))
+
+
 def protect_keys(spark, sf_dir):
     """The placeholder map of the planted blocks."""
     ex = extract(chat_pages(spark, sf_dir, "data_attr"), Options(detector="heuristic"))
@@ -190,6 +202,7 @@ QUERIES = {
     "rt_hr": rt_hr,
     "rt_topology": rt_topology,
     "rt_signature": rt_signature,
+    "rt_regroup": rt_regroup,
     "protect_keys": protect_keys,
     "table_gfm": table_gfm,
 }
