@@ -182,3 +182,36 @@ def regroup(ex: Extraction, opts: Options | None = None) -> DataFrame:
     merged = R.alternate(merged.withColumn("strong", R.strong_role(u, mo)), ["page_id"], "block_idx")
     return merged.select("page_id", F.col("block_idx").alias("idx"), F.col("key").alias("node_id"), "role",
                          "confidence", "content")
+
+
+# Fixed values (O90): per-source turn rules — turn tag, role attribute (else
+# the first class), content tag, roles kept.
+SOURCE_TURN_RULES = [("aistudio", "ms-chat-turn", "data-turn-role", "ms-text-chunk", "User,Model")]
+
+
+def source_turns(pages: DataFrame, opts: Options | None = None) -> DataFrame:
+    """Turns read by a per-source rule (the rule table is a fixed, tiny
+    broadcast side). Content is the Markdown of the first content tag."""
+    opts = opts or Options()
+    spark = pages.sparkSession
+    m, protected, _ = prepare(pages, opts)
+    rules = spark.createDataFrame(SOURCE_TURN_RULES, "source string, name string, role_attr string, "
+                                                     "content_tag string, keep string")
+    turns = (m.filter(F.col("kind") == "tag").join(F.broadcast(rules), "name")
+             .select("page_id", F.col("node_id").alias("turn_id"), "content_tag", "keep",
+                     F.coalesce(F.col("attrs")[F.col("role_attr")],
+                                F.try_element_at(F.col("classes"), F.lit(1))).alias("label")))
+    turns = turns.filter(F.array_contains(F.split("keep", ","), F.col("label")))
+    chunks = (m.filter(F.col("kind") == "tag")
+              .select("page_id", "node_id", "name", F.explode("path").alias("turn_id")))
+    first = (chunks.join(turns, ["page_id", "turn_id"]).filter(F.col("name") == F.col("content_tag"))
+             .groupBy("page_id", "turn_id", "label").agg(F.min("node_id").alias("node_id")))
+    w = Window.partitionBy("page_id").orderBy("turn_id")
+    blocks = materialize(first.withColumn("block_idx", (F.row_number().over(w) - 1).cast("int"))
+                         .withColumn("nr", F.lit(False)))
+    md = to_markdown(m, blocks.select("page_id", "block_idx", "node_id", "nr"), tables=opts.tables)
+    if not opts.raw:
+        md = restore(md, protected, "content", ("page_id", "block_idx"))
+    return blocks.join(md, ["page_id", "block_idx"], "left").select(
+        "page_id", F.col("block_idx").alias("idx"), F.col("label").alias("role"),
+        F.coalesce("content", F.lit("")).alias("content"))

@@ -63,6 +63,14 @@ def rt_regroup(spark, sf_dir):
                     py_strip(F.col("content")).alias("content"))
 
 
+def rt_source_rule(spark, sf_dir):
+    """Studio-style pages read by the per-source rule; system turns are
+    not kept by the rule."""
+    from turnstile.operators.extract import source_turns
+    t = source_turns(chat_pages(spark, sf_dir, "studio"))
+    return t.select(F.col("page_id").alias("conv_id"), "idx", "role", py_strip(F.col("content")).alias("content"))
+
+
 def protect_keys(spark, sf_dir):
     """The placeholder map of the planted blocks."""
     ex = extract(chat_pages(spark, sf_dir, "data_attr"), Options(detector="heuristic"))
@@ -173,6 +181,10 @@ ORACLE = {
         FROM nation GROUP BY n_regionkey""",
 }
 
+ORACLE["rt_source_rule"] = """
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx,
+           CASE WHEN role = 'user' THEN 'User' ELSE 'Model' END AS role, text AS content
+    FROM conversations WHERE role IN ('user', 'assistant')"""
 ORACLE["rt_parts"] = f"""
     WITH p AS {_PLANTED}
     SELECT conv_id, turn AS idx, 0 AS pos, 'text' AS type,
@@ -202,6 +214,7 @@ QUERIES = {
     "rt_hr": rt_hr,
     "rt_topology": rt_topology,
     "rt_signature": rt_signature,
+    "rt_source_rule": rt_source_rule,
     "rt_regroup": rt_regroup,
     "protect_keys": protect_keys,
     "table_gfm": table_gfm,

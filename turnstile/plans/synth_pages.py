@@ -7,6 +7,7 @@ Templates
 * ``semantic``   — ``div.message.<role>-message``
 * ``separator``  — plain ``div`` turns separated by ``hr``
 * ``topology``   — ``div.chat > div.msg > div.content`` without role words
+* ``studio``     — ``ms-chat-turn[data-turn-role] > div > ms-text-chunk`` (per-source rule)
 Each page carries a role-marked nav and banner and a script as noise.
 Assistant turns of the first two templates carry a planted code block,
 diagram or formula, chosen by a hash of ``(conv_id, turn)``.
@@ -67,6 +68,11 @@ def _turn_html(template: str) -> Column:
                         F.lit("</div>"))
     if template == "topology":
         return F.concat(F.lit('<div class="msg"><div class="content">'), text, F.lit("</div></div>"))
+    if template == "studio":
+        label = F.when(role == "user", F.lit("User")).when(role == "assistant", F.lit("Model")) \
+                 .otherwise(F.lit("System"))
+        return F.concat(F.lit('<ms-chat-turn data-turn-role="'), label, F.lit('"><div class="turn-container">'
+                              '<ms-text-chunk><p>'), text, F.lit("</p></ms-text-chunk></div></ms-chat-turn>"))
     raise ValueError(template)
 
 
