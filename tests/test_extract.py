@@ -207,3 +207,11 @@ def test_regroup_fragments_by_message(spark):
     got = [(r.role, r.confidence, r.content.strip()) for r in regroup(ex).orderBy("idx").collect()]
     assert got == [("user", 0.8, "para one words here\n\npara two words here"),
                    ("model", 0.5, "para three words here\n\npara four words here")]
+
+
+def test_code_without_language_class(spark):
+    page = "<html><body><div><pre><code>x = 1</code></pre><p>after the code block</p></div></body></html>"
+    ex = extract(pages_df(spark, [(1, page)]), Options(detector="heuristic"))
+    p = ex.protected.collect()
+    assert [(r.ptype, r.language, r.formatted) for r in p] == [("code", "", "``` \nx = 1\n```")]
+    assert "``` \nx = 1\n```" in ex.turns.collect()[0].content

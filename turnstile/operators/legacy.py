@@ -211,3 +211,51 @@ def render_legacy(turns: DataFrame) -> DataFrame:
                      F.col("content"), F.lit("\n\n---\n\n"))
     return turns.withColumn("piece", piece).groupBy("page_id").agg(
         F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY idx)").alias("markdown"))
+
+
+# Fixed values (O36): legacy diagram holders and their opening keywords.
+LEGACY_DIAGRAM_CLASS = r"(?i)mermaid|code-block"
+LEGACY_DIAGRAM_OPEN = (r"(?i)^(graph|flowchart|sequenceDiagram|classDiagram|stateDiagram|erDiagram|gantt|pie|"
+                       r"gitGraph|journey|C4Context|mindmap|timeline)")
+LEGACY_DIAGRAM_PREFIX = r"(?s)^.*?(\{.*?\}\}%%|%%\{.*?\}\}%%)"
+
+
+def legacy_code_blocks(m: DataFrame) -> DataFrame:
+    """The monolith's code protect, per page. ``pre``: language from the
+    last descendant element carrying a ``language-x`` class (``mermaid`` in
+    the pre's own class wins), text = its strings joined by newlines,
+    stripped. ``div.mermaid|code-block`` whose stripped text opens with a
+    diagram keyword: a fenced mermaid block, technical prefix removed.
+    Returns (page_id, node_id, kind, lang, formatted)."""
+    w = page_window()
+    tag = F.col("kind") == "tag"
+    n = m.withColumn("_pre_anc", has_marked_ancestor(tag & (F.col("name") == "pre"), w))
+    pres = n.filter(tag & (F.col("name") == "pre") & ~F.col("_pre_anc"))
+    desc = (n.filter(tag).select("page_id", F.col("node_id").alias("d"), "classes",
+                                 F.explode("path").alias("node_id"))
+            .join(pres.select("page_id", "node_id"), ["page_id", "node_id"]))
+    lang_of = F.try_element_at(F.filter(F.transform(F.coalesce("classes", _empty()),
+                                                    lambda c: F.regexp_extract(c, r"^language-(\w+)", 1)),
+                                        lambda x: x != ""), F.lit(1))
+    langs = (desc.withColumn("lg", lang_of).filter(F.col("lg").isNotNull())
+             .groupBy("page_id", "node_id").agg(F.max_by("lg", "d").alias("lg")))
+    texts = (n.filter(F.col("kind") == "text").select("page_id", F.col("node_id").alias("src"), "text",
+                                                       F.explode("path").alias("node_id"))
+             .join(pres.select("page_id", "node_id"), ["page_id", "node_id"])
+             .groupBy("page_id", "node_id")
+             .agg(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY src)").alias("txt")))
+    mermaid_pre = F.array_join(F.coalesce("classes", _empty()), " ").contains("mermaid")
+    code = (pres.select("page_id", "node_id", mermaid_pre.alias("mp"))
+            .join(langs, ["page_id", "node_id"], "left").join(texts, ["page_id", "node_id"], "left"))
+    lang = F.when(F.col("mp"), F.lit("mermaid")).otherwise(F.coalesce("lg", F.lit("")))
+    body = F.regexp_replace(F.coalesce("txt", F.lit("")), r"(?U)^\s+|\s+$", "")
+    code = code.select("page_id", "node_id", F.lit("code").alias("kind"), lang.alias("lang"),
+                       F.concat(F.lit("```"), lang, F.lit("\n"), body, F.lit("\n```")).alias("formatted"))
+    divs = n.filter(tag & (F.col("name") == "div") & ~F.col("_pre_anc")
+                    & F.array_join(F.coalesce("classes", _empty()), " ").rlike(LEGACY_DIAGRAM_CLASS))
+    dt = _subtree_text(n.withColumn("gone", F.lit(False)), divs.select("page_id", "node_id"), strip=False)
+    dt = dt.withColumn("s", F.regexp_replace("txt", r"(?U)^\s+|\s+$", "")).filter(F.col("s").rlike(LEGACY_DIAGRAM_OPEN))
+    clean = F.regexp_replace(F.regexp_replace("s", LEGACY_DIAGRAM_PREFIX, ""), r"(?U)^\s+|\s+$", "")
+    merm = dt.select("page_id", "node_id", F.lit("mermaid").alias("kind"), F.lit("mermaid").alias("lang"),
+                     F.concat(F.lit("```mermaid\n"), clean, F.lit("\n```")).alias("formatted"))
+    return code.unionByName(merm)

@@ -76,7 +76,7 @@ def protect(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
              .select("page_id", "_code_rid")
              .join(code_txt, ["page_id", "_code_rid"], "left")
              .join(first_code, ["page_id", "_code_rid"], "left"))
-    lang = F.coalesce(F.replace(F.element_at(F.filter("c.classes", lambda x: x.startswith("language-")), 1),
+    lang = F.coalesce(F.replace(F.try_element_at(F.filter("c.classes", lambda x: x.startswith("language-")), F.lit(1)),
                                 F.lit("language-"), F.lit("")), F.lit(""))
     raw = F.coalesce(F.col("txt"), F.lit(""))
     code_p = roots.select(

@@ -71,6 +71,15 @@ def rt_source_rule(spark, sf_dir):
     return t.select(F.col("page_id").alias("conv_id"), "idx", "role", py_strip(F.col("content")).alias("content"))
 
 
+def legacy_code(spark, sf_dir):
+    """O36 on the data-attribute pages: the planted code blocks in the
+    monolith's fence format (no space after the fence)."""
+    from turnstile.operators.extract import Options as _O, prepare
+    from turnstile.operators.legacy import legacy_code_blocks
+    m, _, _ = prepare(chat_pages(spark, sf_dir, "data_attr"), _O(raw=True))
+    return legacy_code_blocks(m).select(F.col("page_id").alias("conv_id"), "kind", "lang", "formatted")
+
+
 def protect_keys(spark, sf_dir):
     """The placeholder map of the planted blocks."""
     ex = extract(chat_pages(spark, sf_dir, "data_attr"), Options(detector="heuristic"))
@@ -185,6 +194,9 @@ ORACLE["rt_source_rule"] = """
     SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx,
            CASE WHEN role = 'user' THEN 'User' ELSE 'Model' END AS role, text AS content
     FROM conversations WHERE role IN ('user', 'assistant')"""
+ORACLE["legacy_code"] = f"""
+    SELECT conv_id, 'code' AS kind, 'python' AS lang, '```python' || {NL} || raw || {NL} || '```' AS formatted
+    FROM {_PLANTED} WHERE kind = 'code'"""
 ORACLE["rt_parts"] = f"""
     WITH p AS {_PLANTED}
     SELECT conv_id, turn AS idx, 0 AS pos, 'text' AS type,
@@ -214,6 +226,7 @@ QUERIES = {
     "rt_hr": rt_hr,
     "rt_topology": rt_topology,
     "rt_signature": rt_signature,
+    "legacy_code": legacy_code,
     "rt_source_rule": rt_source_rule,
     "rt_regroup": rt_regroup,
     "protect_keys": protect_keys,
