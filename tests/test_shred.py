@@ -59,3 +59,13 @@ def test_nested_set_intervals_are_consistent():
         if kids:
             assert r["end"] == max(k["end"] for k in kids)
         assert r["node_id"] <= r["end"]
+
+
+def test_source_spans():
+    h = '<html>\n<body><div class="a">Hi <b>there</b></div><br><p>x</body></html>'
+    rs = rows(h)
+    span = {r["name"] or r["text"]: h[r["src_start"]:r["src_end"]] for r in rs}
+    assert span["div"] == '<div class="a">Hi <b>there</b></div>'
+    assert span["b"] == "<b>there</b>" and span["br"] == "<br>" and span["p"] == "<p>x"
+    assert span["body"] == '<body><div class="a">Hi <b>there</b></div><br><p>x</body>'
+    assert span["there"] == "there"

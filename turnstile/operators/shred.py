@@ -53,6 +53,8 @@ NODE_SCHEMA = T.StructType([
     T.StructField("text", T.StringType()),
     T.StructField("words", T.IntegerType()),
     T.StructField("nonempty", T.IntegerType()),
+    T.StructField("src_start", T.IntegerType()),
+    T.StructField("src_end", T.IntegerType()),
     T.StructField("error", T.StringType()),
 ])
 
@@ -62,15 +64,25 @@ _ARROW_SCHEMA = pa.schema([
     ("classes", pa.list_(pa.string())), ("parent_id", pa.int32()),
     ("parent_name", pa.string()), ("depth", pa.int32()), ("end", pa.int32()),
     ("path", pa.list_(pa.int32())), ("text", pa.string()),
-    ("words", pa.int32()), ("nonempty", pa.int32()), ("error", pa.string()),
+    ("words", pa.int32()), ("nonempty", pa.int32()), ("src_start", pa.int32()), ("src_end", pa.int32()),
+    ("error", pa.string()),
 ])
 
 
 class _RowBuilder(HTMLParser):
     """Turns one page into node rows (lists of column values)."""
 
-    def __init__(self) -> None:
+    def __init__(self, html: str = "") -> None:
         super().__init__(convert_charrefs=True)
+        # absolute character offset of each line start (for source spans, O92)
+        self.line_starts = [0]
+        pos = html.find("\n")
+        while pos != -1:
+            self.line_starts.append(pos + 1)
+            pos = html.find("\n", pos + 1)
+        self.starts: list[int] = []
+        self.src_ends: list[int] = []
+        self.buf_start = 0
         self.ids: list[int] = []
         self.kinds: list[str] = []
         self.names: list[str | None] = []
@@ -92,8 +104,15 @@ class _RowBuilder(HTMLParser):
         self.stack_names.append("#document")
 
     # -- row emission -------------------------------------------------
-    def _add(self, kind, name, attrs, classes, text) -> int:
+    def _here(self) -> int:
+        line, col = self.getpos()
+        return self.line_starts[line - 1] + col
+
+    def _add(self, kind, name, attrs, classes, text, start=None, end=None) -> int:
         nid = len(self.ids)
+        at = self._here() if start is None else start
+        self.starts.append(at)
+        self.src_ends.append(at if end is None else end)
         parent = self.stack[-1] if self.stack else None
         self.ids.append(nid)
         self.kinds.append(kind)
@@ -121,18 +140,19 @@ class _RowBuilder(HTMLParser):
             if n in STRING_CONTAINERS:
                 kind = n
                 break
-        self._add(kind, None, None, None, s)
+        self._add(kind, None, None, None, s, start=self.buf_start, end=self._here())
 
     def _push(self, nid: int, name: str) -> None:
         self.stack.append(nid)
         self.stack_names.append(name)
         self.open_count[name] = self.open_count.get(name, 0) + 1
 
-    def _pop(self) -> str:
+    def _pop(self, src_end: int | None = None) -> str:
         nid = self.stack.pop()
         name = self.stack_names.pop()
         self.open_count[name] -= 1
         self.ends[nid] = len(self.ids) - 1
+        self.src_ends[nid] = self._here() if src_end is None else src_end
         return name
 
     # -- tokenizer callbacks -----------------------------------------
@@ -142,7 +162,9 @@ class _RowBuilder(HTMLParser):
         for k, v in attrs:
             amap[k] = "" if v is None else v
         classes = amap["class"].split() if "class" in amap else []
-        nid = self._add("tag", tag, list(amap.items()), classes, None)
+        raw = self.get_starttag_text() or ""
+        here = self._here()
+        nid = self._add("tag", tag, list(amap.items()), classes, None, start=here, end=here + len(raw))
         if self_closing:
             return
         if tag in VOID_ELEMENTS:
@@ -160,11 +182,16 @@ class _RowBuilder(HTMLParser):
             return
         if not self.open_count.get(tag):
             return
+        here = self._here()
         while len(self.stack) > 1:
-            if self._pop() == tag:
+            if self.stack_names[-1] == tag:
+                self._pop(here + len(tag) + 3)
                 break
+            self._pop(here)
 
     def handle_data(self, data):
+        if not self.buf:
+            self.buf_start = self._here()
         self.buf.append(data)
 
     def handle_comment(self, data):
@@ -186,20 +213,22 @@ class _RowBuilder(HTMLParser):
         self._flush()
         self._add("pi", None, None, None, data)
 
-    def finish(self) -> None:
+    def finish(self, total: int = 0) -> None:
         self.close()
         self._flush()
         while len(self.stack) > 1:
-            self._pop()
+            self._pop(total)
         self.ends[0] = len(self.ids) - 1
+        self.src_ends[0] = total
 
 
 def _page_columns(page_id: int, html: str | None):
-    b = _RowBuilder()
+    html = html or ""
+    b = _RowBuilder(html)
     err = None
     try:
-        b.feed(html or "")
-        b.finish()
+        b.feed(html)
+        b.finish(len(html))
     except Exception:  # quarantine, never fail the job on one page
         err = traceback.format_exc(limit=3)
     n = len(b.ids)
@@ -217,7 +246,7 @@ def _page_columns(page_id: int, html: str | None):
         "name": b.names, "attrs": b.attrs, "classes": b.classes,
         "parent_id": b.parents, "parent_name": b.pnames, "depth": b.depths,
         "end": b.ends, "path": b.paths, "text": b.texts, "words": words,
-        "nonempty": nonempty, "error": [None] * n,
+        "nonempty": nonempty, "src_start": b.starts, "src_end": b.src_ends, "error": [None] * n,
     }
     if err is not None:
         cols = {k: [v[0]] if k == "page_id" else [None] for k, v in cols.items()}

@@ -271,3 +271,21 @@ def rt_legacy(spark, sf_dir):
 
 QUERIES["legacy_turns"] = legacy_turns
 QUERIES["rt_legacy"] = rt_legacy
+
+
+def page_markup_ratio(spark, sf_dir):
+    """Visible text characters over source characters, per tag; the page
+    row carries the body's ratio and the mean over its tags."""
+    from turnstile.operators.dom import subtree_sums
+    m, _, _ = prepare(_pages(spark, sf_dir), Options(raw=True))
+    chars = F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
+    s = subtree_sums(m, {"c": F.when(F.col("kind") == "text", chars).otherwise(0)})
+    t = m.join(s, ["page_id", "node_id"]).filter(F.col("kind") == "tag")
+    span = (F.col("src_end") - F.col("src_start")).cast("double")
+    t = t.withColumn("ratio", F.when(span > 0, F.col("sum_c") / span))
+    return t.groupBy("page_id").agg(
+        F.round(F.max(F.when(F.col("name") == "body", F.col("ratio"))), 6).alias("body_ratio"),
+        F.round(F.avg("ratio"), 6).alias("mean_tag_ratio"))
+
+
+QUERIES["page_markup_ratio"] = page_markup_ratio
