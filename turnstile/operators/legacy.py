@@ -12,8 +12,8 @@
   with a role signal is a block;
 * O62: role vote per block (attributes, short child labels, length, parity).
 
-Block content uses the package's Markdown converter on the legacy tree;
-the monolith's own conversion rules (O80) are not rebuilt.
+Block content uses the monolith's own conversion rules (O80, see
+``legacy_markdown.py``).
 """
 
 from __future__ import annotations
@@ -186,16 +186,15 @@ def legacy_extract(pages: DataFrame, min_words: int = 3) -> DataFrame:
     content, marker)."""
     from turnstile.functions.text import py_strip, py_words
     from turnstile.operators.extract import Options, prepare
-    from turnstile.operators.markdown import to_markdown
 
     m, _, _ = prepare(pages, Options(raw=True))
     t = legacy_tree(m)
     blocks = materialize(legacy_blocks(t))
     roles = legacy_roles(t, blocks)
-    conv = t.withColumn("in_noise", F.col("gone"))
-    md = to_markdown(conv, blocks.select("page_id", "block_idx", "node_id", F.lit(True).alias("nr")))
+    from turnstile.operators.legacy_markdown import legacy_to_markdown
+    md = legacy_to_markdown(t, blocks)
     out = roles.join(md, ["page_id", "block_idx"], "left").withColumn(
-        "content", py_strip(F.coalesce("content", F.lit(""))))
+        "content", F.coalesce("content", F.lit("")))
     out = out.filter(py_words(F.col("content")) >= min_words)
     marker = F.when(F.col("confidence") < 0.7, F.concat(
         F.lit("<!-- role confidence: "), F.bround(F.col("confidence") * 100, 0).cast("int").cast("string"),
