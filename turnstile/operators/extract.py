@@ -215,3 +215,51 @@ def source_turns(pages: DataFrame, opts: Options | None = None) -> DataFrame:
     return blocks.join(md, ["page_id", "block_idx"], "left").select(
         "page_id", F.col("block_idx").alias("idx"), F.col("label").alias("role"),
         F.coalesce("content", F.lit("")).alias("content"))
+
+
+def clean_text(m: DataFrame, roots: DataFrame) -> DataFrame:
+    """The stripped, non-empty strings of each root's subtree joined by a
+    single space. roots(page_id, node_id) -> (page_id, node_id, clean_text)."""
+    t = m.filter((F.col("kind") == "text") & ~F.col("claimed"))
+    t = t.select("page_id", F.col("node_id").alias("src"),
+                 F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("t"),
+                 F.explode(F.concat("path", F.array("node_id"))).alias("node_id")).filter(F.col("t") != "")
+    j = t.join(roots.select("page_id", "node_id"), ["page_id", "node_id"])
+    out = j.groupBy("page_id", "node_id").agg(
+        F.expr("listagg(t, ' ') WITHIN GROUP (ORDER BY src)").alias("clean_text"))
+    return roots.select("page_id", "node_id").join(out, ["page_id", "node_id"], "left").select(
+        "page_id", "node_id", F.coalesce("clean_text", F.lit("")).alias("clean_text"))
+
+
+def hr_group_turns(pages: DataFrame, opts: Options | None = None) -> DataFrame:
+    """O44 ("flux", spec only in the reference): under the parent with most
+    direct ``hr`` children, the siblings between two separators form one
+    turn; group id = running count of ``hr`` over the siblings. Each sibling
+    is converted, then a group's Markdown is concatenated in order."""
+    from turnstile.operators.probes import _tags
+    opts = opts or Options()
+    m, protected, _ = prepare(pages, opts)
+    t = _tags(m)
+    hrs = t.filter(F.col("name") == "hr").groupBy("page_id", "parent_id").agg(F.count("*").alias("n"))
+    best = hrs.groupBy("page_id").agg(
+        F.min_by("parent_id", F.struct((-F.col("n")).alias("a"), F.col("parent_id").alias("b"))).alias("parent_id"))
+    kids = t.filter(~F.col("name").isin("script", "style")).join(best, ["page_id", "parent_id"])
+    w = Window.partitionBy("page_id").orderBy("node_id")
+    kids = kids.withColumn("grp", F.sum((F.col("name") == "hr").cast("int")).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)))
+    kids = kids.filter(F.col("name") != "hr")
+    blocks = materialize(kids.select("page_id", "node_id", "grp", "classes", "code_f")
+                         .withColumn("block_idx", (F.row_number().over(w) - 1).cast("int")))
+    md = to_markdown(m, blocks.select("page_id", "block_idx", "node_id", F.lit(False).alias("nr")),
+                     tables=opts.tables)
+    g = (blocks.join(md, ["page_id", "block_idx"], "left").groupBy("page_id", "grp")
+         .agg(F.expr("listagg(coalesce(content, ''), '') WITHIN GROUP (ORDER BY block_idx)").alias("content"),
+              F.min_by(F.struct("classes", "code_f"), "block_idx").alias("first")))
+    gw = Window.partitionBy("page_id").orderBy("grp")
+    g = g.withColumn("block_idx", (F.row_number().over(gw) - 1).cast("int"))
+    if not opts.raw:
+        g = restore(g, protected, "content", ("page_id", "block_idx"))
+    u, mo = R.role_scores(F.array_join(F.coalesce("first.classes", F.array().cast("array<string>")), " "),
+                          F.col("first.code_f") > 0)
+    g = R.alternate(g.withColumn("strong", R.strong_role(u, mo)), ["page_id"], "block_idx")
+    return g.select("page_id", F.col("block_idx").alias("idx"), "role", "confidence", "content")

@@ -82,6 +82,20 @@ def session_json_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("conv_id", F.to_json(sess).alias("json"))
 
 
+def session_yaml_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The YAML form carries the same session without confidence; JSON
+    is valid YAML 1.2, so the document is written as JSON text."""
+    c = _conv(spark, sf_dir)
+    turn = F.struct(F.col("turn").alias("index"), _model_role(F.col("role")).alias("role"),
+                    F.array(F.struct(F.lit("text").alias("type"),
+                                     F.col("text").alias("content"))).alias("content"))
+    g = c.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", turn.alias("t")))).alias("ts"))
+    sess = F.struct(F.struct(F.md5(F.col("conv_id").cast("string")).alias("id"),
+                             F.transform("ts", lambda x: x["t"]).alias("turns")).alias("session"))
+    return g.select("conv_id", F.to_json(sess).alias("yaml"))
+
+
 def turn_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O17 on turn text: words of the stripped text, and characters."""
     c = _conv(spark, sf_dir)
@@ -275,8 +289,17 @@ ORACLE["session_valid"] = """
             FROM conversations)
       GROUP BY conv_id)"""
 
+ORACLE["session_yaml_turns"] = """
+    SELECT conv_id, CAST(to_json({'session': {'id': md5(CAST(conv_id AS VARCHAR)),
+           'turns': list({'index': turn,
+                          'role': CASE WHEN role = 'assistant' THEN 'model' ELSE role END,
+                          'content': [{'type': 'text', 'content': text}]} ORDER BY turn)}})
+           AS VARCHAR) AS yaml
+    FROM conversations GROUP BY conv_id"""
+
 QUERIES = {
     "session_markdown": session_markdown,
+    "session_yaml_turns": session_yaml_turns,
     "session_frontmatter": session_frontmatter,
     "session_json_turns": session_json_turns,
     "turn_density": turn_density,

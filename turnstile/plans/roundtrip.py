@@ -80,6 +80,23 @@ def legacy_code(spark, sf_dir):
     return legacy_code_blocks(m).select(F.col("page_id").alias("conv_id"), "kind", "lang", "formatted")
 
 
+def rt_hr_groups(spark, sf_dir):
+    """The separator pages read as groups between ``hr`` separators."""
+    from turnstile.operators.extract import hr_group_turns
+    t = hr_group_turns(chat_pages(spark, sf_dir, "separator"))
+    return t.select(F.col("page_id").alias("conv_id"), "idx", "role", "confidence",
+                    py_strip(F.col("content")).alias("content"))
+
+
+def rt_clean_text(spark, sf_dir):
+    """Clean text of each detected turn block on the separator pages."""
+    from turnstile.operators.extract import clean_text
+    ex = extract(chat_pages(spark, sf_dir, "separator"), Options(detector="heuristic"))
+    c = clean_text(ex.metrics, ex.turns.select("page_id", "node_id"))
+    return (ex.turns.join(c, ["page_id", "node_id"])
+            .select(F.col("page_id").alias("conv_id"), "idx", "clean_text"))
+
+
 def protect_keys(spark, sf_dir):
     """The placeholder map of the planted blocks."""
     ex = extract(chat_pages(spark, sf_dir, "data_attr"), Options(detector="heuristic"))
@@ -177,6 +194,8 @@ ORACLE = {
     "rt_hr": _PARITY,
     "rt_topology": _PARITY,
     "rt_signature": _PARITY,
+    "rt_hr_groups": _PARITY,
+    "rt_clean_text": "SELECT conv_id, turn AS idx, trim(text) AS clean_text FROM conversations",
     "protect_keys": f"""
         SELECT conv_id, kind AS ptype, raw,
                '__TSK_' || CASE kind WHEN 'code' THEN 'CODE' WHEN 'mermaid' THEN 'MERM' ELSE 'MATH' END
@@ -226,6 +245,8 @@ QUERIES = {
     "rt_hr": rt_hr,
     "rt_topology": rt_topology,
     "rt_signature": rt_signature,
+    "rt_hr_groups": rt_hr_groups,
+    "rt_clean_text": rt_clean_text,
     "legacy_code": legacy_code,
     "rt_source_rule": rt_source_rule,
     "rt_regroup": rt_regroup,
