@@ -9,7 +9,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from turnstile.operators.extract import Options, extract, prepare
 from turnstile.operators.metrics import page_facts
@@ -289,3 +289,44 @@ def page_markup_ratio(spark, sf_dir):
 
 
 QUERIES["page_markup_ratio"] = page_markup_ratio
+
+
+def page_diagnostics(spark, sf_dir, detector: str = "auto"):
+    """Run facts per page — winning strategy, block count, protected
+    entries by type, options and version."""
+    import turnstile
+    ex = extract(_pages(spark, sf_dir), Options(detector=detector))
+    prot = ex.protected.groupBy("page_id").agg(
+        F.count("*").alias("n_protected"),
+        F.sum((F.col("ptype") == "code").cast("int")).alias("n_code"),
+        F.sum((F.col("ptype") == "mermaid").cast("int")).alias("n_mermaid"),
+        F.sum((F.col("ptype") == "math").cast("int")).alias("n_math"))
+    return (ex.diagnostics.join(prot, "page_id", "left").fillna(0, ["n_protected", "n_code", "n_mermaid", "n_math"])
+            .withColumn("options", F.lit(f"detector={detector}"))
+            .withColumn("version", F.lit(turnstile.__version__)))
+
+
+def locate_nodes(spark, sf_dir, attr: str = "class", value: str = "ad", k: int = 5):
+    """Which cluster holds each node carrying ``attr`` (= ``value``), the
+    first ``k`` per page; a null cluster means the node is in none. The
+    reference looks for ``data-section-id``; the driver pages carry none, so
+    the default here is ``class=ad``."""
+    m, _, _ = prepare(_pages(spark, sf_dir), Options())
+    facts = materialize(page_facts(m))
+    _, members, _ = topo_blocks(m, facts, with_scores=True)
+    has = F.col("attrs")[attr].isNotNull()
+    if value is not None:
+        has = has & F.exists(F.split(F.coalesce(F.col("attrs")[attr], F.lit("")), " "), lambda x: x == value)
+    marked = m.filter((F.col("kind") == "tag") & has)
+    w = Window.partitionBy("page_id").orderBy("node_id")
+    marked = marked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    up = marked.select("page_id", F.col("node_id").alias("marked"), "rank",
+                       F.explode(F.concat("path", F.array("node_id"))).alias("node_id"))
+    hit = up.join(members, ["page_id", "node_id"]).groupBy("page_id", "marked").agg(
+        F.max_by("cluster_id", "node_id").alias("cluster_id"))
+    return (marked.select("page_id", F.col("node_id").alias("marked"), "rank")
+            .join(hit, ["page_id", "marked"], "left"))
+
+
+QUERIES["page_diagnostics"] = page_diagnostics
+QUERIES["locate_nodes"] = locate_nodes
