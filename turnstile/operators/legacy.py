@@ -184,7 +184,7 @@ def legacy_extract(pages: DataFrame, min_words: int = 3) -> DataFrame:
     """Strip noise -> detect -> vote -> convert -> keep blocks with at
     least ``min_words`` words (O26) -> (page_id, idx, label, confidence,
     content, marker)."""
-    from turnstile.functions.text import py_strip, py_words
+    from turnstile.functions.text import py_words
     from turnstile.operators.extract import Options, prepare
 
     m, _, _ = prepare(pages, Options(raw=True))

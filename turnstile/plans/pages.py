@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from turnstile.operators.extract import Options, extract, prepare
 from turnstile.operators.metrics import page_facts
+from turnstile.operators.predicates import SOURCE_RULES
 from turnstile.operators.topology import fingerprint, topo_blocks
 from turnstile.sources.tables import read_table
 from turnstile.session import materialize
@@ -115,7 +116,6 @@ def cluster_top10(spark, sf_dir, k: int = 10):
     first = members.groupBy("page_id", "cluster_id").agg(F.min("node_id").alias("node_id"))
     fp = fingerprint(m)
     s = scores.join(first, ["page_id", "cluster_id"]).join(fp, ["page_id", "node_id"], "left")
-    from pyspark.sql import Window
     w = Window.partitionBy("page_id").orderBy(F.col("score").desc(), "cluster_id")
     return (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("page_id", "rank", "cluster_id", "n", "avg_density", "score", "fingerprint"))
@@ -241,8 +241,7 @@ def node_predicates(spark, sf_dir):
                                     F.coalesce("pcls", F.array().cast("array<string>")))), 6).alias("mean_jaccard"))
 
 
-_RULES_SQL = ", ".join(f"('{h}', '{s}')" for h, s in
-                       __import__("turnstile.operators.predicates", fromlist=["x"]).SOURCE_RULES)
+_RULES_SQL = ", ".join(f"('{h}', '{s}')" for h, s in SOURCE_RULES)
 ORACLE["page_legacy_ui_removed"] = (
     "SELECT page_id, length(regexp_replace(html, '" + LEGACY_UI_BLOCKS + "', '', 'g')) AS chars_after FROM pages")
 ORACLE["page_source"] = f"""
