@@ -45,7 +45,11 @@ def protect(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``claimed``. Nodes are read once; every step is a page-ordered window,
     a ``page_id``-keyed aggregate or an equi-join."""
     w = page_window()
-    n = nodes
+    # only what protect reads is carried through its checkpoints (less I/O
+    # at scale); the result joins the flags back onto the full node rows
+    keep_attrs = F.map_filter("attrs", lambda k, v: k.isin("encoding", "display", "data-latex"))
+    n = nodes.select("page_id", "node_id", "kind", "name", keep_attrs.alias("attrs"), "classes", "end", "path",
+                     "text")
     # ---- code: outermost pre ------------------------------------------
     is_pre = (F.col("kind") == "tag") & (F.col("name") == "pre")
     n = n.withColumn("_pre_anc", has_marked_ancestor(is_pre, w))
