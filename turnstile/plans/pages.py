@@ -329,3 +329,13 @@ def locate_nodes(spark, sf_dir, attr: str = "class", value: str = "ad", k: int =
 
 QUERIES["page_diagnostics"] = page_diagnostics
 QUERIES["locate_nodes"] = locate_nodes
+
+
+def legacy_documents(spark, sf_dir):
+    """O81 (legacy labels) + O66: one legacy Markdown document per page, a
+    confidence comment under turns voted with less than 0.7."""
+    from turnstile.operators.legacy import legacy_extract, render_legacy
+    return render_legacy(legacy_extract(_pages(spark, sf_dir)))
+
+
+QUERIES["legacy_documents"] = legacy_documents
