@@ -38,3 +38,12 @@ def test_chunked_alternation_equals_plain(spark):
     a = sorted(tuple(r) for r in R.alternate(df, ["conv_id"], "turn").collect())
     b = sorted(tuple(r) for r in R.alternate(df, ["conv_id"], "turn", chunk=5).collect())
     assert a == b
+
+
+def test_mermaid_paragraph_wrap(spark):
+    from turnstile.operators.predicates import wrap_mermaid
+    f = lambda c: squeeze_runs(wrap_mermaid(c))  # noqa: E731  (the legacy path squeezes after wrapping)
+    assert one(spark, f, "intro\n\ngraph TD\nA-->B\n\nend") == "intro\n\n```mermaid\ngraph TD\nA-->B\n```\n\nend"
+    # one line only, or already fenced: left alone
+    assert one(spark, f, "intro\n\npie chart\n\nend") == "intro\n\npie chart\n\nend"
+    assert one(spark, f, "```\ngraph TD\nA\n```") == "```\ngraph TD\nA\n```"
