@@ -45,8 +45,11 @@ def boxed(docs: DataFrame, *beside: Column) -> DataFrame:
 
 def unboxed(df: DataFrame, columns: list[str], **made: Column) -> DataFrame:
     """``columns`` out of ``row``, with ``made`` put in their place or behind."""
-    return df.select(*[made.get(c, F.col("row")[c]).alias(c) for c in columns],
-                     *[x.alias(c) for c, x in made.items() if c not in columns])
+    # two steps: a new column's name must not hide the columns that others are made of
+    made_as = {c: f"made {k}" for k, c in enumerate(made)}
+    ready = df.select(df["row"], *[x.alias(made_as[c]) for c, x in made.items()])
+    return ready.select(*[(ready[made_as[c]] if c in made else ready["row"].getField(c)).alias(c) for c in columns],
+                        *[ready[n].alias(c) for c, n in made_as.items() if c not in columns])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -30,34 +30,38 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANK)), UPPER, LOWER)
+def keys_of(lines: Column, min_chars: int) -> Column:
+    """Stripped lines with A-Z lower-cased; null for those that are too short
+    to count. One step after the other, as each is computed once that way;
+    ``lower`` is the same for ASCII and much faster."""
+    bare = F.transform(lines, lambda x: F.btrim(x, F.lit(BLANK)))
+    return F.transform(bare, lambda x: F.when(F.length(x) < min_chars, F.lit(None)).otherwise(
+        F.when(F.length(x) == F.octet_length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER))))
 
 
 def _hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per document: doc_id, row key, hash of each line (null: too short)."""
+    """One row per document: doc_id, row key, 128-bit hash of each line's key
+    from two seeds (null: too short)."""
+    keys = keys_of(lines_of(F.col("text")), min_chars)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"),
-        F.transform(lines_of(F.col("text")), lambda x: _hash_over(key_of(x), min_chars)).alias("h"))
+        F.transform(keys, lambda k: F.when(k.isNotNull(), F.struct(
+            F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b")))).alias("h"))
 
 
-def _hash_over(key: Column, min_chars: int) -> Column:
-    """128 bits from two seeds; null for a key that is too short to count."""
-    return F.when(F.length(key) >= min_chars,
-                  F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
-
+# The outer forms of explode: for the others Spark filters on the array's size before, which computes it twice.
 
 def repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Keys found in ``min_docs`` documents or more: a, b (hash), n_docs, last_doc."""
-    own = _hashes(docs, min_chars).select(
-        "doc_id", F.explode(F.filter(F.array_distinct("h"), lambda x: x.isNotNull())).alias("k"))
+    own = (_hashes(docs, min_chars).select("doc_id", F.explode_outer(F.array_distinct("h")).alias("k"))
+           .where(F.col("k").isNotNull()))
     return (own.groupBy("k.a", "k.b").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
             .where(F.col("n_docs") >= min_docs))
 
 
 def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Positions (from 0) to drop, sorted, for each (doc_id, t) that loses lines."""
-    lines = (_hashes(docs, min_chars).select("doc_id", "t", F.posexplode("h").alias("pos", "k"))
+    lines = (_hashes(docs, min_chars).select("doc_id", "t", F.posexplode_outer("h").alias("pos", "k"))
              .where(F.col("k").isNotNull()).select("doc_id", "t", "pos", "k.a", "k.b"))
     lost = (lines.join(repeated(docs, min_chars, min_docs).select("a", "b", "last_doc"), ["a", "b"])
             .where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))))
@@ -86,7 +90,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("drop").alias("_drop"))
     both = boxed(docs, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"))
     both = both.join(cut, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t")), "left")
-    text = F.col("row")["text"]
+    text = both["row"].getField("text")
     lines = lines_of(text)
     return unboxed(
         both, docs.columns, n_lines=F.size(lines).cast("long"), n_dropped=F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),

@@ -159,7 +159,7 @@ def nearest_classes(spark: SparkSession, classes: DataFrame, nearest: int) -> Da
     rows, dim, most = head.rows, head.dim, head.most
     blocks = -(-head.asked // QUERY_ROWS)
     sample = np.array([r.v for r in classes.orderBy("a", "b").select("v").limit(SAMPLE_ROWS).collect()])
-    forest = spark.sparkContext.broadcast(Forest(lengthened(sample, most), rows))
+    forest = spark.sparkContext.broadcast(Forest(lengthened(sample, most), rows, TREES, LEAF_ROWS))
 
     def put(batches):
         f = forest.value

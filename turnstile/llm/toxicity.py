@@ -3,10 +3,10 @@
 Two zstandard dictionaries are trained: one on ordinary text, one on what
 toxic texts have and ordinary ones lack. A window of a text is compressed
 with the ordinary dictionary and with both; the bytes that the toxic one
-saves are the window's distance. (The toxic content lies in front of the
-ordinary content, so matches in the latter cost the same in both runs and
-what differs is toxic content.) Windows that save bytes are looked at word
-by word in the same way. The largest and the mean savings of all windows of
+saves are the window's distance. (The toxic content is small and lies nearest
+to the window, so matches in the ordinary content cost about the same in both
+runs and what differs is toxic content.) Windows that save bytes are looked
+at word by word in the same way. The largest and the mean savings of all windows of
 the whole text give the score, by a logistic curve that is calibrated on
 labelled texts which the dictionaries haven't seen.
 
@@ -17,6 +17,7 @@ pass; nothing is shuffled.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from heapq import nlargest
 
@@ -35,9 +36,12 @@ THRESHOLD = 0.3
 CONTRAST = 30
 STEM = (4, 14)
 MEMO_WORDS = 200_000
-#: A run of one byte behind a word, so that a block with so few bytes is still compressed.
+#: A run of one byte behind each window: a block that hardly gets smaller would be stored as it is.
 PAD = b"~" * 48
 
+#: Odd numbers, each of which orders hashes in its own way.
+MIXERS = [2654435761 + 2 * 97 ** k % 4294967296 // 2 * 2 for k in range(1, 9)]
+
 PARAMETERS = dict(min_match=4, strategy=zstandard.STRATEGY_GREEDY, hash_log=14, chain_log=14, search_log=3,
                   write_content_size=0, write_checksum=0, write_dict_id=0)
 
@@ -65,6 +69,24 @@ def stems(words: list[bytes]) -> set[bytes]:
     return out
 
 
+def unlike(texts: list[tuple[list[bytes], int]]) -> list[tuple[list[bytes], int]]:
+    """Texts (words, label) without those that are near copies of one before:
+    what a group of copies repeats is no evidence. Near are texts that share
+    three of eight minimum hashes of their word pairs."""
+    seen: dict[tuple[int, int], list[int]] = {}
+    kept = []
+    for words, label in texts:
+        h = np.fromiter(map(zlib.crc32, map(b" ".join, zip(words, words[1:]))), np.uint64, max(0, len(words) - 1))
+        marks = [(k, int((h * np.uint64(m) & np.uint64(0xFFFFFFFF)).min())) for k, m in enumerate(MIXERS)] if len(h) else []
+        met = Counter(i for m in marks for i in seen.get(m, ()))
+        if met and max(met.values()) >= 3:
+            continue
+        for m in marks:
+            seen.setdefault(m, []).append(len(kept))
+        kept.append((words, label))
+    return kept
+
+
 def toxic_content(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> bytes:
     """Stems that set toxic texts apart, most frequent last (nearest)."""
     seen: Counter = Counter()
@@ -108,7 +130,7 @@ class Distance:
         self.content = ordinary, toxic
         self.memo: dict[bytes, int] = {}
         p = zstandard.ZstdCompressionParameters.from_level(3, **PARAMETERS)
-        self.plain, self.both = (self._compressor(p, c) for c in (ordinary, toxic + ordinary))
+        self.plain, self.both = (self._compressor(p, c) for c in (ordinary, ordinary + toxic))
 
     @staticmethod
     def _compressor(p, content: bytes) -> zstandard.ZstdCompressor:
@@ -122,20 +144,20 @@ class Distance:
         return Distance, self.content
 
     def saved(self, window: bytes) -> int:
+        window += PAD
         return len(self.plain.compress(window)) - len(self.both.compress(window))
 
     def word(self, w: bytes) -> int:
         n = self.memo.get(w)
         if n is None:
-            n = self.saved(b" " + w + b" " + PAD)
+            n = self.saved(b" " + w + b" ")
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
             if len(w) <= 64:
                 self.memo[w] = n
         return n
 
-    def features(self, text: bytes) -> list[float]:
-        words = text.translate(WORDS).split()
+    def features(self, words: list[bytes]) -> list[float]:
         best, fine, hit = 0, [], 0
         for window in windows(words):
             n = self.saved(window)
@@ -157,7 +179,7 @@ class Model:
         self.distance, self.mean, self.scale, self.w, self.bias = distance, mean, scale, w, bias
 
     def score(self, text: bytes) -> float:
-        x = (np.array(self.distance.features(text)) - self.mean) / self.scale
+        x = (np.array(self.distance.features(text.translate(WORDS).split())) - self.mean) / self.scale
         return float(1 / (1 + np.exp(-np.clip(x @ self.w + self.bias, -30, 30))))
 
 
@@ -182,20 +204,17 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_rows: in
     rows = labelled_sample(spark, texts, labels, "toxic", sample_rows, each=True).limit(2 * sample_rows).collect()
     count = {r.toxic: r["count"] for r in labels.where("toxic IS NOT NULL").where(~held_out())
              .groupBy((F.col("toxic") >= 1).cast("int").alias("toxic")).count().collect()}
-    seen, split = set(), ([], [])
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):  # copies count once
-        if r.text not in seen:
-            seen.add(r.text)
-            split[len(seen) % 3 == 0].append((bytes(r.text), int(r.label >= 1)))
-    train, held = split
-    cut = [[t.translate(WORDS).split() for t, y in train if y == k] for k in (0, 1)]
+    texts = sorted((int(r.doc_id), bytes(r.text), int(r.label >= 1)) for r in rows)
+    own = unlike([(t.translate(WORDS).split(), y) for _, t, y in texts])
+    train, held = [x for k, x in enumerate(own) if k % 3], own[::3]
+    cut = [[words for words, y in train if y == k] for k in (0, 1)]
     if not cut[0] or not cut[1]:
         return None
     distance = Distance(ordinary_content(cut[0]), toxic_content(cut[1], cut[0]))
     y = np.array([k for _, k in held], float)
     if not 0 < y.sum() < len(y):
         held, y = train, np.array([k for _, k in train], float)
-    X = np.array([distance.features(t) for t, _ in held])
+    X = np.array([distance.features(words) for words, _ in held])
     # the sample takes the classes in equal parts; weights give back their shares
     share = count.get(1, 0) / max(1, sum(count.values()))
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
