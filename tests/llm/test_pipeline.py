@@ -17,7 +17,7 @@ def rows():
                  " ".join(f"{w}{i}" for w in (LEAK + " " + PAD).split()[:8 + i])) + f"\n{LINE}") for i in range(40)]
     junk = [(100 + i, "### $$$ %%% *** !!! " * (3 + i)) for i in range(40)]
     long = " ".join(f"long{k}" for k in range(60))
-    return good + junk + [(200, long), (201, long + " end"), (202, f"{PAD} intro{LEAK} of words {LEAK}, and an end"), (203, LEAK)]
+    return good + junk + [(200, long), (201, long + " end"), (202, f"{PAD} intro{LEAK} of words {LEAK}, and an end"), (203, f"{LEAK} pad1 pad2 pad3 pad4 pad5 pad6 pad7 pad8\n{LEAK}")]
 
 
 @pytest.fixture()
