@@ -17,14 +17,14 @@ def rows():
                  " ".join(f"{w}{i}" for w in (LEAK + " " + PAD).split()[:8 + i])) + f"\n{LINE}") for i in range(40)]
     junk = [(100 + i, "### $$$ %%% *** !!! " * (3 + i)) for i in range(40)]
     long = " ".join(f"long{k}" for k in range(60))
-    return good + junk + [(200, long), (201, long + " end"), (202, f"{PAD} intro{LEAK} of words {LEAK}, and an end"), (203, f"{LEAK} pad1 pad2 pad3 pad4 pad5 pad6 pad7 pad8\n{LEAK}")]
+    return good + junk + [(200, long), (204, f"{LEAK} {PAD}"), (205, " ".join(f"more{k}" for k in range(50)) + f" {LEAK}\nand more"), (201, long + " end"), (202, f"{PAD} intro{LEAK} of words {LEAK}, and an end"), (203, f"{LEAK} pad1 pad2 pad3 pad4 pad5 pad6 pad7 pad8\n{LEAK}")]
 
 
 @pytest.fixture()
 def folder(spark, tmp_path):
     docs = documents(spark, rows() + [(300, None), (301, "")], "score long,kept string,row long,id string,hash string,n_lines long,coverage long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    labels = [(i, int(i < 100), 0) for i, _ in rows() if i < 200]
+    labels = [(i, int(not 100 <= i < 200), 0) for i, _ in rows()]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, LEAK)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     return str(tmp_path)
@@ -47,7 +47,7 @@ def test_stages(spark, folder):
     assert lines.keys() - copies.keys() == {201}
     # eleven of the twelve words are windows too where the first is glued to another word
     assert 203 not in leaks and leaks[202] == f"{PAD} introalpha  of words , and an end"
-    assert all(leaks[d] == copies[d] for d in leaks if d != 202)
+    assert all(leaks[d] == copies[d] for d in leaks if d not in (202, 204, 205))
     last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert {r.doc_id for r in last} == leaks.keys() and all(r.round_trip for r in last)
     model = pieces.read_model()
