@@ -149,9 +149,10 @@ def test_near_dup(spark, n, percent, nothing):
     assert near_dup.near_dup(spark, nothing).collect() == []
 
 
-def test_small_pivot_rounds_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "PIVOTS", 1)
-    rows = near_rows()[:50]
+def test_small_blocks_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_NODES", 3)
+    monkeypatch.setattr(near_dup, "GROUP_SHINGLES", 500)
+    rows = near_rows()
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept)
                   for r in near_dup.near_dup(spark, documents(spark, rows), 3, 85).collect()), key=str)
     assert got == brute_components(rows, 3, 85)

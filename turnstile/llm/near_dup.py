@@ -11,15 +11,14 @@ the four ways to leave one symbol out are enumerated as keys, so such a pair
 shares a key. Every pair that is linked is confirmed on the full sets.
 
 Sets that are equal are one class from the start, so a group of copies is one
-node however large it is. Classes that share a key are joined in rounds, never
-all with all: a key's members are compared with its first member; those that
-are confirmed form components; then only members of different components of a
-key are compared, in each round with up to ``PIVOTS`` members of the key
-that are taken from its smaller components. A pivot has been compared with
-all others of its key, so it leaves the key; the rounds end when no key has
-members of two components. That compares all pairs of a key that aren't
-connected otherwise, so no link between components is lost, and a group of
-near copies costs one comparison a member instead of one a pair.
+node however large it is. Keys with the same members count once. The full sets
+of a key's members meet in one task (many keys in a group, a large key in
+blocks of bounded size), where an inverted index of their shingles gives all
+intersections of a member at once. A member is compared only if it isn't in
+the component that most of the key's members are in already, and only links
+between components leave the task: never all pairs of a group. A key of more
+than one block is done block by block first; what its blocks leave
+unconnected is then done for each two blocks.
 
 Components are found by passing minima along the links; links and components
 stay in Spark.
@@ -32,7 +31,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnstile.llm.common import LOWER, boxed, checkpoint, map_batches, read_table, text_bytes, unboxed
 
@@ -40,7 +39,11 @@ SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 80
 MISS = 1e-7
 SYMBOL_BITS = 16
-PIVOTS = 32
+#: Most members and shingles (of all members) of a key that one block takes.
+BLOCK_NODES = 2048
+BLOCK_SHINGLES = 1_000_000
+#: Shingles that a group of blocks takes about.
+GROUP_SHINGLES = 2_000_000
 #: Stands for a null id where a row is looked up.
 NO_ID = 2 ** 63 - 1
 
@@ -134,42 +137,85 @@ def keys_of(nodes: DataFrame, chunks: int) -> DataFrame:
     keys = F.array(*[
         F.xxhash64(F.lit(4 * c + skip), *[F.get("signature", F.lit(4 * c + k)) for k in range(4) if k != skip])
         for c in range(chunks) for skip in range(4)])
-    return nodes.select("node", F.explode(keys).alias("key"))
+    return nodes.select("node", "n_shingles", F.explode(keys).alias("key"))
 
 
 def shared_keys(nodes: DataFrame, chunks: int) -> DataFrame:
-    """(key, node, degree, first) for keys with two nodes or more. Most keys
-    have one; they are left out by a count that is summed before the shuffle.
-    ``degree`` is the number of nodes that a node meets over its keys;
-    ``first``, the key's member that meets most, stands in the middle of a
-    group of near copies."""
+    """(key, node, n_shingles) for keys with two nodes or more; of keys with
+    the same nodes one stays. Most keys have one node; they are left out by a
+    count that is summed before the shuffle."""
     keys = keys_of(nodes, chunks)
-    common = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = checkpoint(keys.join(common, "key"))
-    met = members.join(members.groupBy("node").agg(F.sum("n").alias("degree")), "node").select("key", "node", "degree")
-    first = met.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("m")).select("key", F.col("m.node").alias("first"))
-    return checkpoint(met.join(first, "key"))
-
-
-def differing(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-
-
-def confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, chunks: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those that are linked. The signatures and set sizes
-    go first; what they leave is compared on the full sets."""
-    own = nodes.select("node", "n_shingles", "signature")
-    near = (pairs.join(own.toDF("a", "na", "sa"), "a").join(own.toDF("b", "nb", "sb"), "b")
-            .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            .where(differing(F.col("sa"), F.col("sb")) <= 2 * chunks - 1)
-            .select("a", "b", "na", "nb"))
-    return confirm_sets(near, sets, percent)
-
-
-def confirm_sets(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = F.size(F.array_intersect("ha", "hb"))
-    return (near.join(sets.toDF("b", "hb"), "b").join(sets.toDF("a", "ha"), "a")
-            .where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b"))
+    # two sums of hashes stand for the set of members
+    common = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"),
+        F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("t")).where("n > 1")
+    one = common.groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key")
+    return keys.join(one, "key")
+
+
+def find(root: list[int], i: int) -> int:
+    while root[i] != i:
+        root[i] = root[root[i]]
+        i = root[i]
+    return i
+
+
+def links_of_key(own: np.ndarray, known: list, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between components among the rows ``own`` of one key: ``known``
+    has each row's component so far, ``sets`` each row's shingles."""
+    m = len(own)
+    names = {k: i for i, k in reversed(list(enumerate(known[r] for r in own)))}
+    root = [names[known[r]] for r in own]
+    if len(set(root)) == 1:
+        return []
+    n = np.array([len(sets[r]) for r in own])
+    flat = np.concatenate([sets[r] for r in own])
+    owner = np.repeat(np.arange(m), n)
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
+    starts = np.flatnonzero(new)
+    code = np.empty(len(flat), np.int64)
+    code[order] = np.cumsum(new) - 1
+    owners, lengths = owner[order], np.diff(np.append(starts, len(flat)))
+    first = np.concatenate([[0], np.cumsum(n)])
+    most = np.bincount(root, minlength=m).argmax()
+    out = []
+    for i in range(m):
+        if root[i] == most and known[own[i]] == known[own[most]]:
+            continue  # both ends of a pair in the largest component
+        c = code[first[i]:first[i + 1]]
+        size = lengths[c]
+        at = np.repeat(starts[c] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        both = np.bincount(owners[at], minlength=m)
+        for j in np.flatnonzero(100 * both >= percent * (n[i] + n - both)):
+            x, y = find(root, i), find(root, int(j))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(own[i]), int(own[j])))
+    return out
+
+
+def links_within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components of the members of each block.
+    ``members``: key, block, node, n_shingles, root."""
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    groups = max(1, -(-total // GROUP_SHINGLES))
+
+    def work(table: pa.Table) -> pa.Table:
+        keys = np.stack([table[c].to_numpy() for c in ("key", "block")])
+        order = np.lexsort(keys)
+        cuts = np.flatnonzero((keys[:, order][:, 1:] != keys[:, order][:, :-1]).any(0)) + 1
+        hashes = table["hashes"].combine_chunks()
+        flat, at = hashes.flatten().to_numpy(), hashes.offsets.to_numpy() - hashes.offsets[0].as_py()
+        own_sets = [flat[a:b] for a, b in zip(at, at[1:])]
+        known = table["root"].to_pylist()
+        found = [x for own in np.split(order, cuts) for x in links_of_key(own, known, own_sets, percent)]
+        a, b = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+        return pa.table({"a": table["node"].take(a), "b": table["node"].take(b)})
+
+    rows = members.join(sets, "node").select(
+        F.pmod(F.xxhash64("key", "block"), F.lit(groups)).alias("grp"), "key", "block", "node", "root", "hashes")
+    return rows.groupBy("grp").applyInArrow(work, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -198,36 +244,25 @@ def components(links: DataFrame) -> DataFrame:
         state = jumped.select("node", F.col("next").alias("root"))
 
 
-def link_rounds(nodes: DataFrame, docs_sets: DataFrame, members: DataFrame, chunks: int, percent: int) -> DataFrame:
+def all_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All links that the components need: (a, b). See the module's text."""
-    # first round: each node with the least of the first members of its keys that it is near to
-    star = (members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    own = nodes.select("node", "n_shingles", "signature")
-    near = (star.join(own.toDF("a", "na", "sa"), "a").join(own.toDF("b", "nb", "sb"), "b")
-            .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            .withColumn("d", differing(F.col("sa"), F.col("sb"))).where(F.col("d") <= 2 * chunks - 1))
-    nearest = near.groupBy("b").agg(F.min(F.struct("d", "a", "na", "nb")).alias("m")).select(
-        F.col("m.a").alias("a"), "b", F.col("m.na").alias("na"), F.col("m.nb").alias("nb"))
-    links = checkpoint(confirm_sets(nearest, docs_sets, percent))
-    rest = members.select("key", "node", "degree")
-    while True:
-        found = components(links).select("node", "root")
-        rest = (rest.join(found, "node", "left")
-                .select("key", "node", "degree", F.coalesce("root", "node").alias("root")))
-        parts = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        open_keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key")
-        rest = checkpoint(rest.join(open_keys, "key").join(parts, ["key", "root"]))
-        if not rest.limit(1).count():
-            return links
-        # pivots from the smaller components; the limit is taken before the shuffle as well
-        order = Window.partitionBy("key").orderBy("n", F.desc("degree"), "root", "node")
-        pivots = checkpoint(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
-                            .select("key", F.col("node").alias("p"), F.col("root").alias("p_root")))
-        pairs = (rest.join(pivots, "key").where(F.col("root") != F.col("p_root"))
-                 .select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct())
-        links = checkpoint(links.unionByName(confirm(pairs, nodes, docs_sets, chunks, percent)).distinct())
-        rest = (rest.join(pivots.select("key", F.col("p").alias("node")), ["key", "node"], "left_anti")
-                .select("key", "node", "degree"))
+    size = members.groupBy("key").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = checkpoint(members.join(size, "key").withColumn(
+        "block", F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks")).cast("long")))
+    links = checkpoint(links_within(placed.withColumn("root", F.col("node")), sets, percent))
+    large = placed.where("blocks > 1")
+    if not large.limit(1).count():
+        return links
+    # keys of several blocks whose members aren't one component yet: each two blocks
+    root = components(links)
+    large = large.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = large.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+    two = (large.join(left, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+           .where("other <> block")
+           .withColumn("block", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")))
+    more = links_within(checkpoint(two.select("key", "block", "node", "n_shingles", "root")), sets, percent)
+    return checkpoint(links.unionByName(more))
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, shingle_words: int = SHINGLE_WORDS,
@@ -249,14 +284,13 @@ def near_dup(spark: SparkSession, docs: DataFrame, shingle_words: int = SHINGLE_
         F.min("doc_id").alias("low"), F.any_value("n_shingles").alias("n_shingles"),
         F.any_value("signature").alias("signature"),
         F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")).alias("text_of")))
-    members = shared_keys(nodes, chunks)
-    found = members.select("node").distinct()
-    few = nodes.join(found, "node").select(F.col("text_of.id").alias("_id"), F.col("text_of.text_hash").alias("_hash"))
+    members = checkpoint(shared_keys(nodes, chunks))
+    few = nodes.join(members.select("node").distinct(), "node").select(F.col("text_of.id").alias("_id"), F.col("text_of.text_hash").alias("_hash"))
     own = _columns(docs)
     texts = own.join(few.distinct(), (F.coalesce(own["doc_id"], F.lit(NO_ID)) == F.col("_id"))
                      & (F.xxhash64(own["text"]) == F.col("_hash")), "left_semi")
     sets = checkpoint(sets_of(texts, shingle_words).withColumnRenamed("class", "node").dropDuplicates(["node"]))
-    links = link_rounds(nodes, sets, members, chunks, threshold_percent)
+    links = all_links(members, sets, threshold_percent)
     root = components(links)
     smallest = (nodes.join(root, "node").groupBy("root").agg(F.min("low").alias("component_id")))
     of_class = nodes.join(root, "node", "left").join(smallest, "root", "left").select(
