@@ -137,20 +137,22 @@ def keys_of(nodes: DataFrame, chunks: int) -> DataFrame:
     keys = F.array(*[
         F.xxhash64(F.lit(4 * c + skip), *[F.get("signature", F.lit(4 * c + k)) for k in range(4) if k != skip])
         for c in range(chunks) for skip in range(4)])
-    return nodes.select("node", "n_shingles", F.explode(keys).alias("key"))
+    return nodes.select("node", F.explode(keys).alias("key"))
 
 
 def shared_keys(nodes: DataFrame, chunks: int) -> DataFrame:
-    """(key, node, n_shingles) for keys with two nodes or more; of keys with
-    the same nodes one stays. Most keys have one node; they are left out by a
-    count that is summed before the shuffle."""
+    """(key, node) for keys with two nodes or more; of keys with the same
+    nodes one stays. Keys are dealt out once; both the sums and the rows that
+    they choose are taken from there."""
     keys = keys_of(nodes, chunks)
+    keys = keys.repartition("key")
     # two sums of hashes stand for the set of members
     common = keys.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s"),
         F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(20,0)")).alias("t")).where("n > 1")
-    one = common.groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key")
-    return keys.join(one, "key")
+    shared = checkpoint(keys.join(common, "key"))
+    one = shared.groupBy("n", "s", "t").agg(F.min("key").alias("key")).select("key")
+    return shared.select("key", "node").join(one, "key")
 
 
 def find(root: list[int], i: int) -> int:
@@ -215,7 +217,7 @@ def links_within(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     rows = members.join(sets, "node").select(
         F.pmod(F.xxhash64("key", "block"), F.lit(groups)).alias("grp"), "key", "block", "node", "root", "hashes")
-    return rows.groupBy("grp").applyInArrow(work, "a binary, b binary")
+    return rows.groupBy("grp").applyInArrow(work, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -280,21 +282,25 @@ def near_dup(spark: SparkSession, docs: DataFrame, shingle_words: int = SHINGLE_
     chunks = chunks_for(threshold_percent)
     rows = checkpoint(sketches(docs, shingle_words, chunks))
     # rows of one class have one signature, whichever is taken; one row's text stands for the class
-    nodes = checkpoint(rows.where("class IS NOT NULL").groupBy(F.col("class").alias("node")).agg(
+    nodes = checkpoint(rows.where("class IS NOT NULL").groupBy("class").agg(
         F.min("doc_id").alias("low"), F.any_value("n_shingles").alias("n_shingles"),
         F.any_value("signature").alias("signature"),
-        F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")).alias("text_of")))
+        F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text_hash")).alias("text_of"))
+        .withColumn("node", F.monotonically_increasing_id()))  # fixed from here on, as it is read from the checkpoint
     members = checkpoint(shared_keys(nodes, chunks))
-    few = nodes.join(members.select("node").distinct(), "node").select(F.col("text_of.id").alias("_id"), F.col("text_of.text_hash").alias("_hash"))
+    few = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    chosen = few.select(F.col("text_of.id").alias("_id"), F.col("text_of.text_hash").alias("_hash")).distinct()
     own = _columns(docs)
-    texts = own.join(few.distinct(), (F.coalesce(own["doc_id"], F.lit(NO_ID)) == F.col("_id"))
+    texts = own.join(chosen, (F.coalesce(own["doc_id"], F.lit(NO_ID)) == F.col("_id"))
                      & (F.xxhash64(own["text"]) == F.col("_hash")), "left_semi")
-    sets = checkpoint(sets_of(texts, shingle_words).withColumnRenamed("class", "node").dropDuplicates(["node"]))
+    sets = checkpoint(sets_of(texts, shingle_words).dropDuplicates(["class"])
+                      .join(few.select("class", "node"), "class").select("node", "hashes"))
+    members = members.join(nodes.select("node", "n_shingles"), "node")
     links = all_links(members, sets, threshold_percent)
     root = components(links)
     smallest = (nodes.join(root, "node").groupBy("root").agg(F.min("low").alias("component_id")))
     of_class = nodes.join(root, "node", "left").join(smallest, "root", "left").select(
-        F.col("node").alias("class"), F.coalesce("component_id", "low").alias("component_id"))
+        "class", F.coalesce("component_id", "low").alias("component_id"))
     with_text = rows.where("class IS NOT NULL").join(of_class, "class")
     without = rows.where("class IS NULL").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "n_shingles", "component_id", "text_hash"]
