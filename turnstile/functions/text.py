@@ -26,7 +26,11 @@ def squeeze_once(c: Column) -> Column:
 
 def squeeze_runs(c: Column) -> Column:
     """O83 (legacy form): any run of 3+ newlines becomes two, then strip."""
-    return py_strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    return py_strip(squeeze_newlines(c))
+
+
+def squeeze_newlines(c: Column) -> Column:
+    return F.regexp_replace(c, r"\n{3,}", "\n\n")
 
 
 # Fixed values (O25): UI label lines removed from finished text. The pattern

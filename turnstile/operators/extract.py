@@ -35,6 +35,7 @@ class Options:
     detector: str = "topo"        # topo | heuristic | auto | signature (spec'd variant)
     raw: bool = False             # O35: skip protect/restore
     tables: bool = True           # O79: tables off -> plain text
+    data_latex: bool = False      # O91: formulas from data-latex attributes
     min_density: int = 3
     lookback: int = 3
     min_coverage: float = MIN_COVERAGE
@@ -54,7 +55,7 @@ def prepare(pages: DataFrame, opts: Options):
     co_partition_by_prefix(pages.sparkSession)
     nodes, quarantine = shred(pages)
     nodes = materialize(nodes)
-    pn, protected = (no_protect(nodes) if opts.raw else protect(nodes))
+    pn, protected = (no_protect(nodes) if opts.raw else protect(nodes, opts.data_latex))
     m = materialize(with_metrics(mark_noise(pn)))
     return m, materialize(protected), quarantine
 

@@ -48,16 +48,20 @@ def class_jaccard(a: Column, b: Column) -> Column:
 
 
 def wrap_mermaid(text: Column) -> Column:
-    """A paragraph that opens with a diagram keyword, has two or more
-    lines and no fence is wrapped in a mermaid fence (runs to a blank line,
-    a heading or the end)."""
-    paras = F.split(text, r"\n\n")
-    def wrap(p):
-        body = F.regexp_replace(p, r"^\s+|\s+$", "")
-        ok = (p.rlike(r"(?is)^(" + MERMAID_OPEN + r")[\s ]") & ~p.contains("```")
-              & (F.size(F.split(body, "\n")) >= 2))
-        return F.when(ok, F.concat(F.lit("\n\n```mermaid\n"), body, F.lit("\n```\n"))).otherwise(p)
-    return F.array_join(F.transform(paras, wrap), "\n\n")
+    """Text from a line that opens with a diagram keyword up to a blank
+    line, a heading line or the end is wrapped in a mermaid fence, unless it
+    has fewer than two lines or holds a fence already. What lies between the
+    matches and the matches themselves are put together in turn."""
+    pattern = (r"(?isdU)(?:\A|\n)((?:" + MERMAID_OPEN + r")\s.*?)(?=\n\n|\n#|\n?\z)")
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def wrap(m):
+        body = F.regexp_replace(m, r"(?U)^\s+|\s+$", "")
+        lines = F.size(F.split(body, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"))
+        return F.when(body.contains("```") | (lines < 2), m).otherwise(
+            F.concat(F.lit("\n\n```mermaid\n"), body, F.lit("\n```\n")))
+    pieces = F.zip_with(between, F.transform(found, wrap), lambda b, m: F.concat(b, F.coalesce(m, F.lit(""))))
+    return F.when(F.size(found) == 0, text).otherwise(F.array_join(pieces, ""))
 
 
 def source_of(spark, pages: DataFrame) -> DataFrame:

@@ -26,7 +26,6 @@ MERMAID_KEYWORDS = ["graph", "flowchart", "sequenceDiagram", "classDiagram", "st
                     "timeline"]
 MERMAID_LINE = r"(?imdU)^\s*(?:\}\}%%|%%\{.*?\}%%)?\s*(" + "|".join(MERMAID_KEYWORDS) + r")\b"
 MERMAID_PREFIX = r"(?d)^(?:\}\}%%|%%\{.*?\}%%)"
-MERMAID_ANY = "(?i)(" + "|".join(MERMAID_KEYWORDS) + ")"
 STRUCTURAL = ["div", "article", "section", "table"]
 TEX_ENCODING = "application/x-tex"
 
@@ -40,7 +39,7 @@ def _ordered_text(rows: DataFrame, group: list[str], text: str = "t") -> DataFra
         F.expr(f"listagg({text}, '') WITHIN GROUP (ORDER BY node_id)").alias("txt"))
 
 
-def protect(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def protect(nodes: DataFrame, data_latex: bool = False) -> tuple[DataFrame, DataFrame]:
     """Returns (pnodes, protected). ``pnodes`` = nodes + ``key``, ``ptype``,
     ``claimed``. Nodes are read once; every step is a page-ordered window,
     a ``page_id``-keyed aggregate or an equi-join."""
@@ -58,10 +57,9 @@ def protect(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     in_code = F.col("_code_rid").isNotNull()
     claimed_code = in_code & (F.col("node_id") != F.col("_code_rid"))
     live = ~claimed_code
-    kw_text = (F.col("kind") == "text") & live & F.col("text").rlike(MERMAID_ANY)
     structural = (F.col("kind") == "tag") & live & F.col("name").isin(*STRUCTURAL)
-    n = n.withColumn("_kw", kw_text).withColumn("_st", structural)
-    sums = subtree_sums(n, {"kw": F.col("_kw"), "st": F.col("_st")})
+    n = n.withColumn("_st", structural)
+    sums = subtree_sums(n, {"st": F.col("_st")})
     n = materialize(n.join(sums, ["page_id", "node_id"]))
     code_nodes = n.filter(in_code)
     first_code = (code_nodes.filter((F.col("name") == "code") & (F.col("node_id") != F.col("_code_rid")))
@@ -88,7 +86,7 @@ def protect(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     # ---- mermaid: div/p outside code, not structural, keyword line --------
     eligible = ((F.col("kind") == "tag") & F.col("name").isin("div", "p") & ~in_code
                 & ~((F.col("name") == "div") & (F.col("sum_st") - F.col("_st").cast("long") > 0)))
-    n = n.withColumn("_mcand", eligible & (F.col("sum_kw") > 0))
+    n = n.withColumn("_mcand", eligible)  # the joined text is tested below: a keyword may span text nodes
     n = n.withColumn("_in_mcand", has_marked_ancestor(F.col("_mcand"), w))
     # text stream of the code-protected tree: code roots read as their key
     code_key = code_p.select("page_id", F.col("root_id").alias("node_id"), F.col("key").alias("_ckey"))
@@ -147,7 +145,9 @@ def protect(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
                   & ~F.col("_in_merm") & F.col("_mroot").isNull())
     dl = dl.select("page_id", F.col("node_id").alias("ann_id"), "node_id",
                    py_strip(F.col("attrs")["data-latex"]).alias("raw"), F.lit(False).alias("blk"))
-    mt = mt.unionByName(dl)
+    # off by default; where such an element holds an annotation, that one counts
+    if data_latex:
+        mt = mt.unionByName(dl.join(anc.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti"))
     mt = mt.groupBy("page_id", "node_id").agg(F.min_by(F.struct("raw", "blk"), "ann_id").alias("a"))
     mt = mt.join(info.select("page_id", "node_id", "end"), ["page_id", "node_id"])
     mt = mt.withColumn("_t_anc", has_marked_ancestor(F.lit(True), w)).filter(~F.col("_t_anc"))
@@ -186,7 +186,7 @@ def no_protect(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def restore(df: DataFrame, protected: DataFrame, col: str = "content",
-            keys: tuple[str, ...] = ("page_id", "block_idx")) -> DataFrame:
+            keys: tuple[str, ...] = ("page_id", "block_idx"), passes: int = 2) -> DataFrame:
     """Replace every placeholder in ``col`` by its formatted content.
     Rows without placeholders pass straight through; the others are split
     at the keys, joined to the map on ``(page_id, key)`` and re-assembled in
@@ -204,5 +204,6 @@ def restore(df: DataFrame, protected: DataFrame, col: str = "content",
     back = ex.groupBy(*keys).agg(
         F.first(F.col("segs")[0]).alias("head"),
         F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY i)").alias("tail"))
-    fixed = withk.drop(col).join(back.select(*keys, F.concat("head", "tail").alias(col)), keys)
-    return plain.unionByName(fixed.select(*df.columns))
+    fixed = withk.drop(col).join(back.select(*keys, F.concat("head", "tail").alias(col)), keys).select(*df.columns)
+    # a protected block may hold the key of another one: a second pass over what was filled in
+    return plain.unionByName(restore(fixed, protected, col, tuple(keys), passes - 1) if passes > 1 else fixed)

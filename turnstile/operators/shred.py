@@ -289,11 +289,21 @@ def shred_all(pages: DataFrame) -> DataFrame:
 def shred(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Returns (dom_nodes, quarantine). Quarantine rows carry the page html
     back via a join on page_id (only for failed pages)."""
+    spark = pages.sparkSession
+    given = pages.select(F.col("page_id").cast("long").alias("page_id"), "html")
+    # a page_id is the key of every later step: of pages that repeat one, that
+    # with the least hash of its html stays; pages without one are set aside
+    again = given.groupBy("page_id").count().where("count > 1 AND page_id IS NOT NULL").select("page_id")
+    one = (given.join(again, "page_id", "left_semi").groupBy("page_id")
+           .agg(F.min_by("html", F.xxhash64("html")).alias("html")))
+    pages = given.where("page_id IS NOT NULL").join(again, "page_id", "left_anti").unionByName(one)
+    no_id = given.where("page_id IS NULL").select(
+        "page_id", F.lit("shred").alias("stage"), F.lit("no page_id").alias("error"), "html")
     raw = shred_all(pages)
     # one hash partitioning by page_id for the whole DOM pipeline: later
     # windows, aggregates and (page_id, ...) joins reuse it without a shuffle
-    nparts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = raw.filter(F.col("kind") != "error").drop("error").repartition(nparts, "page_id")
     bad = raw.filter(F.col("kind") == "error").select("page_id", F.lit("shred").alias("stage"), "error")
     quarantine = bad.join(pages.select(F.col("page_id").cast("long"), "html"), "page_id", "left")
-    return nodes, quarantine
+    return nodes, quarantine.unionByName(no_id)

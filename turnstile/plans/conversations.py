@@ -79,7 +79,7 @@ def session_json_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("turn", turn.alias("t")))).alias("ts"))
     sess = F.struct(F.struct(F.md5(F.col("conv_id").cast("string")).alias("id"),
                              F.transform("ts", lambda x: x["t"]).alias("turns")).alias("session"))
-    return g.select("conv_id", F.to_json(sess).alias("json"))
+    return g.select("conv_id", F.to_json(sess, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def session_yaml_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +93,7 @@ def session_yaml_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("turn", turn.alias("t")))).alias("ts"))
     sess = F.struct(F.struct(F.md5(F.col("conv_id").cast("string")).alias("id"),
                              F.transform("ts", lambda x: x["t"]).alias("turns")).alias("session"))
-    return g.select("conv_id", F.to_json(sess).alias("yaml"))
+    return g.select("conv_id", F.to_json(sess, {"ignoreNullFields": "false"}).alias("yaml"))
 
 
 def turn_density(spark: SparkSession, sf_dir: str) -> DataFrame:

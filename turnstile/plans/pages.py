@@ -319,12 +319,9 @@ def locate_nodes(spark, sf_dir, attr: str = "class", value: str = "ad", k: int =
     marked = m.filter((F.col("kind") == "tag") & has)
     w = Window.partitionBy("page_id").orderBy("node_id")
     marked = marked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    up = marked.select("page_id", F.col("node_id").alias("marked"), "rank",
-                       F.explode(F.concat("path", F.array("node_id"))).alias("node_id"))
-    hit = up.join(members, ["page_id", "node_id"]).groupBy("page_id", "marked").agg(
-        F.max_by("cluster_id", "node_id").alias("cluster_id"))
-    return (marked.select("page_id", F.col("node_id").alias("marked"), "rank")
-            .join(hit, ["page_id", "marked"], "left"))
+    return (marked.select("page_id", "node_id", "rank")
+            .join(members.select("page_id", "node_id", "cluster_id"), ["page_id", "node_id"], "left")
+            .select("page_id", F.col("node_id").alias("marked"), "rank", "cluster_id"))
 
 
 QUERIES["page_diagnostics"] = page_diagnostics

@@ -7,6 +7,8 @@ in a directory are extracted by a Structured Streaming query.
 * each micro-batch runs the same batch extraction in ``foreachBatch`` and
   overwrites its own ``batch_id=N`` folder, so a replayed batch after a
   failure rewrites rather than duplicates (idempotent sink);
+* quarantine and diagnostics of every micro-batch go to folders of their own
+  beside the turns (``<sink>_quarantine``, ``<sink>_diagnostics``);
 * ``availableNow`` processes what is there and stops.
 """
 
@@ -22,11 +24,13 @@ PAGE_SCHEMA = "page_id long, url string, html string"
 
 
 def start_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                 opts: Options | None = None, max_files_per_trigger: int = 1,
+                 opts: Options | None = None, max_files_per_trigger: int | None = None,
                  dedupe_delay: str = "1 hour"):
     opts = opts or Options()
-    src = (spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(source_dir))
+    reader = spark.readStream.schema(PAGE_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.parquet(source_dir)
     src = (src.withColumn("arrived", F.current_timestamp())
            .withWatermark("arrived", dedupe_delay)
            .dropDuplicatesWithinWatermark(["page_id"])
@@ -34,8 +38,9 @@ def start_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint
 
     def run_batch(df: DataFrame, batch_id: int) -> None:
         ex = extract(df, opts)
-        (ex.turns.write.mode("overwrite")
-         .parquet(os.path.join(sink_dir, f"batch_id={batch_id}")))
+        for out, folder in ((ex.turns, sink_dir), (ex.quarantine, f"{sink_dir}_quarantine"),
+                            (ex.diagnostics, f"{sink_dir}_diagnostics")):
+            out.write.mode("overwrite").parquet(os.path.join(folder, f"batch_id={batch_id}"))
 
     return (src.writeStream.foreachBatch(run_batch)
             .option("checkpointLocation", checkpoint_dir)
@@ -43,7 +48,7 @@ def start_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint
 
 
 def run_to_completion(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                      opts: Options | None = None, max_files_per_trigger: int = 1) -> DataFrame:
+                      opts: Options | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     q = start_stream(spark, source_dir, sink_dir, checkpoint_dir, opts, max_files_per_trigger)
     q.awaitTermination()
     return spark.read.parquet(sink_dir)
