@@ -1,5 +1,6 @@
 """The file stream gives the same turns as the batch job, across several
-micro-batches, and a re-delivered page is not extracted twice."""
+micro-batches, and a re-delivered page is not extracted twice. Pages without
+an id are all in the stream's quarantine."""
 
 import os
 import uuid
@@ -13,6 +14,7 @@ PAGES = [
     (1, "<html><body><div>first block of words</div><hr><div>second block of words</div></body></html>"),
     (2, "<html><body><p>Only one paragraph of several words</p></body></html>"),
 ]
+NO_ID = [(None, "<p>a page</p>"), (None, "<p>another page</p>")]
 
 
 def test_stream_matches_batch(spark):
@@ -22,9 +24,12 @@ def test_stream_matches_batch(spark):
     df.filter("page_id = 1").write.parquet(os.path.join(src, "a"))
     df.filter("page_id = 2").write.parquet(os.path.join(src, "b"))
     df.filter("page_id = 1").write.parquet(os.path.join(src, "c"))   # re-delivered page
+    pages_df(spark, NO_ID).write.parquet(os.path.join(src, "d"))
     opts = Options(detector="heuristic")
     out = run_to_completion(spark, os.path.join(src, "*"), os.path.join(base, "out"),
                             os.path.join(base, "ckpt"), opts)
     got = sorted((r.page_id, r.idx, r.content) for r in out.collect())
     want = sorted((r.page_id, r.idx, r.content) for r in extract(df, opts).turns.collect())
     assert got == want
+    aside = spark.read.parquet(os.path.join(base, "out_quarantine")).where("error = 'no page_id'")
+    assert sorted(r.html for r in aside.collect()) == sorted(h for _, h in NO_ID)

@@ -3,7 +3,10 @@ in a directory are extracted by a Structured Streaming query.
 
 * source: ``readStream`` parquet files ``(page_id, url, html)``;
 * re-delivered pages are dropped with a watermark on arrival time and
-  ``dropDuplicatesWithinWatermark(["page_id"])`` (bounded state);
+  ``dropDuplicatesWithinWatermark`` by ``page_id`` (bounded state); pages
+  without an id count as re-delivered only if their html is the same;
+* each micro-batch is checkpointed once, as every further use of it would run
+  the stateful step again, and on the same state at the same time;
 * each micro-batch runs the same batch extraction in ``foreachBatch`` and
   overwrites its own ``batch_id=N`` folder, so a replayed batch after a
   failure rewrites rather than duplicates (idempotent sink);
@@ -19,6 +22,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnstile.operators.extract import Options, extract
+from turnstile.session import materialize
 
 PAGE_SCHEMA = "page_id long, url string, html string"
 
@@ -32,12 +36,13 @@ def start_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(source_dir)
     src = (src.withColumn("arrived", F.current_timestamp())
+           .withColumn("no_id", F.when(F.col("page_id").isNull(), F.sha2("html", 256)))
            .withWatermark("arrived", dedupe_delay)
-           .dropDuplicatesWithinWatermark(["page_id"])
-           .drop("arrived"))
+           .dropDuplicatesWithinWatermark(["page_id", "no_id"])
+           .drop("arrived", "no_id"))
 
     def run_batch(df: DataFrame, batch_id: int) -> None:
-        ex = extract(df, opts)
+        ex = extract(materialize(df), opts)
         for out, folder in ((ex.turns, sink_dir), (ex.quarantine, f"{sink_dir}_quarantine"),
                             (ex.diagnostics, f"{sink_dir}_diagnostics")):
             out.write.mode("overwrite").parquet(os.path.join(folder, f"batch_id={batch_id}"))
