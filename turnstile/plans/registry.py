@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnstile.plans import conversations, documents, pages, roundtrip
+from turnstile.plans import conversations, documents, pages, planted, roundtrip
 
 
 def _modules():
-    return [conversations, roundtrip, pages, documents]
+    return [conversations, roundtrip, pages, documents, planted]
 
 
 def queries():
