@@ -222,6 +222,14 @@ def test_secrets(spark, nothing):
     assert secrets.secrets(nothing).collect() == []
 
 
+def test_secret_counts(spark, tmp_path, nothing):
+    for k, docs in enumerate((documents(spark, SECRETS + ODD), nothing)):
+        docs.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        got = secrets.op3_secrets(spark, f"{tmp_path}/{k}").collect()
+        want = [(d, *[sum(s[1] == kind for s in base_spans(t or "")) for kind in range(3)]) for d, t in SECRETS + ODD] if k == 0 else []
+        assert sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_secret_digest(spark):
     from pyspark.sql import functions as F
     one = secrets.secrets(documents(spark, [(1, f"token={HEX} {HEX}"), (2, None)]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnstile.llm import decontaminate, line_dedup, near_dup, neighbours, pieces, quality, secrets, token_counts, toxicity, url_filter
+from turnstile.llm import decontaminate, line_dedup, near_dup, neighbours, oracles, pieces, quality, secrets, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
@@ -19,5 +19,8 @@ QUERIES = {
 
 ORACLE = {
     "op2_url_filter": url_filter.OP2_SQL,
+    "op3_secrets": oracles.OP3_SQL,
+    "op7_decontaminate": oracles.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op10_near_dup": oracles.OP10_SQL,
 }

@@ -95,6 +95,10 @@ def listed(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def number_of(kind: int) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
             max_owners: int = MAX_OWNERS) -> DataFrame:
     """Per document: doc_id, spans (array of start, kind, end, value hash,
@@ -123,9 +127,8 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(read_table(spark, sf_dir, "documents"))
-    count = {k: F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}")
-             for i, k in enumerate(KINDS[:3])}
+    count = [number_of(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
     return found.select(
-        "doc_id", *count.values(), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        "doc_id", *count, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
