@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnstile.functions.text import squeeze_once
+from turnstile.functions.text import fmt2, preview, squeeze_once
 from turnstile.operators.protect import KEY_PATTERN
 
 DEFAULT_TITLE = "Chat export"
+#: Column of a document by its format.
+DOCUMENT_COLUMN = {"md": "markdown", "json": "json"}
 
 
 def _ordered(col: str, order: str = "idx") -> Column:
@@ -75,9 +77,25 @@ def typed_parts(turns: DataFrame, raw_content: DataFrame, protected: DataFrame)
     return txt.unionByName(keys)
 
 
+def render_report(turns: DataFrame, date: str, version: str, fmt: str = "md") -> DataFrame:
+    """Header facts, then for each turn its role, confidence and the
+    first 120 characters."""
+    line = F.concat(F.lit("### Turn "), F.col("idx").cast("string"), F.lit(" - "), F.col("role"),
+                    F.lit(" (confidence: "), fmt2(F.col("confidence")), F.lit(")\n> "),
+                    preview(F.col("content")), F.lit("\n\n"))
+    g = turns.withColumn("line", line).groupBy("page_id").agg(F.count("*").alias("n"), _ordered("line").alias("lines"))
+    head = F.concat(F.lit("# Extraction report - "), F.col("page_id").cast("string"),
+                    F.lit(f"\n\n- **Date**: {date}\n- **Status**: SUCCESS\n- **Version**: {version}\n"
+                          f"- **Format**: {fmt}\n- **Turns**: "), F.col("n").cast("string"))
+    return g.select("page_id", F.concat(head, F.lit("\n\n## Turns\n\n"), F.col("lines")).alias("report"))
+
+
 def write_documents(docs: DataFrame, path: str, fmt: str = "md") -> None:
-    """One document per page; partitioned by a hash bucket of page_id so
-    no single writer task receives every page."""
-    col = {"md": "markdown", "json": "json"}[fmt]
-    out = docs.select(F.pmod(F.xxhash64("page_id"), F.lit(64)).alias("bucket"), "page_id", col)
-    out.write.mode("overwrite").partitionBy("bucket").parquet(os.path.join(path, fmt))
+    """One document per page. Each task writes the pages that it has to
+    one file, so the files are as many as the tasks, and no page moves."""
+    docs.select("page_id", DOCUMENT_COLUMN[fmt]).write.mode("overwrite").parquet(os.path.join(path, fmt))
+
+
+def read_documents(spark: SparkSession, path: str, fmt: str = "md") -> DataFrame:
+    """What ``write_documents`` wrote: page_id and the document's column."""
+    return spark.read.parquet(os.path.join(path, fmt))

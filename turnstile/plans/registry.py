@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnstile.plans import conversations, documents, pages, planted, roundtrip
+from turnstile.plans import chat_documents, conversations, documents, pages, planted, roundtrip
 
 
 def _modules():
-    return [conversations, roundtrip, pages, documents, planted]
+    return [conversations, roundtrip, pages, documents, planted, chat_documents]
 
 
 def queries():
