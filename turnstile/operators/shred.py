@@ -97,7 +97,9 @@ class _RowBuilder(HTMLParser):
         self.stack: list[int] = []          # open element ids, document first
         self.stack_names: list[str] = []
         self.open_count: dict[str, int] = {}
-        self.void_closed: list[str] = []
+        self.void_open: dict[str, int] = {}     # void elements whose end tag hasn't come, by name
+        self.containers: list[str] = []         # open elements whose strings have a kind of their own
+        self.keep_space = 0                     # open elements that keep white space
         self.buf: list[str] = []
         self._add("document", "#document", None, None, None)
         self.stack.append(0)
@@ -132,25 +134,26 @@ class _RowBuilder(HTMLParser):
             return
         s = "".join(self.buf)
         self.buf = []
-        if not s.strip(ASCII_SPACE) and not any(
-                n in KEEP_WHITESPACE for n in self.stack_names):
+        if not self.keep_space and not s.strip(ASCII_SPACE):
             s = "\n" if "\n" in s else " "
-        kind = "text"
-        for n in reversed(self.stack_names):
-            if n in STRING_CONTAINERS:
-                kind = n
-                break
+        kind = self.containers[-1] if self.containers else "text"
         self._add(kind, None, None, None, s, start=self.buf_start, end=self._here())
 
     def _push(self, nid: int, name: str) -> None:
         self.stack.append(nid)
         self.stack_names.append(name)
         self.open_count[name] = self.open_count.get(name, 0) + 1
+        self.keep_space += name in KEEP_WHITESPACE
+        if name in STRING_CONTAINERS:
+            self.containers.append(name)
 
     def _pop(self, src_end: int | None = None) -> str:
         nid = self.stack.pop()
         name = self.stack_names.pop()
         self.open_count[name] -= 1
+        self.keep_space -= name in KEEP_WHITESPACE
+        if name in STRING_CONTAINERS:
+            self.containers.pop()
         self.ends[nid] = len(self.ids) - 1
         self.src_ends[nid] = self._here() if src_end is None else src_end
         return name
@@ -168,7 +171,7 @@ class _RowBuilder(HTMLParser):
         if self_closing:
             return
         if tag in VOID_ELEMENTS:
-            self.void_closed.append(tag)
+            self.void_open[tag] = self.void_open.get(tag, 0) + 1
             return
         self._push(nid, tag)
 
@@ -177,8 +180,8 @@ class _RowBuilder(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag in self.void_closed:
-            self.void_closed.remove(tag)
+        if self.void_open.get(tag):
+            self.void_open[tag] -= 1
             return
         if not self.open_count.get(tag):
             return

@@ -129,10 +129,10 @@ def score_clusters(members: DataFrame, cands: DataFrame, facts: DataFrame) -> Da
                     score.alias("score"))
 
 
-def dedupe_and_pick(members: DataFrame, cands: DataFrame, scores: DataFrame) -> DataFrame:
-    """O49 + O50: drop a cluster covered (member-wise, ancestor-or-self) by a
-    higher-scoring cluster, then keep the best cluster per page (ties: the
-    earlier cluster). Returns the champion's members."""
+def uncovered(members: DataFrame, cands: DataFrame, scores: DataFrame) -> DataFrame:
+    """(page_id, cluster_id, n, score) without the clusters that a
+    higher-scoring cluster covers (each member lies in one of its members).
+    A page's best cluster is never among those, so only reports need this."""
     mem = members.join(cands.select("page_id", "node_id", "path"), ["page_id", "node_id"])
     up = mem.select("page_id", "cluster_id", "node_id", F.explode("path").alias("anc"))
     other = members.select("page_id", F.col("node_id").alias("anc"), F.col("cluster_id").alias("c2"))
@@ -143,10 +143,14 @@ def dedupe_and_pick(members: DataFrame, cands: DataFrame, scores: DataFrame) ->
     red = (cover.join(s1, ["page_id", "cluster_id"]).filter(F.col("k") == F.col("n"))
            .join(s2, ["page_id", "c2"]).filter(F.col("score2") > F.col("score"))
            .select("page_id", "cluster_id").distinct())
-    alive = s1.join(red, ["page_id", "cluster_id"], "left_anti")
-    w = Window.partitionBy("page_id").orderBy(F.col("score").desc(), F.col("cluster_id"))
-    champ = alive.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") == 1)
-    return members.join(champ.select("page_id", "cluster_id"), ["page_id", "cluster_id"])
+    return s1.join(red, ["page_id", "cluster_id"], "left_anti")
+
+
+def champions(members: DataFrame, scores: DataFrame) -> DataFrame:
+    """Members of the best cluster per page (ties: the earlier cluster)."""
+    rank = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("s"), F.col("cluster_id").alias("c"))
+    best = scores.groupBy("page_id").agg(F.min_by("cluster_id", rank).alias("cluster_id"))
+    return members.join(best, ["page_id", "cluster_id"])
 
 
 def topo_blocks(m: DataFrame, facts: DataFrame, min_density: int = 3, lookback: int = 3,
@@ -154,7 +158,7 @@ def topo_blocks(m: DataFrame, facts: DataFrame, min_density: int = 3, lookback:
     cands = materialize(candidates(m, min_density))
     members = materialize(merge_clusters(cands, lookback))
     scores = materialize(score_clusters(members, cands, facts))
-    best = dedupe_and_pick(members, cands, scores).select("page_id", "node_id")
+    best = champions(members, scores).select("page_id", "node_id")
     if with_scores:
         return best, members, scores
     return best

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from turnstile.operators.extract import Options, extract, prepare
 from turnstile.operators.metrics import page_facts
 from turnstile.operators.predicates import SOURCE_RULES
-from turnstile.operators.topology import fingerprint, topo_blocks
+from turnstile.operators.topology import candidates, fingerprint, topo_blocks, uncovered
 from turnstile.sources.tables import read_table
 from turnstile.session import materialize
 
@@ -121,6 +121,13 @@ def cluster_top10(spark, sf_dir, k: int = 10):
             .select("page_id", "rank", "cluster_id", "n", "avg_density", "score", "fingerprint"))
 
 
+def clusters_uncovered(spark, sf_dir):
+    """The clusters of each page that no higher-scoring one covers."""
+    m, _, _ = prepare(_pages(spark, sf_dir), Options())
+    _, members, scores = topo_blocks(m, materialize(page_facts(m)), with_scores=True)
+    return uncovered(members, candidates(m), scores)
+
+
 def node_paths(spark, sf_dir, term: str = "the"):
     """Text nodes containing ``term`` with the tag path above them."""
     m, _, _ = prepare(_pages(spark, sf_dir), Options(raw=True))
@@ -179,6 +186,7 @@ QUERIES = {
     "page_quarantine": page_quarantine,
     "page_density": page_density,
     "cluster_top10": cluster_top10,
+    "clusters_uncovered": clusters_uncovered,
     "node_paths": node_paths,
 }
 
