@@ -117,6 +117,35 @@ def test_token_counts_job(spark, odd, nothing):
     assert token_counts.token_counts(spark, nothing).collect() == []
 
 
+def greedy_marked(pieces_, word):
+    """Greedy longest match over the mark and the word as one string of bytes."""
+    rest, n, at = {p for p in pieces_ if not p.startswith(b" ")}, 0, 0
+    word = b" " + word
+    while at < len(word):
+        known = pieces_ if at == 0 else rest
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in known), None)
+        if end is None:
+            return 1
+        at, n = end, n + 1
+    return n
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sets(st.text("abc ", min_size=1, max_size=5).map(str.encode), max_size=14),
+       st.lists(st.text("abcd", min_size=1, max_size=9).map(str.encode), max_size=8))
+def test_longest_match_after_the_mark_alone(vocab, words):
+    m = token_counts.LongestMatch(sorted(vocab), alone=True)
+    assert [m.count(w) for w in words] == [greedy_marked(vocab, w) for w in words]
+
+
+def test_token_counts_of_text_without_spaces(spark):
+    vocab = set(token_counts.read_vocab())
+    texts = ["一不中人你", "不知道你在说什么 一個人", "ประเทศไทย สวัสดีครับ", "뷁쀍 한국어", "一" * 1000, "a 一b ｆ"]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark, documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: sum(greedy_marked(vocab, w) for w in t.encode().split()) for i, t in enumerate(texts)}
+    assert got[4] >= 1000
+
+
 # -- decontamination
 
 def brute_hits(items, text, window=10):

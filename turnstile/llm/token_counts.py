@@ -8,8 +8,9 @@ of its pieces in time linear in the word.
 
 A word is a run without ASCII white space. Its first piece is looked up with
 the vocabulary's word mark (a leading space here) and the following pieces
-without. A word that can't be cut whole into pieces counts as one unknown
-piece.
+without. Where no piece of the mark and the word's first bytes exists, the
+mark alone is the first piece if the vocabulary has it. A word that can't be
+cut whole into pieces counts as one unknown piece.
 """
 
 from __future__ import annotations
@@ -37,16 +38,20 @@ class LongestMatch:
     """Trie of both kinds of pieces with failure links and cut counts.
 
     State 0 is the root of first pieces, state 1 that of following pieces.
+    With ``alone``, a piece that is the mark alone leads from state 0 to
+    state 1; without it, such a piece is left out.
     ``count(word)``: number of greedy longest-match pieces."""
 
-    def __init__(self, pieces: list[bytes], mark: bytes = MARK) -> None:
+    def __init__(self, pieces: list[bytes], mark: bytes = MARK, alone: bool = False) -> None:
         self.next: dict[int, int] = {}
         self.ends = bytearray(2)
         parent, label = [0, 0], [0, 0]
+        found_alone = False
         for piece in pieces:
             first = piece.startswith(mark)
             body = piece[len(mark):] if first else piece
             if not body:
+                found_alone |= first
                 continue
             node = 0 if first else 1
             for byte in body:
@@ -61,6 +66,8 @@ class LongestMatch:
             self.ends[node] = 1
         n = len(parent)
         self.fail, self.cut = [-1] * n, [0] * n
+        if alone and found_alone:
+            self.fail[0], self.cut[0] = 1, 1
         children: dict[int, list[int]] = {}
         for node in range(2, n):
             children.setdefault(parent[node], []).append(node)
@@ -123,7 +130,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocab_path: str = VOCAB_P
     pieces = spark.sparkContext.broadcast(read_vocab(vocab_path))
 
     def start():
-        memo = Memo(LongestMatch(pieces.value, mark))
+        memo = Memo(LongestMatch(pieces.value, mark, alone=True))
 
         def work(texts, part):
             words = list(map(bytes.split, texts))
