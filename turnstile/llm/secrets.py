@@ -4,9 +4,10 @@ Spans of the base kinds (assign, access, hex) and of the candidate kinds
 (private key headers, provider tokens, signed web tokens, opaque tokens) are
 found in each whole text. The value of each span is hashed, and for each
 hash the distinct repositories and owners that hold it are counted over the
-corpus. A candidate that many owners hold is a widely copied example; one
-that stays with few owners looks live, and its span is added. Base spans
-stay whatever their class, which is returned beside them.
+corpus. A candidate that many owners hold, or many repositories of few
+owners, is a widely copied example; one that stays with few owners and few
+repositories looks live, and its span is added. Base spans stay whatever
+their class, which is returned beside them with both counts.
 
 Only hashes and offsets are shuffled, never text. The counts are summed
 before each shuffle: first by (hash, owner, repository), then by (hash,
@@ -39,6 +40,8 @@ CANDIDATES = [
 KINDS = [k for k, *_ in BASE + CANDIDATES]
 #: A value held by more owners than this is a widely copied example.
 MAX_OWNERS = 3
+#: Within those owners, so is one held by more repositories than this.
+MAX_REPOSITORIES = 100
 
 SPAN = "array<struct<start:long,kind:int,end:long,value:long>>"
 
@@ -100,12 +103,13 @@ def number_of(kind: int) -> Column:
 
 
 def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
-            max_owners: int = MAX_OWNERS) -> DataFrame:
+            max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """Per document: doc_id, spans (array of start, kind, end, value hash,
-    live), sorted by start, then kind.
+    live, n_owners, n_repositories), sorted by start, then kind.
 
     Base spans are all there, ``live`` false on those that more than
-    ``max_owners`` owners hold; candidate spans are there only if live. Null
+    ``max_owners`` owners or more than ``max_repositories`` repositories
+    hold; candidate spans are there only if live. Null
     and empty texts have no span. Rows that repeat a doc_id each give a row;
     a null owner is an owner, a null repository a repository. Other columns
     are ignored."""
@@ -113,12 +117,13 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     some = found.where(F.size("spans") > 0)
     each = some.select("row", F.explode("spans").alias("s"))
     known = ownership(some)
-    live = F.col("n_owners") <= max_owners
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
     judged = (each.join(known, each["s.value"] == known["value"])
               .where(live | (F.col("s.kind") < len(BASE)))
-              .select("row", F.struct("s.start", "s.kind", "s.end", "s.value", live.alias("live")).alias("s")))
+              .select("row", F.struct("s.start", "s.kind", "s.end", "s.value", live.alias("live"),
+                                      "n_owners", "n_repositories").alias("s")))
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans"))
-    kind = "array<struct<start:long,kind:int,end:long,value:long,live:boolean>>"
+    kind = "array<struct<start:long,kind:int,end:long,value:long,live:boolean,n_owners:long,n_repositories:long>>"
     with_spans = (some.select("row", "doc_id").join(by_row, "row", "left")
                   .select("doc_id", F.coalesce("spans", F.array().cast(kind)).alias("spans")))
     return with_spans.unionByName(
