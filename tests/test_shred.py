@@ -1,6 +1,10 @@
-"""Tree contract of the shred (pure Python helper, no Spark needed)."""
+"""Tree contract of the shred (pure Python helper, no Spark needed), and what
+it sets aside."""
 
-from turnstile.operators.shred import _page_columns
+import pytest
+
+from conftest import pages_df
+from turnstile.operators.shred import _page_columns, shred
 
 
 def rows(html):
@@ -69,3 +73,27 @@ def test_source_spans():
     assert span["b"] == "<b>there</b>" and span["br"] == "<br>" and span["p"] == "<p>x"
     assert span["body"] == '<body><div class="a">Hi <b>there</b></div><br><p>x</body>'
     assert span["there"] == "there"
+
+
+def test_pages_that_repeat_a_page_id_reach_the_quarantine(spark):
+    short, long, single = "<p>one</p>", "<p>another crawl of it</p>", "<p>single</p>"
+    pages = [(1, short), (1, long), (1, long), (2, single), (3, None), (3, short), (4, single), (4, single), (None, short)]
+    kept = {}
+    for repeated in ("least_hash", "longest"):
+        nodes, quarantine = shred(pages_df(spark, pages), repeated)
+        texts = sorted((r.page_id, r.text) for r in nodes.where("kind = 'text'").collect())
+        aside = [(r.page_id, r.error, r.html) for r in quarantine.collect()]
+        assert (None, "no page_id", short) in aside
+        aside = [(i, h) for i, e, h in aside if e == "repeated page_id"]
+        assert sorted(i for i, _ in aside) == [1, 1, 3, 4]
+        # each given row is either shredded or set aside
+        for i in (1, 4):
+            left = [h for j, h in pages if j == i]
+            for _, h in (x for x in aside if x[0] == i):
+                left.remove(h)
+            assert [t for j, t in texts if j == i] == [h[3:-4] for h in left]
+        assert {t for j, t in texts if j == 2} == {"single"}
+        kept[repeated] = texts
+    assert (1, "another crawl of it") in kept["longest"] and (3, "one") in kept["longest"]
+    with pytest.raises(ValueError):
+        shred(pages_df(spark, pages), "first")

@@ -39,6 +39,7 @@ class Options:
     min_density: int = 3
     lookback: int = 3
     min_coverage: float = MIN_COVERAGE
+    repeated: str = "least_hash"  # page that stays of a repeated page_id (or longest); others: quarantine
 
 
 @dataclass
@@ -53,7 +54,7 @@ class Extraction:
 
 def prepare(pages: DataFrame, opts: Options):
     co_partition_by_prefix(pages.sparkSession)
-    nodes, quarantine = shred(pages)
+    nodes, quarantine = shred(pages, opts.repeated)
     nodes = materialize(nodes)
     pn, protected = (no_protect(nodes) if opts.raw else protect(nodes, opts.data_latex))
     m = materialize(with_metrics(mark_noise(pn)))

@@ -289,19 +289,40 @@ def shred_all(pages: DataFrame) -> DataFrame:
     return src.mapInArrow(_shred_batches, NODE_SCHEMA)
 
 
-def shred(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Of pages that repeat a page_id, the one with the least of these stays.
+REPEATED = {"least_hash": lambda html: F.xxhash64(html),
+            "longest": lambda html: -F.coalesce(F.length(html), F.lit(-1))}
+
+
+def set_aside(again: DataFrame, repeated: str) -> tuple[DataFrame, DataFrame]:
+    """Pages that repeat a page_id -> (the one of each page_id that stays,
+    every other row). Equal pages are counted, not ranked."""
+    if repeated not in REPEATED:
+        raise ValueError(f"repeated: one of {sorted(REPEATED)}, not {repeated!r}")
+    rank = F.struct(REPEATED[repeated](F.col("html")).alias("r"), F.xxhash64("html").alias("h"), "html")
+    forms = again.groupBy("page_id", "html").agg(F.count(F.lit(1)).alias("n"))
+    one = forms.groupBy("page_id").agg(F.min_by("html", rank).alias("html"))
+    stays = one.select("page_id", F.col("html").alias("kept"))
+    rest = (forms.join(stays, "page_id")
+            .withColumn("n", F.col("n") - F.col("html").eqNullSafe(F.col("kept")).cast("long"))
+            .where("n > 0").select("page_id", "html", F.explode(F.sequence(F.lit(1), "n"))))
+    return one, rest.select("page_id", "html")
+
+
+def shred(pages: DataFrame, repeated: str = "least_hash") -> tuple[DataFrame, DataFrame]:
     """Returns (dom_nodes, quarantine). Quarantine rows carry the page html
-    back via a join on page_id (only for failed pages)."""
+    back via a join on page_id (only for failed pages). ``repeated``: which
+    of the pages that repeat a page_id stays (``REPEATED``)."""
     spark = pages.sparkSession
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "html")
-    # a page_id is the key of every later step: of pages that repeat one, that
-    # with the least hash of its html stays; pages without one are set aside
+    # a page_id is the key of every later step: of pages that repeat one, one
+    # stays and the others are set aside, as are pages without a page_id
     again = given.groupBy("page_id").count().where("count > 1 AND page_id IS NOT NULL").select("page_id")
-    one = (given.join(again, "page_id", "left_semi").groupBy("page_id")
-           .agg(F.min_by("html", F.xxhash64("html")).alias("html")))
+    one, rest = set_aside(given.join(again, "page_id", "left_semi"), repeated)
     pages = given.where("page_id IS NOT NULL").join(again, "page_id", "left_anti").unionByName(one)
     no_id = given.where("page_id IS NULL").select(
         "page_id", F.lit("shred").alias("stage"), F.lit("no page_id").alias("error"), "html")
+    other = rest.select("page_id", F.lit("shred").alias("stage"), F.lit("repeated page_id").alias("error"), "html")
     raw = shred_all(pages)
     # one hash partitioning by page_id for the whole DOM pipeline: later
     # windows, aggregates and (page_id, ...) joins reuse it without a shuffle
@@ -309,4 +330,4 @@ def shred(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = raw.filter(F.col("kind") != "error").drop("error").repartition(nparts, "page_id")
     bad = raw.filter(F.col("kind") == "error").select("page_id", F.lit("shred").alias("stage"), "error")
     quarantine = bad.join(pages.select(F.col("page_id").cast("long"), "html"), "page_id", "left")
-    return nodes, quarantine.unionByName(no_id)
+    return nodes, quarantine.unionByName(no_id).unionByName(other)
