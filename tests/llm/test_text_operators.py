@@ -278,3 +278,11 @@ def test_secrets_copied_within_one_source(spark):
     # the candidate of too many documents of one source goes, the base span stays, not live
     assert all(spans[k] == [("assign", False, 1, many)] for k in range(many))
     assert all(spans[1000 + k] == [(kind, True, 1, few) for kind in ("provider", "opaque", "assign")] for k in range(few))
+
+
+def test_opaque_run_is_judged_by_itself(spark):
+    long = "g" * 70 + "1b2c3d"
+    rows = [(1, f"x {long} y"), (2, "Donaudampfschifffahrtsgesellschaft von 1829"), (3, "-" * 30 + " page 12"),
+            (4, "-" * 80 + "1z"), (5, "Donaudampfschifffahrt aB3aB3aB3aB3aB3aB3aB3aB3")]
+    got = {r.doc_id: [(secrets.KINDS[s.kind], s.start, s.end) for s in r.spans] for r in secrets.secrets(documents(spark, rows)).collect()}
+    assert got == {1: [("opaque", 2, 2 + len(long))], 2: [], 3: [], 4: [("opaque", 0, 82)], 5: [("opaque", 22, 46)]}

@@ -18,6 +18,9 @@ hash, which Spark can split where a hash is hot.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnstile.llm.common import checkpoint, read_table
@@ -35,8 +38,10 @@ CANDIDATES = [
     ("private_key", r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)", 1, 1),
     ("provider", r"\b((?:gh[opsu]|glpat|xox[abprs]|sk|pk|rk)[_-][A-Za-z0-9_-]{16,})", 1, 16),
     ("web_token", r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 8),
-    ("opaque", r"(?<![A-Za-z0-9+/_=-])((?=[^0-9]{0,64}[0-9])(?=[^A-Za-z]{0,64}[A-Za-z])[A-Za-z0-9+/_=-]{20,})", 1, 20),
+    ("opaque", r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{20,})", 1, 20),
 ]
+#: What the value of a kind must hold besides, looked for in the whole value.
+NEEDED = {"opaque": ("[0-9]", "[A-Za-z]")}
 KINDS = [k for k, *_ in BASE + CANDIDATES]
 #: A value held by more owners than this is a widely copied example.
 MAX_OWNERS = 3
@@ -50,8 +55,10 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
     """Spans of one kind in a text: what lies between the matches and the
     matches themselves, in turn, give the offsets in code points."""
     p = F.lit(pattern)
+    needed = NEEDED.get(KINDS[kind], ())
     between, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)), \
         F.regexp_extract_all(text, p, F.lit(group))
+    drop = lambda v: reduce(or_, (~F.rlike(v, F.lit(n)) for n in needed), F.length(v) < least)
     steps = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), value.alias("v")),
                        lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m["w"]).alias("size"), m["v"].alias("v")))
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
@@ -59,7 +66,7 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Col
         steps, empty,
         lambda a, s: F.struct(
             (a["at"] + s["gap"] + s["size"]).alias("at"),
-            F.when(F.length(s["v"]) < least, a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(
+            F.when(drop(s["v"]), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(
                 (a["at"] + s["gap"]).alias("start"), F.lit(kind).alias("kind"),
                 (a["at"] + s["gap"] + s["size"]).alias("end"), F.xxhash64(F.lit(3), s["v"]).alias("value"))))).alias("out")),
         lambda a: a["out"])
