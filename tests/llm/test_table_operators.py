@@ -212,6 +212,15 @@ def test_neighbours_exact_where_all_is_searched(spark):
     assert neighbours.neighbours(spark, df.where("vec_id IN (20, 21)")).count() == 1
 
 
+def test_neighbours_ties_of_distinct_vectors(spark):
+    rows = [(i, [1.0, float(k % 7), float(k // 7), 0.0]) for i, k in enumerate(np.random.default_rng(3).permutation(300))]
+    rows += [(1000, [3.0, 0.0, 0.0, 0.0])]  # one score with each of 300 vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.rank, r.vec_id) for r in neighbours.neighbours(spark, df).where("query_id = 1000").collect())
+    assert got == [(k + 1, j) for k, (_, j) in enumerate(brute_neighbours(rows)[1000])]
+    assert [j for _, j in got] == list(range(20))
+
+
 def test_forest_recall(spark, monkeypatch):
     """Many leaves, chunks, groups and query blocks; recall against brute force."""
     for name, value in (("LEAF_ROWS", 32), ("CANDIDATES", 300), ("CHUNK_ROWS", 16), ("GROUP_ROWS", 512), ("QUERY_ROWS", 40)):

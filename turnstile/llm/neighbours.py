@@ -29,6 +29,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnstile.llm.common import checkpoint, read_table
@@ -43,6 +44,8 @@ SHARE = 1.0
 CHUNK_ROWS = 16384
 GROUP_ROWS = 65536
 QUERY_ROWS = 16384
+#: Scores this near, in lengths of the vectors, may be equal but for rounding.
+TIE = 1e-12
 
 
 class Forest:
@@ -225,11 +228,17 @@ def nearest_classes(spark: SparkSession, classes: DataFrame, nearest: int) -> Da
     asks = classes.where("asked").select("a", "b", "v").mapInArrow(
         put_queries, f"grp long, chunks array<long>, a long, b long, v {kind}")
 
+    def exact(q, v, at_q, at_v):
+        return np.concatenate([np.zeros(0), *[
+            (q[at_q[lo:lo + 8192]] * v[at_v[lo:lo + 8192]]).sum(1) for lo in range(0, len(at_q), 8192)]])
+
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         keep = nearest + 1
         rows_q, rows_v, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if left.num_rows and right.num_rows:
             q, v = matrix(left["v"], dim), matrix(right["v"], dim)
+            least = pc.list_element(right["ids"].combine_chunks(), 0).to_numpy(zero_copy_only=False)
+            tie = TIE * np.linalg.norm(q, axis=1) * np.linalg.norm(v, axis=1).max()
             lists = left["chunks"].combine_chunks()
             q_chunk = lists.flatten().to_numpy()
             q_row = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
@@ -246,18 +255,30 @@ def nearest_classes(spark: SparkSession, classes: DataFrame, nearest: int) -> Da
                     some = asking[lo:lo + 512]
                     s = q[some] @ v[own].T
                     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                    # of more rows that tie with the k-th those of the smallest ids
+                    bound = np.take_along_axis(s, top, 1).min(1) - tie[some]
+                    for i in np.flatnonzero((s >= bound[:, None]).sum(1) > k):
+                        tied = np.flatnonzero(s[i] >= bound[i])
+                        e = exact(q, v, np.full(len(tied), some[i]), own[tied])
+                        top[i] = tied[np.lexsort((least[own[tied]], -e))[:k]]
                     rows_q.append(np.repeat(some, k))
                     rows_v.append(own[top].ravel())
                     scores.append(np.take_along_axis(s, top, 1).ravel())
         at_q, at_v, s = map(np.concatenate, (rows_q, rows_v, scores))
-        order = np.lexsort((-s, at_q))
-        at_q, at_v = at_q[order], at_v[order]
-        rank = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
-        at_q, at_v = at_q[rank < keep], at_v[rank < keep]
-        exact = [(q[at_q[lo:lo + 8192]] * v[at_v[lo:lo + 8192]]).sum(1) for lo in range(0, len(at_q), 8192)]
+        if len(at_q):  # by score, with what ties at the cut; then by exact score and id
+            order = np.lexsort((-s, at_q))
+            at_q, at_v, s = at_q[order], at_v[order], s[order]
+            first, after = np.searchsorted(at_q, at_q), np.searchsorted(at_q, at_q, "right")
+            near = s >= s[np.minimum(first + keep, after) - 1] - tie[at_q]
+            at_q, at_v = at_q[near], at_v[near]
+            s = exact(q, v, at_q, at_v)
+            order = np.lexsort((least[at_v], -s, at_q))
+            at_q, at_v, s = at_q[order], at_v[order], s[order]
+            rank = np.arange(len(at_q)) - np.searchsorted(at_q, at_q)
+            at_q, at_v, s = at_q[rank < keep], at_v[rank < keep], s[rank < keep]
         taken = pa.array(at_q)
         return pa.table({"a": left["a"].take(taken), "b": left["b"].take(taken),
-                         "score": np.concatenate([np.zeros(0), *exact]), "ids": right["ids"].take(pa.array(at_v))})
+                         "score": s, "ids": right["ids"].take(pa.array(at_v))})
 
     pairs = asks.groupBy("grp").cogroup(index.groupBy("grp")).applyInArrow(
         score, "a long, b long, score double, ids array<long>")
