@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from turnstile.llm import decontaminate, line_dedup, near_dup, neighbours, oracles, pieces, quality, secrets, token_counts, toxicity, url_filter
+from turnstile.llm import (decontaminate, line_dedup, near_dup, neighbours, oracles, pieces, quality, resample, secrets,
+                           token_counts, toxicity, url_filter, vector_codes, word_bpe)
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_near_dup": near_dup.op10_near_dup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_word_bpe": word_bpe.op12_word_bpe,
+    "op13_resample": resample.op13_resample,
 }
 
 ORACLE = {
@@ -23,4 +27,6 @@ ORACLE = {
     "op7_decontaminate": oracles.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
     "op10_near_dup": oracles.OP10_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op13_resample": resample.OP13_SQL,
 }
