@@ -5,7 +5,7 @@ methods."""
 from __future__ import annotations
 
 from turnstile.llm.decontaminate import WINDOW
-from turnstile.llm.secrets import BASE, CANDIDATES, KINDS, MAX_OWNERS
+from turnstile.llm.secrets import BASE, CANDIDATES, KINDS, MAX_OWNERS, MAX_REPOSITORIES
 
 #: Where the operator's pattern is not one of DuckDB's: letters of either case
 #: spelled out (its ``(?i)`` folds letters outside ASCII too), and maximal runs
@@ -78,19 +78,19 @@ _NAMES = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
 _LIST = f"string_agg({_NAMES}[kind + 1] || ':' || start || ':' || fin, ',' ORDER BY start, kind)"
 
 OP3_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS owner, coalesce(CAST(doc_id AS VARCHAR), '') AS repository, coalesce(text, '') AS t FROM documents),
 m AS ({_MATCHES}),
 x AS (SELECT r, kind, unnest(w) AS w, unnest(v) AS v, unnest(gap[1:len(w)]) AS gap, generate_subscripts(w, 1) AS j FROM m),
 y AS (SELECT r, kind, v, length(w) AS size,
              CAST(sum(length(gap) + length(w)) OVER (PARTITION BY r, kind ORDER BY j) AS BIGINT) AS fin FROM x),
-s AS (SELECT y.r, y.kind, y.v, y.fin - y.size AS start, y.fin, d.owner FROM y JOIN d ON d.r = y.r
+s AS (SELECT y.r, y.kind, y.v, y.fin - y.size AS start, y.fin, d.owner, d.repository FROM y JOIN d ON d.r = y.r
       WHERE length(y.v) >= CASE y.kind {_LEAST} END
-        AND (y.kind <> {KINDS.index('opaque')} OR (regexp_matches(substr(d.t, y.fin - y.size + 1, 65), '[0-9]')
-             AND regexp_matches(substr(d.t, y.fin - y.size + 1, 65), '[A-Za-z]')))),
+        AND (y.kind <> {KINDS.index('opaque')} OR (regexp_matches(y.v, '[0-9]') AND regexp_matches(y.v, '[A-Za-z]')))),
 held AS (SELECT * FROM s WHERE kind < {len(BASE)}
          UNION ALL SELECT * FROM s c WHERE kind >= {len(BASE)} AND NOT EXISTS (
            SELECT 1 FROM s b WHERE b.kind < {len(BASE)} AND b.r = c.r AND b.start < c.fin AND c.start < b.fin)),
-owners AS (SELECT v, count(DISTINCT owner) <= {MAX_OWNERS} AS live FROM held GROUP BY v),
+owners AS (SELECT v, count(DISTINCT owner) <= {MAX_OWNERS}
+             AND count(DISTINCT (owner, repository)) <= {MAX_REPOSITORIES} AS live FROM held GROUP BY v),
 judged AS (SELECT held.*, live FROM held JOIN owners ON owners.v = held.v WHERE live OR kind < {len(BASE)})
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
        count(*) FILTER (WHERE kind = 2) AS n_hex,

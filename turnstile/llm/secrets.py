@@ -9,6 +9,10 @@ owners, is a widely copied example; one that stays with few owners and few
 repositories looks live, and its span is added. Base spans stay whatever
 their class, which is returned beside them with both counts.
 
+A text gives the lengths of its matches and of what lies between them; the
+offsets are running sums over these, and windows over a text's spans tell
+which candidates overlap a base span.
+
 Only hashes and offsets are shuffled, never text. The counts are summed
 before each shuffle: first by (hash, owner, repository), then by (hash,
 owner), then by hash, so a value that a third of all rows hold is no hot
@@ -19,9 +23,9 @@ hash, which Spark can split where a hash is hot.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnstile.llm.common import checkpoint, read_table
 
@@ -48,50 +52,61 @@ MAX_OWNERS = 3
 #: Within those owners, so is one held by more repositories than this.
 MAX_REPOSITORIES = 100
 
-SPAN = "array<struct<start:long,kind:int,end:long,value:long>>"
+PIECE = "array<struct<kind:int,pos:int,gap:int,size:int,value:long,span:boolean>>"
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of one kind in a text: what lies between the matches and the
-    matches themselves, in turn, give the offsets in code points."""
+def _pieces(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
+    """The matches of one kind in a text, in order: how many code points lie
+    between a match and the one before it, its size, the hash of its value,
+    and whether it is a span (its value is long enough and holds what it must)."""
     p = F.lit(pattern)
-    needed = NEEDED.get(KINDS[kind], ())
-    between, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, p, F.lit(0)), \
-        F.regexp_extract_all(text, p, F.lit(group))
-    drop = lambda v: reduce(or_, (~F.rlike(v, F.lit(n)) for n in needed), F.length(v) < least)
-    steps = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), value.alias("v")),
-                       lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m["w"]).alias("size"), m["v"].alias("v")))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-    found = F.aggregate(
-        steps, empty,
-        lambda a, s: F.struct(
-            (a["at"] + s["gap"] + s["size"]).alias("at"),
-            F.when(drop(s["v"]), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(
-                (a["at"] + s["gap"]).alias("start"), F.lit(kind).alias("kind"),
-                (a["at"] + s["gap"] + s["size"]).alias("end"), F.xxhash64(F.lit(3), s["v"]).alias("value"))))).alias("out")),
-        lambda a: a["out"])
-    return F.when(F.regexp_like(text, p), found).otherwise(F.array().cast(SPAN))
-
-
-def candidates(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """One row per document: row (number), doc_id, owner, repository, spans.
-    A candidate span that overlaps a base span is left to the base span."""
+    value = lambda w: F.regexp_extract(w, pattern, group) if group > 1 else w
+    good = lambda v: reduce(and_, (F.rlike(v, F.lit(n)) for n in NEEDED.get(KINDS[kind], ())), F.length(v) >= least)
+    found = F.transform(
+        F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
+                     F.regexp_extract_all(text, p, F.lit(0)).alias("w")),
+        lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), m["gap"].alias("gap"), F.length(m["w"]).alias("size"),
+                              F.xxhash64(F.lit(3), value(m["w"])).alias("value"), good(value(m["w"])).alias("span")))
+    # what is behind the last match has no match of its own
+    return F.when(F.regexp_like(text, p), F.filter(found, lambda m: m["size"].isNotNull())).otherwise(F.array().cast(PIECE))
+
+
+def matches(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
+    """One row per document: row (a number), doc_id, owner, repository, pieces."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = F.flatten(F.array(*[_spans(F.col("_text"), i, p, g, n) for i, (_, p, g, n) in enumerate(BASE)]))
-    more = F.flatten(F.array(*[_spans(F.col("_text"), i + len(BASE), p, g, n) for i, (_, p, g, n) in enumerate(CANDIDATES)]))
     own = F.col(f"`{owner}`") if owner in docs.columns else F.lit(None)
     repo = F.col(f"`{repository}`") if repository in docs.columns else F.lit(None)
-    found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.cast("string").alias("owner"),
-                         repo.cast("string").alias("repository"), text.alias("_text"))
-             .withColumn("_base", base).withColumn("_more", more).drop("_text"))
-    free = F.filter("_more", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository",
-                        F.concat("_base", free).alias("spans"))
+    pieces = F.flatten(F.array(*[_pieces(F.col("_text"), i, p, g, n) for i, (_, p, g, n) in enumerate(BASE + CANDIDATES)]))
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.cast("string").alias("owner"),
+                        repo.cast("string").alias("repository"), text.alias("_text"))
+            .select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", pieces.alias("pieces")))
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """One row per span: row, owner, repository, start, kind, end, value. A
+    candidate span that overlaps a base span is left to the base span.
+
+    Offsets are running sums over a text's pieces. A span overlaps a base
+    span if one that begins no later ends behind its start, or the next one
+    begins before its end; both are running values over the text's spans, so
+    time grows with their number."""
+    each = (found.where(F.size("pieces") > 0)
+            .select("row", "owner", "repository", F.explode("pieces").alias("m")).select("row", "owner", "repository", "m.*"))
+    along = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # every window is within a text: one exchange serves all
+    placed = (each.repartition("row").withColumn("end", F.sum(F.col("gap").cast("long") + F.col("size")).over(along))
+              .where("span").select("row", "owner", "repository", (F.col("end") - F.col("size")).alias("start"), "kind", "end", "value"))
+    upward = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    downward = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = F.col("kind") < len(BASE)
+    before, behind = F.max(F.when(base, F.col("end"))).over(upward), F.min(F.when(base, F.col("start"))).over(downward)
+    free = ~(F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(behind < F.col("end"), F.lit(False)))
+    return placed.withColumn("_free", base | free).where("_free").drop("_free")
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """Per value: n_owners, n_repositories (distinct; null owners are one owner)."""
-    held = found.select(F.explode("spans.value").alias("value"), F.coalesce("owner", F.lit("")).alias("owner"),
+    held = found.select("value", F.coalesce("owner", F.lit("")).alias("owner"),
                         F.coalesce("repository", F.lit("")).alias("repository"))
     by_owner = held.distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
     # a repository belongs to one owner; one that several owners name counts for each
@@ -117,24 +132,23 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     Base spans are all there, ``live`` false on those that more than
     ``max_owners`` owners or more than ``max_repositories`` repositories
     hold; candidate spans are there only if live. Null
-    and empty texts have no span. Rows that repeat a doc_id each give a row;
-    a null owner is an owner, a null repository a repository. Other columns
+    and empty texts have no span; texts of any length are searched whole.
+    Rows that repeat a doc_id each give a row; a null owner is an owner, a
+    null repository a repository; an empty table gives no rows. Other columns
     are ignored."""
-    found = checkpoint(candidates(docs, owner, repository))
-    some = found.where(F.size("spans") > 0)
-    each = some.select("row", F.explode("spans").alias("s"))
-    known = ownership(some)
+    found = checkpoint(matches(docs, owner, repository))
+    each = checkpoint(spans(found))
+    known = ownership(each)
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
-    judged = (each.join(known, each["s.value"] == known["value"])
-              .where(live | (F.col("s.kind") < len(BASE)))
-              .select("row", F.struct("s.start", "s.kind", "s.end", "s.value", live.alias("live"),
+    judged = (each.join(known, "value").where(live | (F.col("kind") < len(BASE)))
+              .select("row", F.struct("start", "kind", "end", "value", live.alias("live"),
                                       "n_owners", "n_repositories").alias("s")))
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans"))
     kind = "array<struct<start:long,kind:int,end:long,value:long,live:boolean,n_owners:long,n_repositories:long>>"
-    with_spans = (some.select("row", "doc_id").join(by_row, "row", "left")
-                  .select("doc_id", F.coalesce("spans", F.array().cast(kind)).alias("spans")))
-    return with_spans.unionByName(
-        found.where(F.size("spans") == 0).select("doc_id", F.array().cast(kind).alias("spans")))
+    none = F.array().cast(kind)
+    with_spans = (found.where(F.size("pieces") > 0).select("row", "doc_id").join(by_row, "row", "left")
+                  .select("doc_id", F.coalesce("spans", none).alias("spans")))
+    return with_spans.unionByName(found.where(F.size("pieces") == 0).select("doc_id", none.alias("spans")))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def fitting(*arrays: np.ndarray) -> list[np.ndarray]:
     """The arrays as they are if squared distances between their rows surely
     fit 64 bits, else as Python integers."""
     width = max(1, arrays[0].shape[-1])
-    if largest(*arrays) < 2 ** 30 and width * (2 * largest(*arrays)) ** 2 < 2 ** 62:
+    if largest(*arrays) < 2 ** 30 and width * (4 * largest(*arrays)) ** 2 < 2 ** 62:
         return [a.astype(np.int64, copy=False) for a in arrays]
     return [a.astype(object) for a in arrays]
 
@@ -158,17 +158,25 @@ class Part:
         self.points, self.order, self.low, self.high, self.sums = points, order, low, high, sums
 
     def shortlists(self, entries: np.ndarray) -> np.ndarray:
-        """Blocks x entries: whether some point in the block's box may be nearest to the entry."""
+        """Blocks x entries: whether the entry may be nearest to some point in
+        the block's box. It isn't where its least distance to the box is above
+        some entry's largest, nor where the entry nearest to the box's middle
+        is nearer in the whole box (the difference of the two distances is
+        linear along each axis, so its least is at the box's sides)."""
         low, high, e = fitting(self.low, self.high, entries)
-        near = np.zeros((len(low), len(e)), e.dtype)
-        far = near.copy()
+        near, far, middle, least = (np.zeros((len(low), len(e)), e.dtype) for _ in range(4))
         for k in range(e.shape[1]):
             under, over = low[:, k, None] - e[None, :, k], e[None, :, k] - high[:, k, None]
             gap = np.maximum(np.maximum(under, over), 0)
             reach = np.maximum(-under, -over)  # the further side of the box
             near += gap * gap
             far += reach * reach
-        return near <= far.min(1)[:, None]
+            middle += (under - over) ** 2
+        star = e[middle.argmin(1)]
+        for k in range(e.shape[1]):
+            sides = [(x[:, k, None] - e[None, :, k]) ** 2 - ((x[:, k] - star[:, k]) ** 2)[:, None] for x in (low, high)]
+            least += np.minimum(*sides)
+        return (near <= far.min(1)[:, None]) & (least <= 0)
 
     def _lists(self, entries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(blocks, entries of their shortlist), blocks of one shortlist together."""
