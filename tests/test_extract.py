@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from conftest import pages_df
 from turnstile.operators import roles as R
-from turnstile.operators.extract import Options, extract
+from turnstile.operators.extract import Options, extract, prepare
+from turnstile.operators.markdown import to_markdown
 from turnstile.operators.protect import KEY_PATTERN
 from turnstile.operators.render import render_json, render_markdown
 
@@ -91,31 +92,27 @@ def test_clustering_siblings_min_density_one(spark):
     assert [x.content.strip() for x in t] == ["cast off", "hoist the jib"]
 
 
-def test_converter_handlers(spark):
-    pages = [
-        (1, "<html><body><p>Just a simple paragraph.</p></body></html>"),
-        (2, "<html><body><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table>"
-            "</body></html>"),
-        (3, "<html><body><p>Text with __TSK_CODE_0123456789abcdef__ inside.</p></body></html>"),
-        (4, "<html><body><blockquote>Quotation</blockquote></body></html>"),
-        (5, '<html><body><a href="https://example.com">Link</a></body></html>'),
-        (6, '<html><body><img src="img.png" alt="Alt"></body></html>'),
-        (7, "<html><body><h2>Title</h2><ul><li>one</li></ul><ol><li>two</li></ol>"
-            "<p><strong>b</strong> <em>i</em> <code>c</code><br>x</p></body></html>"),
-        (8, "<html><body><div>first block of words</div><hr><div>second block of words</div></body></html>"),
-    ]
-    ex = extract(pages_df(spark, pages), Options(detector="heuristic"))
-    rows = ex.turns.orderBy("page_id", "idx").collect()
-    got = {r.page_id: r.content for r in rows if r.idx == 0}
-    assert got[1].strip() == "Just a simple paragraph."
-    assert "| A | B |" in got[2] and "| 1 | 2 |" in got[2] and "| --- | --- |" in got[2]
-    assert "__TSK_CODE_0123456789abcdef__" in got[3]
-    assert got[4].strip() == "> Quotation"
-    assert got[5].strip() == "[Link](https://example.com)"
-    assert got[6].strip() == "![Alt](img.png)"
-    assert got[7] == "\n## Title\n\n- one\n\n\n1. two\n\n\n**b** *i* `c`  \nx\n"
-    assert [(r.content, r.strategy) for r in rows if r.page_id == 8] == [
-        ("first block of words", "forced_heuristic"), ("second block of words", "forced_heuristic")]
+def test_each_markdown_rule(spark):
+    k1, k2 = "__TSK_MATH_00ff00ff00ff00ff__", "__TSK_CODE_89abcdef89abcdef__"
+    bodies = {
+        "<p>Tide at  noon</p><p>and at six</p>": "\nTide at  noon\n\nand at six\n",
+        "<table><tr><th>port</th><th>depth</th><th>pilot</th></tr><tr><td>Brest</td><td>11</td></tr>"
+        "<tr><td>Ostend</td><td>8</td><td>Ann</td><td>late</td></tr><tr></tr></table>":
+            "\n| port | depth | pilot |\n| --- | --- | --- |\n| Brest | 11 |  |\n| Ostend | 8 | Ann |\n|  |  |  |\n",
+        f"<p>from {k1} to</p><div><span> {k2}\n</span></div><p>{k1}{k2}</p>": f"\nfrom {k1} to\n {k2}\n\n{k1}{k2}\n",
+        "<blockquote>\n log <p>wind</p>rising </blockquote>": "\n> log \n> wind\n> rising\n",
+        '<a href="/chart"> the <em>chart</em> </a><a href="/bare"></a><a>no target</a>': "[the *chart*](/chart)/bareno target",
+        '<img src="buoy.gif"><img alt="none"><img src="q.png" alt="quay wall">': "![](buoy.gif)![quay wall](q.png)",
+        "<h4>Moorings</h4><ol><li>bow<ul><li>spring</li></ul></li><li>stern</li></ol><hr><b>slack</b><i>tide</i><br>ebb":
+            "\n#### Moorings\n\n1. bow\n- spring\n\n\n1. stern\n\n\n---\n**slack***tide*  \nebb",
+    }
+    pages = [(k, f"<html><body>{b}</body></html>") for k, b in enumerate(bodies)]
+    m, *_ = prepare(pages_df(spark, pages), Options(raw=True))
+    body = m.filter("kind = 'tag' AND name = 'body'").select("page_id", F.lit(0).alias("block_idx"), "node_id", F.lit(False).alias("nr"))
+    got = {r.page_id: r.content for r in to_markdown(m, body).collect()}
+    assert got == dict(enumerate(bodies.values()))
+    numbered = {r.page_id: r.content for r in to_markdown(m, body, numbered=True).collect()}
+    assert "1. bow\n- spring\n\n\n2. stern\n" in numbered[6]
 
 
 def test_code_key_and_restore(spark):
@@ -128,19 +125,15 @@ def test_code_key_and_restore(spark):
     assert '``` py\nprint("hi")\n```' in content and "__TSK_" not in content
 
 
-def test_roles_by_class_code_and_alternation(spark):
-    df = spark.createDataFrame([(0, "user-message", False), (1, "assistant", True), (2, "", False)],
-                               "idx int, cls string, code boolean")
+def test_roles_of_marked_and_unmarked_blocks(spark):
+    """Words in classes and code mark a role; what has no mark follows from the block before."""
+    blocks = [(0, "", False, "user", 0.4), (1, "", False, "model", 0.5), (2, "bubble human-side", False, "user", 0.8), (3, "", False, "model", 0.5),
+              (4, "ai-model reply", False, "model", 0.8), (5, "x", False, "user", 0.5), (6, "prompt user", False, "user", 0.8)]
+    df = spark.createDataFrame([b[:3] for b in blocks], "idx int, cls string, code boolean")
     u, m = R.role_scores(F.col("cls"), F.col("code"))
-    df = df.withColumn("strong", R.strong_role(u, m)).withColumn("page_id", F.lit(1))
-    got = [(r.role, r.confidence) for r in R.alternate(df, ["page_id"], "idx").orderBy("idx").collect()]
-    assert got == [("user", 0.8), ("model", 0.8), ("user", 0.5)]
-    # a neutral block right after a user turn becomes model
-    df2 = spark.createDataFrame([(0, "user-message"), (1, "")], "idx int, cls string")
-    u2, m2 = R.role_scores(F.col("cls"))
-    df2 = df2.withColumn("strong", R.strong_role(u2, m2)).withColumn("page_id", F.lit(1))
-    got2 = [r.role for r in R.alternate(df2, ["page_id"], "idx").orderBy("idx").collect()]
-    assert got2 == ["user", "model"]
+    df = df.withColumn("strong", R.strong_role(u, m)).withColumn("page_id", F.lit(5))
+    got = [(r.idx, r.role, r.confidence) for r in R.alternate(df, ["page_id"], "idx").orderBy("idx").collect()]
+    assert got == [(i, role, c) for i, _, _, role, c in blocks]
 
 
 def test_no_body_auto_gives_no_turns_and_fallback(spark):
@@ -168,7 +161,7 @@ def test_signature_detector_format_and_short_readmit(spark):
             '<div class="message msg-99887766ff"><p>second message with enough words here</p><p>y</p></div>'
             '<div class="message msg-aabbccdd"><p>ok</p><p>z</p></div>'
             '</div></body></html>')
-    m, _, _ = prepare(pages_df(spark, [(1, page)]), Options())
+    m, *_ = prepare(pages_df(spark, [(1, page)]), Options())
     sig = {r.sig for r in signatures(m).collect()}
     assert "div[message+msg](p:2)" in sig and "div[]()role=row;testid=bar" in sig
     ex = extract(pages_df(spark, [(1, page)]), Options(detector="signature"))

@@ -4,11 +4,12 @@ it sets aside."""
 import pytest
 
 from conftest import pages_df
-from turnstile.operators.shred import _page_columns, shred
+from turnstile.operators import shred as shred_module
+from turnstile.operators.shred import _page_columns, given_ids, shred
 
 
 def rows(html):
-    c = _page_columns(7, html)
+    c, _ = _page_columns(7, html)
     return [dict(zip(c, v)) for v in zip(*c.values())]
 
 
@@ -36,7 +37,7 @@ def test_no_implied_p_close_and_nesting_depth():
     rs = rows("<p>a<p>b<p>c")
     ps = by_name(rs, "p")
     assert [r["depth"] for r in ps] == [1, 2, 3]
-    assert ps[2]["path"] == [0, ps[0]["node_id"], ps[1]["node_id"]]
+    assert (ps[2]["parent_id"], ps[2]["gparent_id"]) == (ps[1]["node_id"], ps[0]["node_id"])
 
 
 def test_whitespace_runs_and_script_text():
@@ -75,25 +76,59 @@ def test_source_spans():
     assert span["there"] == "there"
 
 
-def test_pages_that_repeat_a_page_id_reach_the_quarantine(spark):
-    short, long, single = "<p>one</p>", "<p>another crawl of it</p>", "<p>single</p>"
-    pages = [(1, short), (1, long), (1, long), (2, single), (3, None), (3, short), (4, single), (4, single), (None, short)]
-    kept = {}
-    for repeated in ("least_hash", "longest"):
-        nodes, quarantine = shred(pages_df(spark, pages), repeated)
-        texts = sorted((r.page_id, r.text) for r in nodes.where("kind = 'text'").collect())
-        aside = [(r.page_id, r.error, r.html) for r in quarantine.collect()]
-        assert (None, "no page_id", short) in aside
-        aside = [(i, h) for i, e, h in aside if e == "repeated page_id"]
-        assert sorted(i for i, _ in aside) == [1, 1, 3, 4]
-        # each given row is either shredded or set aside
-        for i in (1, 4):
-            left = [h for j, h in pages if j == i]
-            for _, h in (x for x in aside if x[0] == i):
-                left.remove(h)
-            assert [t for j, t in texts if j == i] == [h[3:-4] for h in left]
-        assert {t for j, t in texts if j == 2} == {"single"}
-        kept[repeated] = texts
-    assert (1, "another crawl of it") in kept["longest"] and (3, "one") in kept["longest"]
+PAGES = [(1, "<p>one</p>"), (1, "<p>another crawl of it</p>"), (1, "<p>another crawl of it</p>"), (2, "<p>single</p>"), (3, None),
+         (3, "<p>one</p>"), (4, "<p>single</p>"), (4, "<p>single</p>"), (None, "<p>one</p>")]
+
+
+@pytest.mark.parametrize("repeated", ["least_hash", "longest"])
+@pytest.mark.parametrize("limit", [shred_module.BROADCAST_IDS, 0])
+def test_pages_of_one_page_id_are_all_shredded(spark, repeated, limit, monkeypatch):
+    monkeypatch.setattr(shred_module, "BROADCAST_IDS", limit)
+    nodes, quarantine, versions = shred(pages_df(spark, PAGES), repeated)
+    texts = given_ids(nodes.where("kind = 'text'"), versions).select("page_id", "text", "version").collect()
+    assert sorted((r.page_id, r.text) for r in texts) == [
+        (1, "another crawl of it"), (1, "one"), (2, "single"), (3, "one"), (4, "single")]
+    assert [r.version is None for r in sorted(texts)] == [False, False, True, False, False]
+    assert nodes.where("kind = 'document'").count() == 6  # the page of null html, too
+    # each given row is either shredded or set aside
+    assert sorted(((r.page_id, r.error, r.html) for r in quarantine.collect()), key=str) == sorted([
+        (1, "copy of a page", "<p>another crawl of it</p>"), (4, "copy of a page", "<p>single</p>"),
+        (None, "no page_id", "<p>one</p>")], key=str)
+    keeps = {r.given_id: r.page_hash for r in versions.where("page_id = given_id").collect()}
+    assert keeps.keys() == {1, 3, 4}
+
+
+def test_a_taken_key_is_set_aside(spark):
+    from pyspark.sql import functions as F
+    rows = [(1, "<p>one</p>"), (1, "<p>two</p>")]
+    nodes, _, versions = shred(pages_df(spark, rows))
+    key = versions.where("page_id <> given_id").first().page_id
+    nodes, quarantine, versions = shred(pages_df(spark, rows + [(key, "<p>three</p>")]))
+    assert [(r.page_id, r.error) for r in quarantine.collect()] == [(1, "key taken by another page")]
+    got = sorted((r.page_id, r.text) for r in given_ids(nodes.where(F.col("kind") == "text"), versions).collect())
+    assert len(got) == 2 and (key, "<p>three</p>"[3:-4]) in got
+
+
+def test_unknown_rule(spark):
     with pytest.raises(ValueError):
-        shred(pages_df(spark, pages), "first")
+        shred(pages_df(spark, PAGES), "first")
+
+
+def test_failing_pages_reach_the_quarantine_with_their_html(spark, monkeypatch):
+    many = "<i>" * 40
+    nodes, quarantine, _ = shred(pages_df(spark, [(1, many), (2, "<p>fine</p>"), (3, many + "x")]), max_nodes=30)
+    assert sorted((r.page_id, r.error, r.html) for r in quarantine.collect()) == [
+        (1, "more than 30 nodes", many), (3, "more than 30 nodes", many + "x")]
+    assert {r.page_id for r in nodes.select("page_id").distinct().collect()} == {2}
+    # what fails while a page's batches are built is that page's error, too
+    monkeypatch.setattr(shred_module, "_page_columns", lambda *a: ({"page_id": [1], "text": [None], "attrs": [None], "bad": [0]}, None))
+    batch, = shred_module._page_batches(1, "<p>", None)
+    assert batch.column("kind").to_pylist() == ["error"] and batch.column("text").to_pylist() == ["<p>"]
+
+
+def test_a_page_comes_in_bounded_batches(monkeypatch):
+    monkeypatch.setattr(shred_module, "BATCH_ROWS", 10)
+    monkeypatch.setattr(shred_module, "BATCH_CHARS", 100)
+    parts = shred_module._page_batches(5, "<b>x</b>" * 30 + "y" * 250 + "<b>z</b>" * 5, None)
+    assert max(p.num_rows for p in parts) == 10 and len(parts) == 8
+    assert [i for p in parts for i in p.column("node_id").to_pylist()] == list(range(72))

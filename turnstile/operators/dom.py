@@ -8,7 +8,12 @@ tree" questions become one ordered window per page, with no theta join:
 * for marks that never nest (outermost roots), the enclosing root is the
   last marked row at or before the node, if its ``end`` covers the node;
 * subtree totals are prefix-sum differences: ``S(end) - S(node_id - 1)``,
-  one window plus one equi-join on ``(page_id, end)``.
+  one window plus one equi-join on ``(page_id, end)``;
+* marks that may nest: the number of marked nodes around a node is the running
+  count of marks opened minus marks closed, and the mark of level ``l`` around
+  it is the last one of that level that opened before it (``enclosing``). Rows
+  multiply by the marks that hold a node, never by its depth in the tree;
+* the text of a subtree is one slice of the page's text (``subtree_text``).
 """
 
 from __future__ import annotations
@@ -53,3 +58,61 @@ def glued_words(words: Column, nonempty: Column) -> Column:
     """Words of ``get_text(strip=True)``: stripped strings are joined with no
     separator, so each junction glues two words into one."""
     return words - F.greatest(nonempty - 1, F.lit(0))
+
+
+def enclosing(df: DataFrame, mark: Column, point: Column | None = None, keys=("page_id",), proper: bool = False,
+              nearest: bool = False) -> DataFrame:
+    """For each row with ``point`` (default: every row) the rows with ``mark``
+    whose subtree holds it, outermost at level 1: ``keys + node_id``,
+    ``level``, ``mark_id``. ``proper`` leaves a row's own mark out;
+    ``nearest`` gives the innermost mark only. ``df``: keys, node_id, end."""
+    keys = list(keys)
+    point = F.lit(True) if point is None else point
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    rows = df.select(*keys, "node_id", "end", yes(mark).alias("_mark"), yes(point).alias("_point")).filter("_mark OR _point")
+    opens = rows.select(*keys, "node_id", F.lit(0).alias("_k"), F.col("_mark").cast("int").alias("_step"), "_mark", "_point")
+    closes = rows.filter("_mark").select(*keys, F.col("end").alias("node_id"), F.lit(1).alias("_k"), F.lit(-1).alias("_step"),
+                                         F.lit(False).alias("_mark"), F.lit(False).alias("_point"))
+    along = Window.partitionBy(*keys).orderBy("node_id", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = opens.unionByName(closes).withColumn("_level", F.sum("_step").over(along)).filter("_k = 0 AND _level > 0")
+    last = F.col("_level") - F.col("_mark").cast("int") if proper else F.col("_level")
+    first = last if nearest else F.lit(1).cast("long")
+    at = lambda l, asked: F.struct(l.cast("long").alias("level"), F.lit(asked).alias("asked"))
+    none = F.array().cast("array<struct<level:bigint,asked:boolean>>")
+    own = F.when(F.col("_mark"), F.array(at(F.col("_level"), False))).otherwise(none)
+    asks = F.when(F.col("_point") & (last > 0), F.transform(F.sequence(first, last), lambda l: at(l, True))).otherwise(none)
+    x = x.select(*keys, "node_id", F.explode(F.concat(own, asks)).alias("_e")).select(*keys, "node_id", "_e.*")
+    within = Window.partitionBy(*keys, "level").orderBy("node_id", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = F.last(F.when(~F.col("asked"), F.col("node_id")), ignorenulls=True).over(within)
+    return x.withColumn("mark_id", found).filter("asked").select(*keys, "node_id", "level", "mark_id")
+
+
+def subtree_text(rows: DataFrame, targets: DataFrame, text: Column, sep: str = "", keys=("page_id",)) -> DataFrame:
+    """``keys + node_id``, ``txt``: the texts of the rows in each target's
+    subtree in order, ``sep`` between them; targets without any are left out.
+
+    ``rows``: keys, node_id and what ``text`` reads; ``targets``: keys,
+    node_id, end. A page's pieces are joined once, and each target is a slice
+    of them by running sums of lengths in bytes, so nested targets cost no
+    more than what they return."""
+    keys = list(keys)
+    piece = F.concat(F.coalesce(text, F.lit("")), F.lit(sep)).cast("binary")
+    own = targets.select(*keys, "node_id", "end").distinct()
+    pieces = (rows.select(*keys, "node_id", piece.alias("_t"))
+              .join(own.select(*keys).distinct(), keys, "left_semi"))
+    whole = pieces.groupBy(*keys).agg(F.expr("listagg(_t) WITHIN GROUP (ORDER BY node_id)").alias("_whole"))
+    none = F.lit(None).cast("int")
+    events = (pieces.select(*keys, F.col("node_id").alias("_at"), F.lit(1).alias("_k"), none.alias("node_id"),
+                            F.octet_length("_t").cast("long").alias("_n"))
+              .unionByName(own.select(*keys, F.col("node_id").alias("_at"), F.lit(0).alias("_k"), "node_id",
+                                      F.lit(0).cast("long").alias("_n")))
+              .unionByName(own.select(*keys, F.col("end").alias("_at"), F.lit(2).alias("_k"), "node_id",
+                                      F.lit(0).cast("long").alias("_n"))))
+    along = Window.partitionBy(*keys).orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = (events.withColumn("_sum", F.sum("_n").over(along)).filter("node_id IS NOT NULL")
+            .groupBy(*keys, "node_id").agg(F.min("_sum").alias("_from"), F.max("_sum").alias("_to")).filter("_to > _from"))
+    per = cuts.groupBy(*keys).agg(F.collect_list(F.struct("node_id", "_from", "_to")).alias("_cuts"))
+    cut = F.transform("_cuts", lambda c: F.struct(c["node_id"].alias("node_id"), F.substring(
+        F.col("_whole"), (c["_from"] + 1).cast("int"),
+        (c["_to"] - c["_from"] - len(sep.encode())).cast("int")).cast("string").alias("txt")))
+    return per.join(whole, keys).select(*keys, F.explode(cut).alias("_c")).select(*keys, "_c.node_id", "_c.txt")

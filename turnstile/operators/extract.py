@@ -18,11 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from turnstile.operators import roles as R
+from turnstile.operators.dom import enclosing, subtree_text
 from turnstile.operators.markdown import to_markdown
 from turnstile.operators.metrics import mark_noise, page_facts, with_metrics
 from turnstile.operators.probes import heuristic_blocks
-from turnstile.operators.protect import no_protect, protect, restore
-from turnstile.operators.shred import shred
+from turnstile.operators.predicates import source_votes, winning_source
+from turnstile.operators.protect import close_entries, no_protect, protect, restore
+from turnstile.operators.shred import given_ids, shred
 from turnstile.operators.topology import signature_blocks, topo_blocks
 from turnstile.session import co_partition_by_prefix, materialize
 
@@ -35,30 +37,37 @@ class Options:
     detector: str = "topo"        # topo | heuristic | auto | signature (spec'd variant)
     raw: bool = False             # O35: skip protect/restore
     tables: bool = True           # O79: tables off -> plain text
+    numbered: bool = False        # O71: items of ordered lists are counted up
     data_latex: bool = False      # O91: formulas from data-latex attributes
     min_density: int = 3
     lookback: int = 3
     min_coverage: float = MIN_COVERAGE
-    repeated: str = "least_hash"  # page that stays of a repeated page_id (or longest); others: quarantine
+    repeated: str = "least_hash"  # page that keeps a repeated page_id as its key (or longest)
+    max_nodes: int | None = None  # O13: pages of more nodes go to the quarantine
 
 
 @dataclass
 class Extraction:
+    """``page_id`` is a page's key: the given one, but where several pages
+    have it (``shred.page_keys``); ``named`` puts the given one in its place."""
     turns: DataFrame          # page_id, idx, role, confidence, content, strategy
     protected: DataFrame      # page_id, key, ptype, raw, formatted, language, pos
     diagnostics: DataFrame    # page_id, strategy, blocks
     quarantine: DataFrame     # page_id, stage, error, html
     metrics: DataFrame        # dom_nodes + protect/noise flags + subtree metrics
     raw_content: DataFrame | None = None   # page_id, block_idx, content before restore
+    versions: DataFrame | None = None      # page_id (key), given_id, page_hash of further pages of a page_id
+
+    def named(self, df: DataFrame) -> DataFrame:
+        return given_ids(df, self.versions)
 
 
 def prepare(pages: DataFrame, opts: Options):
     co_partition_by_prefix(pages.sparkSession)
-    nodes, quarantine = shred(pages, opts.repeated)
-    nodes = materialize(nodes)
+    nodes, quarantine, versions = shred(pages, opts.repeated, opts.max_nodes)
     pn, protected = (no_protect(nodes) if opts.raw else protect(nodes, opts.data_latex))
     m = materialize(with_metrics(mark_noise(pn)))
-    return m, materialize(protected), quarantine
+    return m, close_entries(materialize(protected)), quarantine, versions
 
 
 def validate(blocks: DataFrame, m: DataFrame, facts: DataFrame, variant: str,
@@ -128,7 +137,7 @@ def assemble(m: DataFrame, blocks: DataFrame, protected: DataFrame, opts: Option
     code = F.when(F.col("nr"), F.col("code_n")).otherwise(F.col("code_f")) > 0
     u, mo = R.role_scores(F.array_join(F.coalesce("classes", F.array().cast("array<string>")), " "), code)
     b = materialize(R.alternate(b.withColumn("strong", R.strong_role(u, mo)), ["page_id"], "block_idx"))
-    md_raw = materialize(to_markdown(m, b.select("page_id", "block_idx", "node_id", "nr"), tables=opts.tables))
+    md_raw = materialize(to_markdown(m, b.select("page_id", "block_idx", "node_id", "nr"), tables=opts.tables, numbered=opts.numbered))
     md = md_raw if opts.raw else restore(md_raw, protected, "content", ("page_id", "block_idx"))
     turns = b.join(md, ["page_id", "block_idx"], "left")
     turns = turns.select("page_id", F.col("block_idx").alias("idx"), "node_id", "role", "confidence",
@@ -138,12 +147,12 @@ def assemble(m: DataFrame, blocks: DataFrame, protected: DataFrame, opts: Option
 
 def extract(pages: DataFrame, opts: Options | None = None) -> Extraction:
     opts = opts or Options()
-    m, protected, quarantine = prepare(pages, opts)
+    m, protected, quarantine, versions = prepare(pages, opts)
     facts = materialize(page_facts(m))
     blocks = materialize(choose_blocks(m, facts, opts))
     turns, md_raw = assemble(m, blocks, protected, opts)
     diag = blocks.groupBy("page_id", "strategy").agg(F.count("*").alias("blocks"))
-    return Extraction(turns, protected, diag, quarantine, m, md_raw)
+    return Extraction(turns, protected, diag, quarantine, m, md_raw, versions)
 
 
 # Fixed values (O97): classes or test ids that mark a whole message.
@@ -160,14 +169,11 @@ def regroup(ex: Extraction, opts: Options | None = None) -> DataFrame:
     m = ex.metrics
     t = ex.turns.select("page_id", F.col("idx").alias("block_idx"), "node_id")
     cls = F.array_join(F.coalesce("classes", F.array().cast("array<string>")), " ")
-    anchors = m.filter((F.col("kind") == "tag") & (cls.rlike(MESSAGE_ANCHOR)
-                       | F.coalesce(F.col("attrs")["data-testid"], F.lit("")).rlike(MESSAGE_ANCHOR)))
-    anchors = anchors.select("page_id", F.col("node_id").alias("anc"), F.col("depth").alias("adepth"))
-    up = (t.join(m.select("page_id", "node_id", "path"), ["page_id", "node_id"])
-          .select("page_id", "block_idx", "node_id", F.explode(F.concat("path", F.array("node_id"))).alias("anc")))
-    near = (up.join(anchors, ["page_id", "anc"]).groupBy("page_id", "block_idx")
-            .agg(F.max_by("anc", "adepth").alias("anchor")))
-    g = (t.join(near, ["page_id", "block_idx"], "left")
+    anchor = (F.col("kind") == "tag") & (cls.rlike(MESSAGE_ANCHOR)
+                                         | F.coalesce(F.col("attrs")["data-testid"], F.lit("")).rlike(MESSAGE_ANCHOR))
+    is_block = m.join(t.select("page_id", "node_id", F.lit(True).alias("_block")), ["page_id", "node_id"], "left")
+    near = enclosing(is_block, anchor, F.col("_block"), nearest=True)
+    g = (t.join(near.select("page_id", "node_id", F.col("mark_id").alias("anchor")), ["page_id", "node_id"], "left")
          .withColumn("key", F.coalesce("anchor", "node_id"))
          .join(ex.raw_content, ["page_id", "block_idx"], "left"))
     merged = g.groupBy("page_id", "key").agg(
@@ -186,49 +192,76 @@ def regroup(ex: Extraction, opts: Options | None = None) -> DataFrame:
                          "confidence", "content")
 
 
-# Fixed values (O90): per-source turn rules — turn tag, role attribute (else
-# the first class), content tag, roles kept.
-SOURCE_TURN_RULES = [("aistudio", "ms-chat-turn", "data-turn-role", "ms-text-chunk", "User,Model")]
+# Turn rules by source: the turn's tag or attribute (one of them null), the
+# attribute that names its role (else its first class; with no such attribute,
+# its tag), tag or class of the content, and the roles kept.
+SOURCE_TURN_RULES = [
+    ("aistudio", "ms-chat-turn", None, "data-turn-role", "ms-text-chunk", None, "User,Model"),
+    ("chatgpt", None, "data-message-author-role", "data-message-author-role", None, "markdown", "user,assistant"),
+    ("gemini", "user-query", None, None, "message-content", None, "user-query"),
+    ("gemini", "model-response", None, None, "message-content", None, "model-response")]
+_RULE_SCHEMA = ("source string, turn_tag string, turn_attr string, role_attr string, content_tag string, "
+                "content_class string, keep string")
 
 
 def source_turns(pages: DataFrame, opts: Options | None = None) -> DataFrame:
-    """Turns read by a per-source rule (the rule table is a fixed, tiny
-    broadcast side). Content is the Markdown of the first content tag."""
+    """O95 -> O90: each page's marks vote for the source that it was saved
+    from, and the winner's rules read its turns. Content is the Markdown of
+    the first element under a turn that the rule's tag or class names; a turn
+    without one has none. -> page_id, version, idx, source, role, content."""
     opts = opts or Options()
     spark = pages.sparkSession
-    m, protected, _ = prepare(pages, opts)
-    rules = spark.createDataFrame(SOURCE_TURN_RULES, "source string, name string, role_attr string, "
-                                                     "content_tag string, keep string")
-    turns = (m.filter(F.col("kind") == "tag").join(F.broadcast(rules), "name")
-             .select("page_id", F.col("node_id").alias("turn_id"), "content_tag", "keep",
-                     F.coalesce(F.col("attrs")[F.col("role_attr")],
-                                F.try_element_at(F.col("classes"), F.lit(1))).alias("label")))
-    turns = turns.filter(F.array_contains(F.split("keep", ","), F.col("label")))
-    chunks = (m.filter(F.col("kind") == "tag")
-              .select("page_id", "node_id", "name", F.explode("path").alias("turn_id")))
-    first = (chunks.join(turns, ["page_id", "turn_id"]).filter(F.col("name") == F.col("content_tag"))
-             .groupBy("page_id", "turn_id", "label").agg(F.min("node_id").alias("node_id")))
+    m, protected, _, versions = prepare(pages, opts)
+    source = winning_source(source_votes(m, _keyed_urls(pages, versions)))
+    rules = F.broadcast(spark.createDataFrame(SOURCE_TURN_RULES, _RULE_SCHEMA))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    tags = (m.filter(F.col("kind") == "tag").select("page_id", "node_id", "end", "name", "attrs", "classes")
+            .join(source.select("page_id", "source"), "page_id"))
+    is_turn = yes(F.col("name") == F.col("turn_tag")) | yes(F.array_contains(F.map_keys("attrs"), F.col("turn_attr")))
+    label = F.coalesce(F.col("attrs")[F.col("role_attr")],
+                       F.when(F.col("role_attr").isNotNull(), F.try_element_at(F.col("classes"), F.lit(1))).otherwise(F.col("name")))
+    turns = (tags.join(rules, "source").filter(is_turn).withColumn("label", label)
+             .filter(F.array_contains(F.split("keep", ","), F.col("label")))
+             .select("page_id", "source", F.col("node_id").alias("turn_id"), "content_tag", "content_class", "label"))
+    names = {r[4] for r in SOURCE_TURN_RULES if r[4]}
+    styles = {r[5] for r in SOURCE_TURN_RULES if r[5]}
+    may = F.col("name").isin(*names) | yes(F.arrays_overlap("classes", F.array(*map(F.lit, sorted(styles)))))
+    marked = tags.join(turns.select("page_id", F.col("turn_id").alias("node_id"), F.lit(True).alias("_turn")).distinct(),
+                       ["page_id", "node_id"], "left")
+    held = (enclosing(marked, F.col("_turn"), may, proper=True)
+            .select("page_id", "node_id", F.col("mark_id").alias("turn_id")).join(tags.drop("source"), ["page_id", "node_id"])
+            .join(turns, ["page_id", "turn_id"])
+            .filter(yes(F.col("name") == F.col("content_tag")) | yes(F.array_contains("classes", F.col("content_class")))))
+    first = held.groupBy("page_id", "turn_id", "source", "label").agg(F.min("node_id").alias("node_id"))
     w = Window.partitionBy("page_id").orderBy("turn_id")
     blocks = materialize(first.withColumn("block_idx", (F.row_number().over(w) - 1).cast("int"))
                          .withColumn("nr", F.lit(False)))
-    md = to_markdown(m, blocks.select("page_id", "block_idx", "node_id", "nr"), tables=opts.tables)
+    md = to_markdown(m, blocks.select("page_id", "block_idx", "node_id", "nr"), tables=opts.tables, numbered=opts.numbered)
     if not opts.raw:
         md = restore(md, protected, "content", ("page_id", "block_idx"))
-    return blocks.join(md, ["page_id", "block_idx"], "left").select(
-        "page_id", F.col("block_idx").alias("idx"), F.col("label").alias("role"),
+    out = blocks.join(md, ["page_id", "block_idx"], "left").select(
+        "page_id", F.col("block_idx").alias("idx"), "source", F.col("label").alias("role"),
         F.coalesce("content", F.lit("")).alias("content"))
+    return given_ids(out, versions)
+
+
+def _keyed_urls(pages: DataFrame, versions: DataFrame | None) -> DataFrame:
+    """page_id (key), url of each page; pages of one id may differ in url as well."""
+    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.xxhash64("html").alias("_h"))
+    if versions is None:
+        return urls.drop("_h")
+    v = versions.select(F.col("page_id").alias("_key"), F.col("given_id").alias("page_id"), F.col("page_hash").alias("_h"))
+    return (urls.join(v, ["page_id", "_h"], "left")
+            .select(F.coalesce("_key", "page_id").alias("page_id"), "url"))
 
 
 def clean_text(m: DataFrame, roots: DataFrame) -> DataFrame:
     """The stripped, non-empty strings of each root's subtree joined by a
     single space. roots(page_id, node_id) -> (page_id, node_id, clean_text)."""
     t = m.filter((F.col("kind") == "text") & ~F.col("claimed"))
-    t = t.select("page_id", F.col("node_id").alias("src"),
-                 F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("t"),
-                 F.explode(F.concat("path", F.array("node_id"))).alias("node_id")).filter(F.col("t") != "")
-    j = t.join(roots.select("page_id", "node_id"), ["page_id", "node_id"])
-    out = j.groupBy("page_id", "node_id").agg(
-        F.expr("listagg(t, ' ') WITHIN GROUP (ORDER BY src)").alias("clean_text"))
+    t = t.select("page_id", "node_id", F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("t")).filter(F.col("t") != "")
+    targets = roots.select("page_id", "node_id").join(m.select("page_id", "node_id", "end"), ["page_id", "node_id"])
+    out = subtree_text(t, targets, F.col("t"), " ").withColumnRenamed("txt", "clean_text")
     return roots.select("page_id", "node_id").join(out, ["page_id", "node_id"], "left").select(
         "page_id", "node_id", F.coalesce("clean_text", F.lit("")).alias("clean_text"))
 
@@ -240,7 +273,7 @@ def hr_group_turns(pages: DataFrame, opts: Options | None = None) -> DataFrame:
     is converted, then a group's Markdown is concatenated in order."""
     from turnstile.operators.probes import _tags
     opts = opts or Options()
-    m, protected, _ = prepare(pages, opts)
+    m, protected, *_ = prepare(pages, opts)
     t = _tags(m)
     hrs = t.filter(F.col("name") == "hr").groupBy("page_id", "parent_id").agg(F.count("*").alias("n"))
     best = hrs.groupBy("page_id").agg(
@@ -253,7 +286,7 @@ def hr_group_turns(pages: DataFrame, opts: Options | None = None) -> DataFrame:
     blocks = materialize(kids.select("page_id", "node_id", "grp", "classes", "code_f")
                          .withColumn("block_idx", (F.row_number().over(w) - 1).cast("int")))
     md = to_markdown(m, blocks.select("page_id", "block_idx", "node_id", F.lit(False).alias("nr")),
-                     tables=opts.tables)
+                     tables=opts.tables, numbered=opts.numbered)
     g = (blocks.join(md, ["page_id", "block_idx"], "left").groupBy("page_id", "grp")
          .agg(F.expr("listagg(coalesce(content, ''), '') WITHIN GROUP (ORDER BY block_idx)").alias("content"),
               F.min_by(F.struct("classes", "code_f"), "block_idx").alias("first")))

@@ -20,7 +20,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from turnstile.operators.dom import glued_words, has_marked_ancestor, page_window, subtree_sums
+from turnstile.operators.dom import (enclosing, enclosing_root, glued_words, has_marked_ancestor, page_window,
+                                     subtree_sums, subtree_text)
 from turnstile.operators.roles import LEGACY_MODEL, LEGACY_USER
 from turnstile.session import materialize
 
@@ -58,17 +59,11 @@ def _attrs_text() -> Column:
 
 
 def _subtree_text(rows: DataFrame, targets: DataFrame, strip: bool) -> DataFrame:
-    """Concatenated text of each target's subtree (targets: page_id, node_id).
-    Text rows are exploded over their ancestors and equi-joined to targets."""
+    """Concatenated text of each target's subtree (targets: page_id, node_id)."""
     t = rows.filter((F.col("kind") == "text") & ~F.col("gone"))
     piece = F.regexp_replace("text", r"(?U)^\s+|\s+$", "") if strip else F.col("text")
-    t = t.select("page_id", F.col("node_id").alias("src"), piece.alias("t"),
-                 F.explode(F.concat("path", F.array("node_id"))).alias("node_id"))
-    if strip:
-        t = t.filter(F.col("t") != "")
-    j = t.join(targets.select("page_id", "node_id"), ["page_id", "node_id"])
-    return j.groupBy("page_id", "node_id").agg(
-        F.expr("listagg(t, '') WITHIN GROUP (ORDER BY src)").alias("txt"))
+    ends = targets.select("page_id", "node_id").join(rows.select("page_id", "node_id", "end"), ["page_id", "node_id"])
+    return subtree_text(t, ends, piece)
 
 
 def legacy_tree(m: DataFrame) -> DataFrame:
@@ -155,10 +150,12 @@ def legacy_roles(t: DataFrame, blocks: DataFrame) -> DataFrame:
     b = b.withColumn("au", a.rlike("(?i)" + LEGACY_USER).cast("int")).withColumn(
         "am", a.rlike("(?i)" + LEGACY_MODEL).cast("int"))
     # first ten descendant tags of each block with a short stripped text
-    desc = (t.filter((F.col("kind") == "tag") & ~F.col("gone"))
-            .select("page_id", F.col("node_id").alias("d"), "lchars", "path"))
-    ex = desc.select("page_id", "d", "lchars", F.explode("path").alias("node_id"))
-    ex = ex.join(blocks.select("page_id", "node_id", "block_idx"), ["page_id", "node_id"])
+    tags = (t.filter((F.col("kind") == "tag") & ~F.col("gone")).select("page_id", "node_id", "end", "lchars")
+            .join(blocks.select("page_id", "node_id", "block_idx"), ["page_id", "node_id"], "left"))
+    ex = (enclosing(tags, F.col("block_idx").isNotNull(), proper=True)
+          .join(tags.select("page_id", "node_id", "lchars"), ["page_id", "node_id"])
+          .select("page_id", F.col("node_id").alias("d"), "lchars", F.col("mark_id").alias("node_id"))
+          .join(blocks.select("page_id", "node_id", "block_idx"), ["page_id", "node_id"]))
     ex = ex.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "block_idx").orderBy("d")))
     short = ex.filter((F.col("k") <= 10) & (F.col("lchars") > 0) & (F.col("lchars") < CHILD_LABEL_LIMIT))
     stxt = _subtree_text(t, short.select("page_id", F.col("d").alias("node_id")).distinct(), strip=True)
@@ -187,7 +184,7 @@ def legacy_extract(pages: DataFrame, min_words: int = 3) -> DataFrame:
     from turnstile.functions.text import py_words
     from turnstile.operators.extract import Options, prepare
 
-    m, _, _ = prepare(pages, Options(raw=True))
+    m, *_ = prepare(pages, Options(raw=True))
     t = legacy_tree(m)
     blocks = materialize(legacy_blocks(t))
     roles = legacy_roles(t, blocks)
@@ -230,17 +227,17 @@ def legacy_code_blocks(m: DataFrame) -> DataFrame:
     tag = F.col("kind") == "tag"
     n = m.withColumn("_pre_anc", has_marked_ancestor(tag & (F.col("name") == "pre"), w))
     pres = n.filter(tag & (F.col("name") == "pre") & ~F.col("_pre_anc"))
-    desc = (n.filter(tag).select("page_id", F.col("node_id").alias("d"), "classes",
-                                 F.explode("path").alias("node_id"))
-            .join(pres.select("page_id", "node_id"), ["page_id", "node_id"]))
+    # outermost ones don't nest: the last one that opened is the one around
+    n = n.withColumn("_pre_rid", enclosing_root(tag & (F.col("name") == "pre") & ~F.col("_pre_anc"), w))
+    inside = n.filter(F.col("_pre_rid").isNotNull() & (F.col("_pre_rid") != F.col("node_id")))
+    desc = inside.filter(tag).select("page_id", F.col("node_id").alias("d"), "classes", F.col("_pre_rid").alias("node_id"))
     lang_of = F.try_element_at(F.filter(F.transform(F.coalesce("classes", _empty()),
                                                     lambda c: F.regexp_extract(c, r"^language-(\w+)", 1)),
                                         lambda x: x != ""), F.lit(1))
     langs = (desc.withColumn("lg", lang_of).filter(F.col("lg").isNotNull())
              .groupBy("page_id", "node_id").agg(F.max_by("lg", "d").alias("lg")))
-    texts = (n.filter(F.col("kind") == "text").select("page_id", F.col("node_id").alias("src"), "text",
-                                                       F.explode("path").alias("node_id"))
-             .join(pres.select("page_id", "node_id"), ["page_id", "node_id"])
+    texts = (inside.filter(F.col("kind") == "text")
+             .select("page_id", F.col("node_id").alias("src"), "text", F.col("_pre_rid").alias("node_id"))
              .groupBy("page_id", "node_id")
              .agg(F.expr("listagg(text, '\\n') WITHIN GROUP (ORDER BY src)").alias("txt")))
     mermaid_pre = F.array_join(F.coalesce("classes", _empty()), " ").contains("mermaid")

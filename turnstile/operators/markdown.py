@@ -5,11 +5,16 @@ closing string (chosen by tag name, O69-O76), a text node gives its text.
 Sorting the pieces by ``(position, open/close, depth)`` and concatenating
 them (``listagg ... WITHIN GROUP``) is the recursive conversion.
 
-Handlers that are not compositional are applied innermost-first:
+Handlers that are not compositional:
 * a tag whose stripped text is one placeholder becomes that placeholder (O68);
 * a table becomes GFM built from its rows and cells (O78);
-* links and quotes (O75, O77) strip their converted inner text; they are
-  collapsed level by level (deepest first), one aggregate per nesting level.
+* links and quotes (O75, O77) strip their converted inner text, and quotes
+  prefix its lines. This needs no round for each nesting level
+  (``render_pieces``): white space goes if nothing else stands between it and
+  an edge of the innermost element around it (an outer one's edge is never
+  nearer), and a line break gets one prefix for each quote around it. Both are
+  running values over a block's ordered pieces, so the number of jobs doesn't
+  depend on how deep a page nests.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnstile.functions.text import py_strip
-from turnstile.operators.dom import enclosing_root, has_marked_ancestor
+from turnstile.operators.dom import enclosing, enclosing_root, has_marked_ancestor, subtree_text
 from turnstile.session import materialize
 
 TEXT_KINDS = ["text", "comment", "script", "style", "template", "declaration", "pi"]
@@ -25,7 +30,7 @@ NONCOMP = ["a", "blockquote"]
 ORDER = "k1, k2, k3, src"
 
 
-def _open_close(tables: bool) -> tuple[Column, Column]:
+def _open_close(tables: bool, numbered: bool) -> tuple[Column, Column]:
     name = F.col("name")
     level = F.substring(name, 2, 1)
     is_h = name.isin("h1", "h2", "h3", "h4", "h5", "h6")
@@ -33,7 +38,8 @@ def _open_close(tables: bool) -> tuple[Column, Column]:
     alt = F.coalesce(F.col("attrs")["alt"], F.lit(""))
     op = (F.when(name.isin("p", "ul", "ol"), F.lit("\n"))
           .when(is_h, F.concat(F.lit("\n"), F.repeat(F.lit("#"), level.cast("int")), F.lit(" ")))
-          .when(name == "li", F.when(F.col("parent_name") == "ol", F.lit("1. ")).otherwise(F.lit("- ")))
+          .when(name == "li", F.when(F.col("parent_name") == "ol", F.concat(
+              F.col("_item").cast("string") if numbered else F.lit("1"), F.lit(". "))).otherwise(F.lit("- ")))
           .when(name == "br", F.lit("  \n"))
           .when(name == "hr", F.lit("\n---\n"))
           .when(name.isin("strong", "b"), F.lit("**"))
@@ -54,18 +60,12 @@ def _open_close(tables: bool) -> tuple[Column, Column]:
 
 
 def block_members(m: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(block, node) rows for every node in each block subtree. Blocks may
-    nest; membership is an equi-join on the exploded ancestor path (only for
-    nodes that lie under some block, found with one page window)."""
+    """(block, node) rows for every node in each block subtree; blocks may nest."""
     roots = blocks.select("page_id", "node_id").distinct().withColumn("_broot", F.lit(True))
-    x = m.select("page_id", "node_id", "end", "path").join(roots, ["page_id", "node_id"], "left")
-    isroot = F.coalesce(F.col("_broot"), F.lit(False))
-    x = x.withColumn("_under", isroot | has_marked_ancestor(isroot)).filter("_under")
-    ex = x.select("page_id", "node_id", F.explode(F.concat("path", F.array("node_id"))).alias("anc"))
-    b = blocks.select("page_id", F.col("node_id").alias("anc"), "block_idx", F.col("node_id").alias("root"),
-                      "nr")
-    mem = ex.join(b, ["page_id", "anc"]).drop("anc")
-    mem = mem.join(m, ["page_id", "node_id"])
+    x = m.select("page_id", "node_id", "end").join(roots, ["page_id", "node_id"], "left")
+    b = blocks.select("page_id", F.col("node_id").alias("root"), "block_idx", "nr")
+    mem = (enclosing(x, F.col("_broot")).select("page_id", "node_id", F.col("mark_id").alias("root"))
+           .join(b, ["page_id", "root"]).join(m, ["page_id", "node_id"]))
     return mem.filter(~F.col("claimed") & ~(F.col("nr") & F.col("in_noise")))
 
 
@@ -74,18 +74,14 @@ def _gfm_tables(mem: DataFrame) -> DataFrame:
     tw = Window.partitionBy("page_id", "block_idx").orderBy("node_id")
     t = mem.withColumn("_tbl", enclosing_root(F.col("outer_tbl"), tw)).filter(F.col("_tbl").isNotNull())
     keys = ["page_id", "block_idx"]
-    trs = t.filter((F.col("kind") == "tag") & (F.col("name") == "tr")).select(*keys, "_tbl",
-                                                                               F.col("node_id").alias("tr"))
-    cells = t.filter((F.col("kind") == "tag") & F.col("name").isin("td", "th"))
-    cell_row = (cells.select(*keys, F.col("node_id").alias("cell"), F.explode("path").alias("tr"))
-                .join(trs, keys + ["tr"]))
-    cell_set = cells.select(*keys, F.col("node_id").alias("cell"))
+    tag = F.col("kind") == "tag"
+    trs = t.filter(tag & (F.col("name") == "tr")).select(*keys, "_tbl", F.col("node_id").alias("tr"))
+    is_cell = tag & F.col("name").isin("td", "th")
+    cell_row = (enclosing(t, tag & (F.col("name") == "tr"), is_cell, keys, proper=True)
+                .select(*keys, F.col("node_id").alias("cell"), F.col("mark_id").alias("tr")).join(trs, keys + ["tr"]))
     texty = t.filter(((F.col("kind") == "text") & (F.col("nonempty") > 0)) | F.col("key").isNotNull())
-    texty = texty.select(*keys, "node_id", F.coalesce("key", py_strip(F.col("text"))).alias("t"),
-                         F.explode(F.concat("path", F.array("node_id"))).alias("cell"))
-    ctext = (texty.join(cell_set, keys + ["cell"])
-             .groupBy(*keys, "cell")
-             .agg(F.expr("listagg(t, '') WITHIN GROUP (ORDER BY node_id)").alias("ct")))
+    ctext = (subtree_text(texty, t.filter(is_cell), F.coalesce("key", py_strip(F.col("text"))), keys=keys)
+             .select(*keys, F.col("node_id").alias("cell"), F.col("txt").alias("ct")))
     rows = (cell_row.join(ctext, keys + ["cell"], "left")
             .groupBy(*keys, "_tbl", "tr")
             .agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("ct", F.lit("")).alias("ct"))))
@@ -108,9 +104,10 @@ def _gfm_tables(mem: DataFrame) -> DataFrame:
         *keys, "node_id", F.coalesce("piece", F.lit("")).alias("piece"))
 
 
-def to_markdown(m: DataFrame, blocks: DataFrame, tables: bool = True) -> DataFrame:
+def to_markdown(m: DataFrame, blocks: DataFrame, tables: bool = True, numbered: bool = False) -> DataFrame:
     """blocks(page_id, block_idx, node_id, nr) -> (page_id, block_idx, content)
-    with placeholders still in place (see ``protect.restore``)."""
+    with placeholders still in place (see ``protect.restore``). ``numbered``:
+    items of an ordered list are counted up instead of all being 1."""
     keys = ["page_id", "block_idx"]
     mem = block_members(m, blocks)
     bw = Window.partitionBy(*keys).orderBy("node_id")
@@ -132,7 +129,11 @@ def to_markdown(m: DataFrame, blocks: DataFrame, tables: bool = True) -> DataFra
 
     okroot = F.col("_ok")
     is_nc = tag & F.col("name").isin(*NONCOMP) & ~okroot
-    op, cl = _open_close(tables)
+    op, cl = _open_close(tables, numbered)
+    if numbered:
+        is_item = tag & (F.col("name") == "li")
+        live = live.withColumn("_item", F.sum(is_item.cast("int")).over(
+            Window.partitionBy(*keys, "parent_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)))
     pos = [F.col("node_id").alias("k1"), F.lit(0).alias("k2"), F.col("depth").alias("k3"),
            F.col("node_id").alias("src")]
     # text-like rows and placeholder roots
@@ -147,53 +148,95 @@ def to_markdown(m: DataFrame, blocks: DataFrame, tables: bool = True) -> DataFra
     ev_tbl = _gfm_tables(mem).join(live.select(*keys, "node_id", "depth"), keys + ["node_id"]).select(
         *keys, F.col("node_id").alias("k1"), F.lit(0).alias("k2"), F.col("depth").alias("k3"),
         F.col("node_id").alias("src"), "piece")
-    ev = ev_text.unionByName(ev_open).unionByName(ev_close).unionByName(ev_tbl)
-    ev = ev.withColumn("lvl", F.lit(None).cast("int")).withColumn("m_end", F.lit(None).cast("int")) \
-           .withColumn("m_name", F.lit(None).cast("string")).withColumn("m_href", F.lit(None).cast("string"))
-
-    # non-compositional handlers: level = number of link/quote ancestors in the block
-    nc = live.filter(is_nc).select(*keys, "node_id", "end", "depth", "path", "name",
-                                   F.col("attrs")["href"].alias("href"))
-    anc = nc.select(*keys, "node_id", F.explode("path").alias("a"))
-    lv = (anc.join(nc.select(*keys, F.col("node_id").alias("a")), keys + ["a"])
-          .groupBy(*keys, "node_id").agg(F.count("*").alias("lvl")))
-    nc = nc.join(lv, keys + ["node_id"], "left").withColumn("lvl", F.coalesce("lvl", F.lit(0)))
-    max_lvl = nc.agg(F.max("lvl")).first()[0]
-    if max_lvl is not None:
-        markers = nc.select(*keys, F.col("node_id").alias("k1"), F.lit(0).alias("k2"),
-                            F.col("depth").alias("k3"), F.col("node_id").alias("src"),
-                            F.lit(None).cast("string").alias("piece"), F.col("lvl").cast("int"),
-                            F.col("end").alias("m_end"), F.col("name").alias("m_name"),
-                            F.col("href").alias("m_href"))
-        ev = materialize(ev.unionByName(markers))
-        for L in range(int(max_lvl), -1, -1):
-            ev = materialize(_collapse_level(ev, L))
-    return (ev.groupBy(*keys).agg(F.expr(f"listagg(piece, '') WITHIN GROUP (ORDER BY {ORDER})")
-                                  .alias("content")))
-
-
-def _collapse_level(ev: DataFrame, L: int) -> DataFrame:
-    keys = ["page_id", "block_idx"]
-    w = Window.partitionBy(*keys).orderBy("k1", "k2", "k3", "src").rowsBetween(Window.unboundedPreceding, -1)
-    is_m = F.col("lvl") == L
-    owner = F.last(F.when(is_m, F.struct(F.col("src").alias("id"), F.col("m_end").alias("e"))),
-                   ignorenulls=True).over(w)
-    ev = ev.withColumn("_own", owner)
-    owned = (F.col("_own").isNotNull() & (F.col("src") > F.col("_own.id"))
-             & (F.col("src") <= F.col("_own.e")))
-    ev = ev.withColumn("_owned", F.coalesce(owned, F.lit(False)))
-    inner = (ev.filter("_owned").groupBy(*keys, F.col("_own.id").alias("src"))
-             .agg(F.expr(f"listagg(piece, '') WITHIN GROUP (ORDER BY {ORDER})").alias("inner")))
-    mk = ev.filter(is_m).join(inner, keys + ["src"], "left")
-    t = py_strip(F.coalesce(F.col("inner"), F.lit("")))
-    href = F.coalesce(F.col("m_href"), F.lit(""))
-    link = (F.when((href != "") & (t != ""), F.concat(F.lit("["), t, F.lit("]("), href, F.lit(")")))
-            .when(t != "", t).otherwise(href))
-    quote = F.when(t == "", F.lit("")).otherwise(
-        F.concat(F.lit("\n> "), F.replace(t, F.lit("\n"), F.lit("\n> ")), F.lit("\n")))
-    done = mk.select(*keys, "k1", "k2", "k3", "src",
-                     F.when(F.col("m_name") == "a", link).otherwise(quote).alias("piece"),
-                     F.lit(None).cast("int").alias("lvl"), F.lit(None).cast("int").alias("m_end"),
-                     F.lit(None).cast("string").alias("m_name"), F.lit(None).cast("string").alias("m_href"))
-    rest = ev.filter(~F.col("_owned") & ~F.coalesce(is_m, F.lit(False))).drop("_own", "_owned")
-    return rest.unionByName(done)
+    plain_ev = ev_text.unionByName(ev_open).unionByName(ev_close).unionByName(ev_tbl).select(
+        *keys, "k1", "k2", "k3", "src", F.coalesce("piece", F.lit("")).alias("piece"), *no_mark("href"))
+    nc = live.filter(is_nc)
+    href = F.coalesce(F.col("attrs")["href"], F.lit(""))
+    mark = [F.col("name").alias("mark"), F.when(F.col("name") == "a", href).alias("href")]
+    nc_open = nc.select(*keys, *pos, F.lit("").alias("piece"), *mark, F.lit(1).alias("side"))
+    nc_close = nc.select(*keys, F.col("end").alias("k1"), F.lit(1).alias("k2"), (-F.col("depth")).alias("k3"),
+                         F.col("node_id").alias("src"), F.lit("").alias("piece"), *mark, F.lit(-1).alias("side"))
+    ev = _link_and_quote_pieces(plain_ev.unionByName(nc_open).unionByName(nc_close), keys)
+    return render_pieces(ev, keys)
+
+
+# ---- ordered pieces to text: keys, k1, k2, k3, src, piece, mark, side (1 opens, -1 closes, 0 neither) ----
+def no_mark(*others: str) -> list[Column]:
+    """The marker columns of a piece that is no marker."""
+    return [F.lit(None).cast("string").alias(c) for c in ("mark", *others)] + [F.lit(0).alias("side")]
+
+
+LEAD = r"(?U)^\s*"
+TRAIL = r"(?U)\s*$"
+
+
+def _solid(text: Column) -> Column:
+    return py_strip(text) != ""
+
+
+def _link_and_quote_pieces(ev: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces of the markers. An element is empty if nothing but white space is
+    in it; a link in it that has a target isn't nothing, empty or not."""
+    along = Window.partitionBy(*keys).orderBy("k1", "k2", "k3", "src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    solid = F.when(F.col("side") == 0, _solid(F.col("piece"))).otherwise((F.col("side") == 1) & _solid(F.coalesce("href", F.lit(""))))
+    ev = ev.withColumn("_n", F.sum(solid.cast("int")).over(along))
+    filled = (ev.filter("side <> 0").groupBy(*keys, "src").agg((F.max("_n") > F.min("_n")).alias("_filled")))
+    ev = ev.join(filled, [*keys, "src"], "left")
+    full, opens, link = F.col("_filled"), F.col("side") == 1, F.col("mark") == "a"
+    named = link & (F.col("href") != "")
+    piece = (F.when(F.col("side") == 0, F.col("piece"))
+             .when(named & full & opens, F.lit("[")).when(named & full, F.concat(F.lit("]("), F.col("href"), F.lit(")")))
+             .when(named & opens, F.col("href"))
+             .when(~link & full & opens, F.lit("\n> ")).when(~link & full, F.lit("\n")).otherwise(F.lit("")))
+    return ev.withColumn("piece", piece)
+
+
+def render_pieces(ev: DataFrame, keys: list[str], cells: bool = False) -> DataFrame:
+    """keys, content: the pieces put together in order. Within an element that
+    has markers (``mark``, ``side``) the text is stripped; in quotes each line
+    break gets a prefix for each quote around it; with ``cells``, line breaks
+    within an element marked ``#cell`` are spaces (after the quotes inside it)."""
+    order = ["k1", "k2", "k3", "src"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    side, quote, cell = F.col("side"), F.col("mark") == "blockquote", F.col("mark") == "#cell"
+    # elements around a piece; a marker lies outside its own element
+    around = lambda c: (F.coalesce(F.sum(F.when(c & (side == 1), 1).otherwise(0)).over(before), F.lit(0))
+                        - F.sum(F.when(c & (side == -1), 1).otherwise(0)).over(upto)).cast("int")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    x = ev.select(*keys, *order, "piece", "mark", "side", F.row_number().over(w).alias("_i"),
+                  around(side != 0).alias("_level"), around(yes(quote)).alias("_quotes"),
+                  around(yes(cell)).alias("_cells"), _solid(F.col("piece")).alias("_solid"))
+    wi = Window.partitionBy(*keys).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    wd = Window.partitionBy(*keys).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(F.col("_solid"), F.col("_i"))
+    x = x.withColumns({"_prev": F.coalesce(F.max(at).over(wi), F.lit(0)),
+                       "_next": F.coalesce(F.min(at).over(wd), F.lit((1 << 31) - 1))})
+    # a marker is a piece at its element's outside and a bound one level further in
+    row = lambda level, asked: F.struct(level.alias("level"), F.lit(asked).alias("asked"))
+    here = row(F.col("_level"), True)
+    x = x.withColumn("_e", F.explode(F.when(side != 0, F.array(here, row(F.col("_level") + 1, False))).otherwise(F.array(here))))
+    bound = ~F.col("_e.asked")
+    wl = Window.partitionBy(*keys, "_e.level").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    wr = Window.partitionBy(*keys, "_e.level").orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"_open": F.last(F.when(bound & (side == 1), F.col("_i")), ignorenulls=True).over(wl),
+                       "_close": F.last(F.when(bound & (side == -1), F.col("_i")), ignorenulls=True).over(wr)})
+    if cells:
+        wc = Window.partitionBy(*keys, "_cell").orderBy("_i", "_e.asked").rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumn("_cell", F.when(bound & yes(cell), F.col("_cells") + 1).otherwise(F.col("_cells")))
+        outside = F.last(F.when(bound & yes(cell) & (side == 1), F.col("_quotes")), ignorenulls=True).over(wc)
+        x = x.withColumn("_outside", outside)
+    x = x.filter("_e.asked")
+    inside = F.col("_level") > 0
+    no_lead = inside & ((F.col("_prev") <= F.col("_open")) | (~F.col("_solid") & (F.col("_next") >= F.col("_close"))))
+    no_trail = inside & (F.col("_next") >= F.col("_close"))
+    core = py_strip(F.col("piece"))
+    kept = F.concat(F.when(no_lead, F.lit("")).otherwise(F.regexp_extract("piece", LEAD, 0)), core,
+                    F.when(no_trail | ~F.col("_solid"), F.lit("")).otherwise(F.regexp_extract("piece", TRAIL, 0)))
+    prefix = lambda n: F.repeat(F.lit("> "), n)
+    lines = F.replace(kept, F.lit("\n"), F.concat(F.lit("\n"), prefix(F.col("_quotes"))))
+    if cells:
+        flat = F.replace(kept, F.lit("\n"), F.concat(F.lit(" "), prefix(F.col("_quotes") - F.coalesce("_outside", F.lit(0)))))
+        lines = F.when(F.col("_cells") > 0, flat).otherwise(lines)
+    return (x.select(*keys, *order, lines.alias("piece")).groupBy(*keys)
+            .agg(F.expr(f"listagg(piece, '') WITHIN GROUP (ORDER BY {ORDER})").alias("content")))

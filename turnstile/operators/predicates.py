@@ -71,3 +71,40 @@ def source_of(spark, pages: DataFrame) -> DataFrame:
     p = pages.select("page_id", host.alias("host"))
     return p.join(F.broadcast(rules), "host", "left").select(
         "page_id", "host", F.coalesce("source", F.lit("generic")).alias("source"))
+
+
+# Marks that tell where a page was saved, and their weights. A mark is a
+# host, a tag's name, an attribute or a class; a page counts each once.
+SOURCE_MARKS = ([("host", h, s, 4) for h, s in SOURCE_RULES] + [
+    ("tag", "ms-chat-turn", "aistudio", 3), ("tag", "ms-text-chunk", "aistudio", 1),
+    ("attr", "data-turn-role", "aistudio", 1),
+    ("attr", "data-message-author-role", "chatgpt", 3), ("attr", "data-message-id", "chatgpt", 1),
+    ("tag", "user-query", "gemini", 3), ("tag", "model-response", "gemini", 3), ("tag", "message-content", "gemini", 1),
+    ("class", "font-claude-message", "claude", 3), ("class", "font-user-message", "claude", 2),
+    ("class", "ds-message", "deepseek", 3), ("class", "response-content-markdown", "grok", 2)])
+
+
+def source_votes(m: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, source, votes for each source that a page has a mark of:
+    the marks on its nodes (``m``) and its url's host, joined to the fixed
+    table of marks (some twenty rows, broadcast)."""
+    spark = m.sparkSession
+    marks = F.broadcast(spark.createDataFrame(SOURCE_MARKS, "kind string, mark string, source string, weight int"))
+    tag = m.filter(F.col("kind") == "tag")
+    found = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("mark")))
+    none = F.array().cast("array<string>")
+    held = tag.select("page_id", F.explode(F.concat(
+        found("tag", F.array("name")), found("attr", F.coalesce(F.map_keys("attrs"), none)),
+        found("class", F.coalesce("classes", none)))).alias("h")).select("page_id", "h.kind", "h.mark")
+    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1))
+    held = held.unionByName(pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit("host").alias("kind"), host.alias("mark")))
+    # the join drops what is no mark before anything is shuffled
+    return (held.join(marks, ["kind", "mark"]).select("page_id", "kind", "mark", "source", "weight").distinct()
+            .groupBy("page_id", "source").agg(F.sum("weight").cast("long").alias("votes")))
+
+
+def winning_source(votes: DataFrame) -> DataFrame:
+    """page_id, source, votes of the source with most votes (of equals the first by name)."""
+    best = F.struct((-F.col("votes")).alias("v"), F.col("source").alias("s"))
+    return votes.groupBy("page_id").agg(F.min(best).alias("b")).select(
+        "page_id", F.col("b.s").alias("source"), (-F.col("b.v")).alias("votes"))

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnstile.functions.text import py_strip
-from turnstile.operators.dom import enclosing_root, has_marked_ancestor, page_window, subtree_sums
+from turnstile.operators.dom import (enclosing, enclosing_root, has_marked_ancestor, page_window, subtree_sums,
+                                     subtree_text)
 from turnstile.session import materialize
 
 KEY_PREFIX = "__TSK_"
@@ -47,8 +48,7 @@ def protect(nodes: DataFrame, data_latex: bool = False) -> tuple[DataFrame, Data
     # only what protect reads is carried through its checkpoints (less I/O
     # at scale); the result joins the flags back onto the full node rows
     keep_attrs = F.map_filter("attrs", lambda k, v: k.isin("encoding", "display", "data-latex"))
-    n = nodes.select("page_id", "node_id", "kind", "name", keep_attrs.alias("attrs"), "classes", "end", "path",
-                     "text")
+    n = nodes.select("page_id", "node_id", "kind", "name", keep_attrs.alias("attrs"), "classes", "end", "text")
     # ---- code: outermost pre ------------------------------------------
     is_pre = (F.col("kind") == "tag") & (F.col("name") == "pre")
     n = n.withColumn("_pre_anc", has_marked_ancestor(is_pre, w))
@@ -91,17 +91,10 @@ def protect(nodes: DataFrame, data_latex: bool = False) -> tuple[DataFrame, Data
     # text stream of the code-protected tree: code roots read as their key
     code_key = code_p.select("page_id", F.col("root_id").alias("node_id"), F.col("key").alias("_ckey"))
     n = materialize(n.join(code_key, ["page_id", "node_id"], "left"))
-    stream = n.filter(F.col("_in_mcand") & (((F.col("kind") == "text") & live) | F.col("_ckey").isNotNull()))
-    stream = stream.select("page_id", "node_id", F.coalesce("_ckey", "text").alias("t"),
-                           F.explode("path").alias("anc"))
     cands = n.filter("_mcand").select("page_id", F.col("node_id").alias("anc"), "end")
-    own = n.filter(F.col("_mcand") & (((F.col("kind") == "text") & live) | F.col("_ckey").isNotNull()))
-    ctext = (stream.join(cands.select("page_id", "anc"), ["page_id", "anc"])
-             .select("page_id", "anc", "node_id", "t"))
-    ctext = ctext.unionByName(own.select("page_id", F.col("node_id").alias("anc"), "node_id",
-                                         F.coalesce("_ckey", "text").alias("t")))
-    ctext = ctext.groupBy("page_id", "anc").agg(
-        F.expr("listagg(t, '') WITHIN GROUP (ORDER BY node_id)").alias("txt"))
+    stream = n.filter((F.col("_mcand") | F.col("_in_mcand")) & (((F.col("kind") == "text") & live) | F.col("_ckey").isNotNull()))
+    ctext = (subtree_text(stream, cands.withColumnRenamed("anc", "node_id"), F.coalesce("_ckey", "text"))
+             .withColumnRenamed("node_id", "anc"))
     mc = cands.join(ctext, ["page_id", "anc"], "left").withColumnRenamed("anc", "node_id")
     mc = mc.withColumn("_match", F.coalesce(F.col("txt"), F.lit("")).rlike(MERMAID_LINE))
     mc = mc.withColumn("_m_anc", has_marked_ancestor(F.col("_match"), w))
@@ -123,21 +116,24 @@ def protect(nodes: DataFrame, data_latex: bool = False) -> tuple[DataFrame, Data
     ann_txt = _ordered_text(n.filter(F.col("_ann_rid").isNotNull() & (F.col("kind") == "text"))
                             .select("page_id", "_ann_rid", "node_id", F.col("text").alias("t")),
                             ["page_id", "_ann_rid"])
-    anns = n.filter(is_ann).select("page_id", F.col("node_id").alias("ann_id"), "path")
-    anc = anns.select("page_id", "ann_id", F.posexplode("path").alias("lvl", "node_id"))
+    anns = n.filter(is_ann).select("page_id", F.col("node_id").alias("ann_id"))
     info = nodes.select("page_id", "node_id", "name", "classes", F.col("attrs")["display"].alias("display"),
                         "end")
-    anc = anc.join(info, ["page_id", "node_id"])
-    near = anc.groupBy("page_id", "ann_id").agg(
-        F.max_by(F.when(F.col("name") == "math", F.struct("node_id", "display")),
-                 F.when(F.col("name") == "math", F.col("lvl"))).alias("m"),
-        F.max_by(F.when(F.array_contains("classes", "katex"), F.col("node_id")),
-                 F.when(F.array_contains("classes", "katex"), F.col("lvl"))).alias("k"))
+    is_math = F.col("name") == "math"
+    is_katex = F.array_contains("classes", "katex")
+    holders = n.select("page_id", "node_id", "end", "name", "classes", F.col("attrs")["display"].alias("display"),
+                       is_ann.alias("_ann"))
+
+    def nearest(mark: Column, name: str) -> DataFrame:
+        return enclosing(holders, mark, F.col("_ann"), proper=True, nearest=True).select(
+            "page_id", F.col("node_id").alias("ann_id"), F.col("mark_id").alias(name))
+    near = (anns.join(nearest(is_math, "m"), ["page_id", "ann_id"], "left")
+            .join(nearest(is_katex, "k"), ["page_id", "ann_id"], "left")
+            .join(info.select("page_id", F.col("node_id").alias("m"), "display"), ["page_id", "m"], "left"))
     araw = py_strip(F.coalesce(F.col("txt"), F.lit("")))
-    is_block = F.coalesce(F.col("m.display") == "block", F.lit(False))
-    mt = (anns.join(near, ["page_id", "ann_id"], "left")
-          .join(ann_txt.withColumnRenamed("_ann_rid", "ann_id"), ["page_id", "ann_id"], "left")
-          .select("page_id", "ann_id", F.coalesce("k", "m.node_id", "ann_id").alias("node_id"),
+    is_block = F.coalesce(F.col("display") == "block", F.lit(False))
+    mt = (near.join(ann_txt.withColumnRenamed("_ann_rid", "ann_id"), ["page_id", "ann_id"], "left")
+          .select("page_id", "ann_id", F.coalesce("k", "m", "ann_id").alias("node_id"),
                   araw.alias("raw"), is_block.alias("blk")))
     # A formula carried in a data-latex attribute is another math input;
     # the element itself is the target (inline form)
@@ -147,7 +143,9 @@ def protect(nodes: DataFrame, data_latex: bool = False) -> tuple[DataFrame, Data
                    py_strip(F.col("attrs")["data-latex"]).alias("raw"), F.lit(False).alias("blk"))
     # off by default; where such an element holds an annotation, that one counts
     if data_latex:
-        mt = mt.unionByName(dl.join(anc.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti"))
+        own = F.col("attrs")["data-latex"].isNotNull()
+        above = enclosing(n.select("page_id", "node_id", "end", "attrs", is_ann.alias("_ann")), own, F.col("_ann"), proper=True)
+        mt = mt.unionByName(dl.join(above.select("page_id", F.col("mark_id").alias("node_id")), ["page_id", "node_id"], "left_anti"))
     mt = mt.groupBy("page_id", "node_id").agg(F.min_by(F.struct("raw", "blk"), "ann_id").alias("a"))
     mt = mt.join(info.select("page_id", "node_id", "end"), ["page_id", "node_id"])
     mt = mt.withColumn("_t_anc", has_marked_ancestor(F.lit(True), w)).filter(~F.col("_t_anc"))
@@ -185,25 +183,51 @@ def no_protect(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, empty
 
 
+def close_entries(protected: DataFrame, most: int = 40) -> DataFrame:
+    """The map with no key left in ``formatted`` that it has an entry for: a
+    protected block may hold keys of others, those again, and so on.
+
+    Each round puts into the entries that hold keys what these keys stand for
+    so far, so the depth that is resolved doubles; only such entries are
+    touched, and turns are then restored in one pass. Entries can't hold one
+    another in a circle, as a key is a hash of the text; ``most`` rounds would
+    resolve any depth."""
+    known = protected.select("page_id", "key")
+
+    def holding(df: DataFrame) -> DataFrame:
+        keys = df.filter(F.col("formatted").rlike(KEY_PATTERN)).select(
+            "page_id", F.col("key").alias("holder"), F.explode(F.regexp_extract_all("formatted", F.lit(KEY_PATTERN), 0)).alias("key"))
+        return keys.join(known, ["page_id", "key"]).select("page_id", F.col("holder").alias("key")).distinct()
+    for _ in range(most):
+        held = materialize(holding(protected))
+        if held.isEmpty():
+            break
+        still = protected.join(held, ["page_id", "key"], "left_semi").select(*protected.columns)
+        done = protected.join(held, ["page_id", "key"], "left_anti").select(*protected.columns)
+        protected = materialize(done.unionByName(restore(still, protected, "formatted", ("page_id", "key"))))
+    return protected
+
+
 def restore(df: DataFrame, protected: DataFrame, col: str = "content",
-            keys: tuple[str, ...] = ("page_id", "block_idx"), passes: int = 2) -> DataFrame:
-    """Replace every placeholder in ``col`` by its formatted content.
-    Rows without placeholders pass straight through; the others are split
-    at the keys, joined to the map on ``(page_id, key)`` and re-assembled in
-    order. Unknown keys are left as they are."""
+            keys: tuple[str, ...] = ("page_id", "block_idx")) -> DataFrame:
+    """Replace every placeholder in ``col`` by its formatted content
+    (``close_entries`` has seen to keys within that). Rows without
+    placeholders pass straight through; the others are split at the keys,
+    joined to the map on ``(page_id, key)`` and re-assembled in order. Unknown
+    keys are left as they are."""
     keys = list(keys)
+    own = [f"_own_{k}" for k in keys]
     has = F.col(col).rlike(KEY_PATTERN)
     plain = df.filter(~has)
     withk = df.filter(has)
-    segs = withk.select(*keys, F.split(F.col(col), KEY_PATTERN).alias("segs"),
+    segs = withk.select("page_id", *[F.col(k).alias(o) for k, o in zip(keys, own)], F.split(F.col(col), KEY_PATTERN).alias("segs"),
                         F.regexp_extract_all(F.col(col), F.lit(KEY_PATTERN), 0).alias("ks"))
-    ex = segs.select(*keys, "segs", F.posexplode("ks").alias("i", "key"))
+    ex = segs.select("page_id", *own, "segs", F.posexplode("ks").alias("i", "key"))
     ex = ex.join(protected.select("page_id", "key", "formatted"), ["page_id", "key"], "left")
-    ex = ex.select(*keys, "segs", "i",
+    ex = ex.select(*own, "segs", "i",
                    F.concat(F.coalesce("formatted", "key"), F.col("segs")[F.col("i") + 1]).alias("piece"))
-    back = ex.groupBy(*keys).agg(
+    back = ex.groupBy(*own).agg(
         F.first(F.col("segs")[0]).alias("head"),
         F.expr("listagg(piece, '') WITHIN GROUP (ORDER BY i)").alias("tail"))
-    fixed = withk.drop(col).join(back.select(*keys, F.concat("head", "tail").alias(col)), keys).select(*df.columns)
-    # a protected block may hold the key of another one: a second pass over what was filled in
-    return plain.unionByName(restore(fixed, protected, col, tuple(keys), passes - 1) if passes > 1 else fixed)
+    back = back.select(*[F.col(o).alias(k) for k, o in zip(keys, own)], F.concat("head", "tail").alias(col))
+    return plain.unionByName(withk.drop(col).join(back, keys).select(*df.columns))

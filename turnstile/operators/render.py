@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnstile.functions.text import fmt2, preview, squeeze_once
 from turnstile.operators.protect import KEY_PATTERN
@@ -59,22 +59,34 @@ def render_json(turns: DataFrame, with_confidence: bool = True) -> DataFrame:
     return s.select("page_id", F.to_json("doc", {"ignoreNullFields": "false"}).alias("json"))
 
 
+# Tables and images as the Markdown conversion writes them.
+TABLE = r"(?<=^|\n)\|[^\n]*\|\n\|(?: --- \|)+(?:\n\|[^\n]*\|)*"
+IMAGE = r"!\[[^\]\n]*\]\([^)\n]*\)"
+
+
 def typed_parts(turns: DataFrame, raw_content: DataFrame, protected: DataFrame) -> DataFrame:
-    """Split each turn at its placeholders; text pieces become ``text``
-    parts, placeholders take the protected entry's type (math split into
-    inline and block)."""
-    segs = raw_content.select("page_id", "block_idx", F.split("content", KEY_PATTERN).alias("segs"),
-                              F.regexp_extract_all("content", F.lit(KEY_PATTERN), 0).alias("ks"))
+    """Split each turn at its placeholders, tables and images, in order
+    (``pos``, from 0, among a turn's parts): text, code, mermaid, math_inline,
+    math_block, table or image, with the language of code. Empty text is no part."""
+    cut = f"{KEY_PATTERN}|{TABLE}|{IMAGE}"
+    segs = raw_content.select("page_id", "block_idx", F.split("content", cut).alias("segs"),
+                              F.regexp_extract_all("content", F.lit(f"({cut})"), 1).alias("ks"))
+    text = F.regexp_replace("s", r"(?U)^\s+|\s+$", "")
+    none = F.lit(None).cast("string")
     txt = segs.select("page_id", "block_idx", F.posexplode("segs").alias("i", "s")).select(
-        "page_id", "block_idx", (F.col("i") * 2).alias("pos"), F.lit("text").alias("type"),
-        F.regexp_replace("s", r"(?U)^\s+|\s+$", "").alias("content")).filter(F.col("content") != "")
+        "page_id", "block_idx", (F.col("i") * 2).alias("at"), F.lit("text").alias("type"), text.alias("content"),
+        none.alias("language")).filter(F.col("content") != "")
     ks = segs.select("page_id", "block_idx", F.posexplode("ks").alias("i", "key")).join(
         protected, ["page_id", "key"], "left")
     typ = (F.when(F.col("ptype") == "math", F.when(F.col("formatted").startswith("$$"), "math_block")
-                  .otherwise("math_inline")).otherwise(F.coalesce("ptype", F.lit("text"))))
-    keys = ks.select("page_id", "block_idx", (F.col("i") * 2 + 1).alias("pos"), typ.alias("type"),
-                     F.coalesce("formatted", "key").alias("content"))
-    return txt.unionByName(keys)
+                  .otherwise("math_inline"))
+           .otherwise(F.coalesce("ptype", F.when(F.col("key").startswith("|"), "table")
+                                 .when(F.col("key").startswith("!["), "image").otherwise("text"))))
+    keys = ks.select("page_id", "block_idx", (F.col("i") * 2 + 1).alias("at"), typ.alias("type"),
+                     F.coalesce("formatted", "key").alias("content"), F.nullif("language", F.lit("")).alias("language"))
+    w = Window.partitionBy("page_id", "block_idx").orderBy("at")
+    return (txt.unionByName(keys).withColumn("pos", F.row_number().over(w) - 1)
+            .select("page_id", "block_idx", "pos", "type", "content", "language"))
 
 
 def render_report(turns: DataFrame, date: str, version: str, fmt: str = "md") -> DataFrame:

@@ -14,7 +14,9 @@ Tree contract (fixed; tested in tests/test_shred.py):
   held a newline) or ``" "``, except inside ``pre``/``textarea``;
 * node 0 is the document; ``depth`` counts ancestors (document included);
 * ``end`` is the id of the last node in the subtree (nested-set interval
-  ``[node_id, end]``); ``path`` lists the ancestor ids, root first.
+  ``[node_id, end]``); ``gparent_id`` is the parent's parent. Questions about
+  further ancestors are windows over the intervals (``dom.enclosing``), so a
+  page's rows grow with its nodes, whatever its depth.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from turnstile.session import materialize
+
 # Elements that never have children.
 VOID_ELEMENTS = frozenset([
     "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen",
@@ -49,7 +53,7 @@ NODE_SCHEMA = T.StructType([
     T.StructField("parent_name", T.StringType()),
     T.StructField("depth", T.IntegerType()),
     T.StructField("end", T.IntegerType()),
-    T.StructField("path", T.ArrayType(T.IntegerType())),
+    T.StructField("gparent_id", T.IntegerType()),
     T.StructField("text", T.StringType()),
     T.StructField("words", T.IntegerType()),
     T.StructField("nonempty", T.IntegerType()),
@@ -63,7 +67,7 @@ _ARROW_SCHEMA = pa.schema([
     ("name", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
     ("classes", pa.list_(pa.string())), ("parent_id", pa.int32()),
     ("parent_name", pa.string()), ("depth", pa.int32()), ("end", pa.int32()),
-    ("path", pa.list_(pa.int32())), ("text", pa.string()),
+    ("gparent_id", pa.int32()), ("text", pa.string()),
     ("words", pa.int32()), ("nonempty", pa.int32()), ("src_start", pa.int32()), ("src_end", pa.int32()),
     ("error", pa.string()),
 ])
@@ -92,7 +96,7 @@ class _RowBuilder(HTMLParser):
         self.pnames: list[str | None] = []
         self.depths: list[int] = []
         self.ends: list[int] = []
-        self.paths: list[list[int]] = []
+        self.gparents: list[int | None] = []
         self.texts: list[str | None] = []
         self.stack: list[int] = []          # open element ids, document first
         self.stack_names: list[str] = []
@@ -125,7 +129,7 @@ class _RowBuilder(HTMLParser):
         self.pnames.append(self.stack_names[-1] if self.stack_names else None)
         self.depths.append(len(self.stack))
         self.ends.append(nid)
-        self.paths.append(list(self.stack))
+        self.gparents.append(self.stack[-2] if len(self.stack) > 1 else None)
         self.texts.append(text)
         return nid
 
@@ -248,86 +252,142 @@ def _page_columns(page_id: int, html: str | None):
         "page_id": [page_id] * n, "node_id": b.ids, "kind": b.kinds,
         "name": b.names, "attrs": b.attrs, "classes": b.classes,
         "parent_id": b.parents, "parent_name": b.pnames, "depth": b.depths,
-        "end": b.ends, "path": b.paths, "text": b.texts, "words": words,
+        "end": b.ends, "gparent_id": b.gparents, "text": b.texts, "words": words,
         "nonempty": nonempty, "src_start": b.starts, "src_end": b.src_ends, "error": [None] * n,
     }
-    if err is not None:
-        cols = {k: [v[0]] if k == "page_id" else [None] for k, v in cols.items()}
-        cols["page_id"] = [page_id]
-        cols["kind"] = ["error"]
-        cols["error"] = [err]
-    return cols
-
-
-def _shred_batches(batches):
-    for batch in batches:
-        ids = batch.column("page_id").to_pylist()
-        htmls = batch.column("html").to_pylist()
-        acc: dict[str, list] = {f.name: [] for f in _ARROW_SCHEMA}
-        rows = 0
-        for pid, html in zip(ids, htmls):
-            cols = _page_columns(pid, html)
-            for k, v in cols.items():
-                acc[k].extend(v)
-            rows += len(cols["page_id"])
-            if rows >= 65536:
-                yield pa.RecordBatch.from_pydict(acc, schema=_ARROW_SCHEMA)
-                acc = {f.name: [] for f in _ARROW_SCHEMA}
-                rows = 0
-        if rows:
-            yield pa.RecordBatch.from_pydict(acc, schema=_ARROW_SCHEMA)
-
-
-def shred_all(pages: DataFrame) -> DataFrame:
-    """pages(page_id, html, ...) -> node rows plus error rows (kind='error').
-
-    Only ``page_id`` and ``html`` cross into Python; the shred output is
-    hash-partitioned by ``page_id`` so every later per-page window and
-    aggregate finds its rows co-located.
-    """
+    return cols, err
+
+
+#: Rows and text of a batch that a task hands on; a page of more comes in several.
+BATCH_ROWS, BATCH_CHARS = 65_536, 8_000_000
+
+
+def _error_row(page_id: int, html: str | None, error: str) -> pa.RecordBatch:
+    """The page's own row in the quarantine, its html as the text."""
+    row = {f.name: [None] for f in _ARROW_SCHEMA} | {"page_id": [page_id], "kind": ["error"], "text": [html], "error": [error]}
+    return pa.RecordBatch.from_pydict(row, schema=_ARROW_SCHEMA)
+
+
+def _page_batches(page_id: int, html: str | None, max_nodes: int | None) -> list[pa.RecordBatch]:
+    """A page's rows, or its error row: whatever fails for one page, building
+    its batches included, is that page's error."""
+    try:
+        cols, error = _page_columns(page_id, html)
+        n = len(cols["page_id"])
+        if error is None and max_nodes is not None and n > max_nodes:
+            error = f"more than {max_nodes} nodes"
+        if error is not None:
+            return [_error_row(page_id, html, error)]
+        out, lo, size = [], 0, 0
+        for i in range(n):
+            size += len(cols["text"][i] or "") + sum(len(k) + len(v) for k, v in cols["attrs"][i] or ())
+            if i + 1 == n or i + 1 - lo == BATCH_ROWS or size >= BATCH_CHARS:
+                out.append(pa.RecordBatch.from_pydict({k: v[lo:i + 1] for k, v in cols.items()}, schema=_ARROW_SCHEMA))
+                lo, size = i + 1, 0
+        return out
+    except Exception:  # quarantine, never fail the job on one page
+        return [_error_row(page_id, html, traceback.format_exc(limit=3))]
+
+
+def _shred_batches(max_nodes: int | None):
+    def run(batches):
+        for batch in batches:
+            held, rows, size = [], 0, 0
+            for pid, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
+                own = _page_batches(pid, html, max_nodes)
+                held += own
+                rows += sum(b.num_rows for b in own)
+                size += len(html or "")
+                if rows >= BATCH_ROWS or size >= BATCH_CHARS:
+                    yield from held if len(own) > 1 else [pa.concat_batches(held)]
+                    held, rows, size = [], 0, 0
+            if held:
+                yield pa.concat_batches(held)
+    return run
+
+
+def shred_all(pages: DataFrame, max_nodes: int | None = None) -> DataFrame:
+    """pages(page_id, html, ...) -> node rows plus error rows (kind='error',
+    the html as their text). Only ``page_id`` and ``html`` cross into Python."""
     src = pages.select(F.col("page_id").cast("long"), F.col("html"))
-    return src.mapInArrow(_shred_batches, NODE_SCHEMA)
+    return src.mapInArrow(_shred_batches(max_nodes), NODE_SCHEMA)
 
 
-#: Of pages that repeat a page_id, the one with the least of these stays.
+#: Of the pages that repeat a page_id, the one with the least of these keeps it as its key.
 REPEATED = {"least_hash": lambda html: F.xxhash64(html),
             "longest": lambda html: -F.coalesce(F.length(html), F.lit(-1))}
+#: Repeated page_ids are broadcast up to this number (a few MB).
+BROADCAST_IDS = 500_000
+VERSIONS = "page_id long, given_id long, page_hash long"
+
 
+def page_keys(pages: DataFrame, repeated: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """pages(page_id, html) -> (pages with a key of their own as ``page_id``,
+    versions, rows set aside: page_id, error, html).
 
-def set_aside(again: DataFrame, repeated: str) -> tuple[DataFrame, DataFrame]:
-    """Pages that repeat a page_id -> (the one of each page_id that stays,
-    every other row). Equal pages are counted, not ranked."""
+    A page is told by its page_id and its html. Of several pages of one
+    page_id one keeps it as key, the others get a hash of both; ``versions``
+    (None where no page_id repeats) has the page_id and html hash of each key
+    of such pages. Set aside are pages without a page_id, equal copies, and
+    pages whose hashed key another page has. Only numbers are shuffled to find
+    repeats; html is, for pages that do repeat."""
     if repeated not in REPEATED:
         raise ValueError(f"repeated: one of {sorted(REPEATED)}, not {repeated!r}")
-    rank = F.struct(REPEATED[repeated](F.col("html")).alias("r"), F.xxhash64("html").alias("h"), "html")
-    forms = again.groupBy("page_id", "html").agg(F.count(F.lit(1)).alias("n"))
-    one = forms.groupBy("page_id").agg(F.min_by("html", rank).alias("html"))
-    stays = one.select("page_id", F.col("html").alias("kept"))
-    rest = (forms.join(stays, "page_id")
-            .withColumn("n", F.col("n") - F.col("html").eqNullSafe(F.col("kept")).cast("long"))
-            .where("n > 0").select("page_id", "html", F.explode(F.sequence(F.lit(1), "n"))))
-    return one, rest.select("page_id", "html")
-
-
-def shred(pages: DataFrame, repeated: str = "least_hash") -> tuple[DataFrame, DataFrame]:
-    """Returns (dom_nodes, quarantine). Quarantine rows carry the page html
-    back via a join on page_id (only for failed pages). ``repeated``: which
-    of the pages that repeat a page_id stays (``REPEATED``)."""
+    known = pages.where("page_id IS NOT NULL")
+    aside = pages.where("page_id IS NULL").select("page_id", F.lit("no page_id").alias("error"), "html")
+    again = materialize(known.groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("again")))
+    n = again.count()
+    if not n:
+        return known, None, aside
+    near = F.broadcast if n <= BROADCAST_IDS else lambda df: df
+    rank = F.struct(REPEATED[repeated](F.col("html")).cast("long").alias("r"), F.coalesce(F.md5("html"), F.lit("")).alias("h"))
+    repeats = F.col("page_id") == F.col("again")
+    forms = materialize(known.join(near(again), repeats, "left_semi").groupBy("page_id", "html")
+                        .agg(F.count(F.lit(1)).alias("n")).withColumn("rank", rank))
+    first = forms.groupBy(F.col("page_id").alias("again")).agg(F.min("rank").alias("least"))
+    forms = forms.join(near(first), repeats).drop("again").withColumn("key", F.when(F.col("rank") == F.col("least"), F.col("page_id"))
+                                                        .otherwise(F.xxhash64(F.lit(7), "page_id", "rank.h")))
+    hashed = forms.where("key <> page_id").select("key")
+    taken = (hashed.groupBy("key").count().where("count > 1").select("key")
+             .unionByName(hashed.join(known.select(F.col("page_id").alias("key")), "key", "left_semi")).distinct())
+    good = forms.join(taken, "key", "left_anti").unionByName(forms.where("key = page_id").join(taken, "key", "left_semi")
+                                                            .select("key", *[c for c in forms.columns if c != "key"]))
+    lost = forms.where("key <> page_id").join(taken, "key", "left_semi")
+    copies = forms.where("n > 1").select("page_id", "html", F.explode(F.sequence(F.lit(2).cast("long"), "n")).alias("k"))
+    aside = (aside.unionByName(copies.select("page_id", F.lit("copy of a page").alias("error"), "html"))
+             .unionByName(lost.select("page_id", F.lit("key taken by another page").alias("error"), "html")))
+    versions = materialize(good.select(
+        F.col("key").alias("page_id"), F.col("page_id").alias("given_id"), F.xxhash64("html").alias("page_hash")))
+    pages = (known.join(near(again), repeats, "left_anti")
+             .unionByName(good.select(F.col("key").alias("page_id"), "html")))
+    return pages, versions, aside
+
+
+def given_ids(df: DataFrame, versions: DataFrame | None) -> DataFrame:
+    """``df`` with keys as the page_ids that were given, and ``version``: the
+    html hash of a page whose page_id other pages have, too, else null."""
+    if versions is None:
+        return df.withColumn("version", F.lit(None).cast("long"))
+    v = versions.select("page_id", "given_id", F.col("page_hash").alias("version"))
+    out = df.join(v, "page_id", "left").withColumn("page_id", F.coalesce("given_id", "page_id"))
+    return out.select(*df.columns, "version")
+
+
+def shred(pages: DataFrame, repeated: str = "least_hash", max_nodes: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Returns (dom_nodes, quarantine, versions). ``page_id`` of the nodes is the
+    page's key (``page_keys``); the quarantine (given page_id, stage, error,
+    html) has what was set aside and the pages that failed or have more than
+    ``max_nodes`` nodes. Each page is shredded once: nodes and error rows are
+    written together and both results read what was written."""
     spark = pages.sparkSession
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "html")
-    # a page_id is the key of every later step: of pages that repeat one, one
-    # stays and the others are set aside, as are pages without a page_id
-    again = given.groupBy("page_id").count().where("count > 1 AND page_id IS NOT NULL").select("page_id")
-    one, rest = set_aside(given.join(again, "page_id", "left_semi"), repeated)
-    pages = given.where("page_id IS NOT NULL").join(again, "page_id", "left_anti").unionByName(one)
-    no_id = given.where("page_id IS NULL").select(
-        "page_id", F.lit("shred").alias("stage"), F.lit("no page_id").alias("error"), "html")
-    other = rest.select("page_id", F.lit("shred").alias("stage"), F.lit("repeated page_id").alias("error"), "html")
-    raw = shred_all(pages)
+    keyed, versions, aside = page_keys(given, repeated)
     # one hash partitioning by page_id for the whole DOM pipeline: later
     # windows, aggregates and (page_id, ...) joins reuse it without a shuffle
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes = raw.filter(F.col("kind") != "error").drop("error").repartition(nparts, "page_id")
-    bad = raw.filter(F.col("kind") == "error").select("page_id", F.lit("shred").alias("stage"), "error")
-    quarantine = bad.join(pages.select(F.col("page_id").cast("long"), "html"), "page_id", "left")
-    return nodes, quarantine.unionByName(no_id).unionByName(other)
+    raw = materialize(shred_all(keyed, max_nodes).repartition(nparts, "page_id"))
+    nodes = raw.filter(F.col("kind") != "error").drop("error")
+    bad = given_ids(raw.filter(F.col("kind") == "error").select("page_id", "error", F.col("text").alias("html")), versions)
+    stage = F.lit("shred").alias("stage")
+    quarantine = aside.select("page_id", stage, "error", "html").unionByName(bad.select("page_id", stage, "error", "html"))
+    return nodes, quarantine, versions

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from turnstile.operators.dom import enclosing
 from turnstile.session import materialize
 
 # Fixed values
@@ -101,7 +102,7 @@ def merge_clusters(cands: DataFrame, lookback: int = 3) -> DataFrame:
     nparts = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slim = cands.select(
         "page_id", "node_id", "end", "parent_id",
-        F.try_element_at("path", F.lit(-2)).alias("gparent_id"), "name",
+        "gparent_id", "name",
         F.filter(F.coalesce("classes", F.array().cast("array<string>")),
                  lambda c: ~c.rlike(UNSTABLE_CLASS)).alias("cls"))
     slim = slim.repartition(nparts, "page_id").sortWithinPartitions("page_id", "node_id")
@@ -133,8 +134,9 @@ def uncovered(members: DataFrame, cands: DataFrame, scores: DataFrame) -> DataFr
     """(page_id, cluster_id, n, score) without the clusters that a
     higher-scoring cluster covers (each member lies in one of its members).
     A page's best cluster is never among those, so only reports need this."""
-    mem = members.join(cands.select("page_id", "node_id", "path"), ["page_id", "node_id"])
-    up = mem.select("page_id", "cluster_id", "node_id", F.explode("path").alias("anc"))
+    mem = members.join(cands.select("page_id", "node_id", "end"), ["page_id", "node_id"])
+    up = (enclosing(mem, F.lit(True), proper=True).select("page_id", "node_id", F.col("mark_id").alias("anc"))
+          .join(members, ["page_id", "node_id"]))
     other = members.select("page_id", F.col("node_id").alias("anc"), F.col("cluster_id").alias("c2"))
     cover = (up.join(other, ["page_id", "anc"]).filter(F.col("c2") != F.col("cluster_id"))
              .groupBy("page_id", "cluster_id", "c2").agg(F.count_distinct("node_id").alias("k")))

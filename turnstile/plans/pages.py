@@ -9,11 +9,16 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from turnstile.functions.text import py_strip
+from turnstile.operators.dom import enclosing, subtree_text
 from turnstile.operators.extract import Options, extract, prepare
 from turnstile.operators.metrics import page_facts
 from turnstile.operators.predicates import SOURCE_RULES
+from turnstile.operators.shred import given_ids
 from turnstile.operators.topology import candidates, fingerprint, topo_blocks, uncovered
 from turnstile.sources.tables import read_table
 from turnstile.session import materialize
@@ -83,14 +88,14 @@ def page_headings_md(spark, sf_dir):
 def page_strategy(spark, sf_dir, detector: str = "auto"):
     """O59 over real pages: winning strategy and block count per page."""
     ex = extract(_pages(spark, sf_dir), Options(detector=detector))
-    return ex.turns.groupBy("page_id", "strategy").agg(
-        F.count("*").alias("n_turns"), F.sum(F.length("content")).alias("md_chars"))
+    return ex.named(ex.turns.groupBy("page_id", "strategy").agg(
+        F.count("*").alias("n_turns"), F.sum(F.length("content")).alias("md_chars")))
 
 
 def page_turns(spark, sf_dir):
     """O63 with the default (forced clustering) detector over real pages."""
     ex = extract(_pages(spark, sf_dir), Options(detector="topo"))
-    return ex.turns.select("page_id", "idx", "role", "confidence", "strategy", "content")
+    return ex.named(ex.turns).select("page_id", "version", "idx", "role", "confidence", "strategy", "content")
 
 
 def page_quarantine(spark, sf_dir):
@@ -102,41 +107,51 @@ def page_quarantine(spark, sf_dir):
 def page_density(spark, sf_dir):
     """O17/O18 from the DOM: body words (protected tree, before and after
     noise removal) and the deepest node per page."""
-    m, _, _ = prepare(_pages(spark, sf_dir), Options())
+    m, _, _, versions = prepare(_pages(spark, sf_dir), Options())
     f = page_facts(m)
     d = m.groupBy("page_id").agg(F.max("depth").alias("max_depth"), F.count("*").alias("n_nodes"))
-    return f.join(d, "page_id").select("page_id", "body_f", "body_n", "max_depth", "n_nodes")
+    return given_ids(f.join(d, "page_id").select("page_id", "body_f", "body_n", "max_depth", "n_nodes"), versions)
 
 
 def cluster_top10(spark, sf_dir, k: int = 10):
-    """The k best clusters per page with size, fingerprint and density."""
-    m, _, _ = prepare(_pages(spark, sf_dir), Options())
+    """The k best clusters per page with size, density, the fingerprint of
+    the first member and of its parent, and the first 50 characters of its text."""
+    m, _, _, versions = prepare(_pages(spark, sf_dir), Options())
     facts = materialize(page_facts(m))
     _, members, scores = topo_blocks(m, facts, with_scores=True)
+    w = Window.partitionBy("page_id").orderBy(F.col("score").desc(), "cluster_id")
+    top = scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     first = members.groupBy("page_id", "cluster_id").agg(F.min("node_id").alias("node_id"))
+    s = materialize(top.join(first, ["page_id", "cluster_id"]).join(
+        m.select("page_id", "node_id", "parent_id", "end"), ["page_id", "node_id"]))
     fp = fingerprint(m)
-    s = scores.join(first, ["page_id", "cluster_id"]).join(fp, ["page_id", "node_id"], "left")
-    w = Window.partitionBy("page_id").orderBy(F.col("score").desc(), "cluster_id")
-    return (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("page_id", "rank", "cluster_id", "n", "avg_density", "score", "fingerprint"))
+    text = subtree_text(m.filter((F.col("kind") == "text") & ~F.col("claimed") & ~F.col("in_noise")), s, F.col("text"))
+    snippet = F.substring(F.regexp_replace(py_strip(F.coalesce("txt", F.lit(""))), r"(?U)\s+", " "), 1, 50)
+    s = (s.join(fp, ["page_id", "node_id"], "left")
+         .join(fp.select("page_id", F.col("node_id").alias("parent_id"), F.col("fingerprint").alias("parent")), ["page_id", "parent_id"], "left")
+         .join(text, ["page_id", "node_id"], "left"))
+    return given_ids(s.select("page_id", "rank", "cluster_id", "n", "avg_density", "score", "fingerprint", "parent",
+                              snippet.alias("snippet")), versions)
 
 
 def clusters_uncovered(spark, sf_dir):
     """The clusters of each page that no higher-scoring one covers."""
-    m, _, _ = prepare(_pages(spark, sf_dir), Options())
+    m, _, _, versions = prepare(_pages(spark, sf_dir), Options())
     _, members, scores = topo_blocks(m, materialize(page_facts(m)), with_scores=True)
-    return uncovered(members, candidates(m), scores)
+    return given_ids(uncovered(members, candidates(m), scores), versions)
 
 
 def node_paths(spark, sf_dir, term: str = "the"):
-    """Text nodes containing ``term`` with the tag path above them."""
-    m, _, _ = prepare(_pages(spark, sf_dir), Options(raw=True))
-    hits = m.filter((F.col("kind") == "text") & F.col("text").contains(term)).select(
-        "page_id", "node_id", F.posexplode("path").alias("lvl", "anc"))
-    names = m.select("page_id", F.col("node_id").alias("anc"), "name")
-    j = hits.join(names, ["page_id", "anc"]).filter(F.col("anc") > 0)
-    return j.groupBy("page_id", "node_id").agg(
-        F.expr("listagg(name, ' -> ') WITHIN GROUP (ORDER BY lvl)").alias("tag_path"))
+    """Text nodes that contain ``term``, with the name and classes of the
+    element that holds each, and the tag path above it."""
+    m, _, _, versions = prepare(_pages(spark, sf_dir), Options(raw=True))
+    tag = F.col("kind") == "tag"
+    hits = (F.col("kind") == "text") & F.col("text").contains(term)
+    names = m.filter(tag).select("page_id", F.col("node_id").alias("mark_id"), "name", "classes")
+    up = enclosing(m, tag, hits, proper=True).join(names, ["page_id", "mark_id"])
+    return given_ids(up.groupBy("page_id", "node_id").agg(
+        F.max_by("name", "level").alias("name"), F.array_join(F.max_by("classes", "level"), " ").alias("classes"),
+        F.expr("listagg(name, ' -> ') WITHIN GROUP (ORDER BY level)").alias("tag_path")), versions)
 
 
 _CLEAN_SQL = r"regexp_replace(html, '(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g')"
@@ -237,7 +252,7 @@ def node_predicates(spark, sf_dir):
     """O20, O21, O89, O94 per page: UI elements, empty tags, scrubbed
     attributes, and class similarity of each tag with its parent."""
     from turnstile.operators.predicates import class_jaccard, is_empty_node, is_ui_element, scrub_attrs
-    m, _, _ = prepare(_pages(spark, sf_dir), Options(raw=True))
+    m, *_ = prepare(_pages(spark, sf_dir), Options(raw=True))
     t = m.filter(F.col("kind") == "tag")
     par = t.select("page_id", F.col("node_id").alias("parent_id"), F.col("classes").alias("pcls"))
     t = t.join(par, ["page_id", "parent_id"], "left")
@@ -284,7 +299,7 @@ def page_markup_ratio(spark, sf_dir):
     """Visible text characters over source characters, per tag; the page
     row carries the body's ratio and the mean over its tags."""
     from turnstile.operators.dom import subtree_sums
-    m, _, _ = prepare(_pages(spark, sf_dir), Options(raw=True))
+    m, *_ = prepare(_pages(spark, sf_dir), Options(raw=True))
     chars = F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
     s = subtree_sums(m, {"c": F.when(F.col("kind") == "text", chars).otherwise(0)})
     t = m.join(s, ["page_id", "node_id"]).filter(F.col("kind") == "tag")
@@ -298,19 +313,21 @@ def page_markup_ratio(spark, sf_dir):
 QUERIES["page_markup_ratio"] = page_markup_ratio
 
 
-def page_diagnostics(spark, sf_dir, detector: str = "auto"):
+def page_diagnostics(spark, sf_dir, detector: str = "auto", date: str = "1970-01-01T00:00:00"):
     """Run facts per page — winning strategy, block count, protected
-    entries by type, options and version."""
+    entries by type, the options as a map, version and date (a job parameter)."""
     import turnstile
-    ex = extract(_pages(spark, sf_dir), Options(detector=detector))
+    opts = Options(detector=detector)
+    ex = extract(_pages(spark, sf_dir), opts)
     prot = ex.protected.groupBy("page_id").agg(
         F.count("*").alias("n_protected"),
         F.sum((F.col("ptype") == "code").cast("int")).alias("n_code"),
         F.sum((F.col("ptype") == "mermaid").cast("int")).alias("n_mermaid"),
         F.sum((F.col("ptype") == "math").cast("int")).alias("n_math"))
-    return (ex.diagnostics.join(prot, "page_id", "left").fillna(0, ["n_protected", "n_code", "n_mermaid", "n_math"])
-            .withColumn("options", F.lit(f"detector={detector}"))
-            .withColumn("version", F.lit(turnstile.__version__)))
+    out = ex.diagnostics.join(prot, "page_id", "left").fillna(0, ["n_protected", "n_code", "n_mermaid", "n_math"])
+    options = F.create_map(*[F.lit(str(x)) for kv in sorted(asdict(opts).items()) for x in kv])
+    return ex.named(out).withColumn("options", options).withColumn("date", F.lit(date)).withColumn(
+        "engine", F.lit(turnstile.__version__))
 
 
 def locate_nodes(spark, sf_dir, attr: str = "class", value: str = "ad", k: int = 5):
@@ -318,7 +335,7 @@ def locate_nodes(spark, sf_dir, attr: str = "class", value: str = "ad", k: int =
     first ``k`` per page; a null cluster means the node is in none. The
     reference looks for ``data-section-id``; the driver pages carry none, so
     the default here is ``class=ad``."""
-    m, _, _ = prepare(_pages(spark, sf_dir), Options())
+    m, *_ = prepare(_pages(spark, sf_dir), Options())
     facts = materialize(page_facts(m))
     _, members, _ = topo_blocks(m, facts, with_scores=True)
     has = F.col("attrs")[attr].isNotNull()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnstile.plans import chat_documents, conversations, documents, pages, planted, roundtrip
+from turnstile.plans import chat_documents, conversations, documents, pages, planted, roundtrip, structure
 
 
 def _modules():
-    return [conversations, roundtrip, pages, documents, planted, chat_documents]
+    return [conversations, roundtrip, pages, documents, planted, chat_documents, structure]
 
 
 def queries():

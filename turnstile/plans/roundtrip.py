@@ -76,7 +76,7 @@ def legacy_code(spark, sf_dir):
     monolith's fence format (no space after the fence)."""
     from turnstile.operators.extract import Options as _O, prepare
     from turnstile.operators.legacy import legacy_code_blocks
-    m, _, _ = prepare(chat_pages(spark, sf_dir, "data_attr"), _O(raw=True))
+    m, *_ = prepare(chat_pages(spark, sf_dir, "data_attr"), _O(raw=True))
     return legacy_code_blocks(m).select(F.col("page_id").alias("conv_id"), "kind", "lang", "formatted")
 
 
@@ -121,11 +121,11 @@ def table_gfm(spark, sf_dir):
 
 
 def rt_parts(spark, sf_dir):
-    """Typed parts of each turn (text / code / mermaid / math_inline)."""
+    """Typed parts of each turn (text / code / mermaid / math_inline), and the language of code."""
     ex = extract(chat_pages(spark, sf_dir, "data_attr"), Options(detector="heuristic"))
     p = typed_parts(ex.turns, ex.raw_content, ex.protected)
     return p.select(F.col("page_id").alias("conv_id"), F.col("block_idx").alias("idx"), "pos", "type",
-                    "content")
+                    "content", "language")
 
 
 def quality_report(spark, sf_dir):
@@ -219,15 +219,16 @@ ORACLE["legacy_code"] = f"""
 ORACLE["rt_parts"] = f"""
     WITH p AS {_PLANTED}
     SELECT conv_id, turn AS idx, 0 AS pos, 'text' AS type,
-           CASE WHEN kind = 'math' THEN text || {NL} || {NL} || 'Formula' ELSE text END AS content FROM p
+           CASE WHEN kind = 'math' THEN text || {NL} || {NL} || 'Formula' ELSE text END AS content, NULL::VARCHAR AS language FROM p
     UNION ALL
     SELECT conv_id, turn, 1, CASE WHEN kind = 'math' THEN 'math_inline' ELSE kind END,
            CASE kind WHEN 'code' THEN '``` python' || {NL} || raw || {NL} || '```'
                      WHEN 'mermaid' THEN '```mermaid' || {NL} || raw || {NL} || '```'
-                     ELSE '$' || raw || '$' END
+                     ELSE '$' || raw || '$' END,
+           CASE kind WHEN 'code' THEN 'python' WHEN 'mermaid' THEN 'mermaid' END
     FROM p WHERE kind IS NOT NULL
     UNION ALL
-    SELECT conv_id, turn, 2, 'text', 'here.' FROM p WHERE kind = 'math'"""
+    SELECT conv_id, turn, 2, 'text', 'here.', NULL FROM p WHERE kind = 'math'"""
 ORACLE["quality_report"] = f"""
     WITH r AS ({CONV_ORACLE['role_alternation']})
     SELECT c.conv_id, count(*) AS n_true, count(*) AS n_found, count(*) AS n_detected,

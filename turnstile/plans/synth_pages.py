@@ -8,6 +8,10 @@ Templates
 * ``separator``  — plain ``div`` turns separated by ``hr``
 * ``topology``   — ``div.chat > div.msg > div.content`` without role words
 * ``studio``     — ``ms-chat-turn[data-turn-role] > div > ms-text-chunk`` (per-source rule)
+* ``author``     — ``div[data-message-author-role] > div.markdown`` (per-source rule)
+* ``elements``   — ``user-query`` / ``model-response`` ``> message-content`` (per-source rule)
+* ``flux``       — one to four siblings a turn, turns separated by ``hr``
+* ``markup``     — ``data_attr`` turns with lists, quotes, emphasis, links, images, a ragged table
 Each page carries a role-marked nav and banner and a script as noise.
 Assistant turns of the first two templates carry a planted code block,
 diagram or formula, chosen by a hash of ``(conv_id, turn)``.
@@ -73,13 +77,39 @@ def _turn_html(template: str) -> Column:
                  .otherwise(F.lit("System"))
         return F.concat(F.lit('<ms-chat-turn data-turn-role="'), label, F.lit('"><div class="turn-container">'
                               '<ms-text-chunk><p>'), text, F.lit("</p></ms-text-chunk></div></ms-chat-turn>"))
+    if template == "author":
+        return F.concat(F.lit('<div data-message-author-role="'), role, F.lit('" data-message-id="'), turn.cast("string"),
+                        F.lit('"><div class="markdown"><p>'), text, F.lit("</p></div></div>"))
+    if template == "elements":
+        name = F.when(role == "user", F.lit("user-query")).when(role == "assistant", F.lit("model-response")).otherwise(F.lit("aside"))
+        return F.concat(F.lit("<"), name, F.lit('><div class="box"><message-content><p>'), text,
+                        F.lit("</p></message-content></div></"), name, F.lit(">"))
+    if template == "flux":
+        more = (conv + turn) % 4
+        return F.concat(F.when(turn > 0, F.lit("<hr>")).otherwise(F.lit("")), F.lit("<p>"), text, F.lit("</p>"),
+                        F.when(more >= 1, F.concat(F.lit("<div>second of "), turn.cast("string"), F.lit("</div>"))).otherwise(F.lit("")),
+                        F.when(more >= 2, F.lit("<ul><li>third</li></ul>")).otherwise(F.lit("")),
+                        F.when(more >= 3, F.concat(F.lit("<p>fourth <b>"), conv.cast("string"), F.lit("</b></p>"))).otherwise(F.lit("")))
+    if template == "markup":
+        t = turn.cast("string")
+        return F.concat(
+            F.lit('<div data-testid="conversation-turn-'), t, F.lit('" class="'), role, F.lit('-turn"><div class="markdown"><p>'), text,
+            F.lit("</p><ul><li>one "), t, F.lit("</li><li><strong>two</strong></li></ul><ol><li>x</li></ol><blockquote> outer<blockquote><p>inner "),
+            conv.cast("string"), F.lit('</p> </blockquote></blockquote><p><em>em</em> <code>co</code><br>after '
+                                       '<img src="/i.png" alt="pic"> <a href="/u"> link </a></p><hr>'
+                                       "<table><tr><th>h1</th><th>h2</th></tr><tr><td>"), t,
+            F.lit("</td></tr><tr><td>a</td><td><b>b</b></td><td>c</td></tr></table></div></div>"))
     raise ValueError(template)
 
 
 def chat_pages(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     """pages(page_id, url, html) with page_id = conv_id."""
-    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    t = c.withColumn("h", _turn_html(template))
+    return pages_of(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), template)
+
+
+def pages_of(turns: DataFrame, template: str) -> DataFrame:
+    """The same of given turns (conv_id, turn, role, text)."""
+    t = turns.withColumn("h", _turn_html(template))
     g = t.groupBy("conv_id").agg(F.expr("listagg(h, '') WITHIN GROUP (ORDER BY turn)").alias("turns"))
     inner = F.col("turns")
     if template == "topology":
