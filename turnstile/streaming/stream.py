@@ -78,6 +78,8 @@ def start_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint
                  opts: Options | None = None, max_files_per_trigger: int | None = None, keep_ms: int | None = None):
     opts = opts or Options()
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)  # keyed state with entries needs it
+    if keep_ms:  # timers alone would start batch after batch, so that a run over what is there never ends
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     reader = spark.readStream.schema(PAGE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
