@@ -97,22 +97,19 @@ def subtree_text(rows: DataFrame, targets: DataFrame, text: Column, sep: str = "
     more than what they return."""
     keys = list(keys)
     piece = F.concat(F.coalesce(text, F.lit("")), F.lit(sep)).cast("binary")
-    own = targets.select(*keys, "node_id", "end").distinct()
-    pieces = (rows.select(*keys, "node_id", piece.alias("_t"))
-              .join(own.select(*keys).distinct(), keys, "left_semi"))
-    whole = pieces.groupBy(*keys).agg(F.expr("listagg(_t) WITHIN GROUP (ORDER BY node_id)").alias("_whole"))
-    none = F.lit(None).cast("int")
-    events = (pieces.select(*keys, F.col("node_id").alias("_at"), F.lit(1).alias("_k"), none.alias("node_id"),
-                            F.octet_length("_t").cast("long").alias("_n"))
-              .unionByName(own.select(*keys, F.col("node_id").alias("_at"), F.lit(0).alias("_k"), "node_id",
-                                      F.lit(0).cast("long").alias("_n")))
-              .unionByName(own.select(*keys, F.col("end").alias("_at"), F.lit(2).alias("_k"), "node_id",
-                                      F.lit(0).cast("long").alias("_n"))))
+    none, zero = F.lit(None).cast("int"), F.lit(0).cast("long")
+    event = lambda at, k: F.struct(F.col(at).alias("_at"), F.lit(k).alias("_k"))
+    # pieces between the targets' begins (0) and ends (2): each side is read once, and both meet in one exchange
+    pieces = rows.select(*keys, F.col("node_id").alias("_at"), F.lit(1).alias("_k"), none.alias("node_id"), piece.alias("_t"))
+    cuts = (targets.select(*keys, "node_id", F.explode(F.array(event("node_id", 0), event("end", 2))).alias("_e"))
+            .select(*keys, "_e._at", "_e._k", "node_id", F.lit(None).cast("binary").alias("_t")))
     along = Window.partitionBy(*keys).orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = (events.withColumn("_sum", F.sum("_n").over(along)).filter("node_id IS NOT NULL")
-            .groupBy(*keys, "node_id").agg(F.min("_sum").alias("_from"), F.max("_sum").alias("_to")).filter("_to > _from"))
-    per = cuts.groupBy(*keys).agg(F.collect_list(F.struct("node_id", "_from", "_to")).alias("_cuts"))
-    cut = F.transform("_cuts", lambda c: F.struct(c["node_id"].alias("node_id"), F.substring(
-        F.col("_whole"), (c["_from"] + 1).cast("int"),
-        (c["_to"] - c["_from"] - len(sep.encode())).cast("int")).cast("string").alias("txt")))
-    return per.join(whole, keys).select(*keys, F.explode(cut).alias("_c")).select(*keys, "_c.node_id", "_c.txt")
+    events = pieces.unionByName(cuts).withColumn("_sum", F.sum(F.coalesce(F.octet_length("_t").cast("long"), zero)).over(along))
+    side = lambda k: F.array_sort(F.collect_list(F.when(F.col("_k") == k, F.struct("node_id", "_sum"))))
+    per = events.groupBy(*keys).agg(F.expr("listagg(_t) WITHIN GROUP (ORDER BY _at)").alias("_whole"),
+                                    side(0).alias("_from"), side(2).alias("_to")).filter("size(_from) > 0")
+    spans = F.array_distinct(F.zip_with("_from", "_to", lambda a, b: F.struct(
+        a["node_id"].alias("node_id"), a["_sum"].alias("a"), b["_sum"].alias("b"))))
+    cut = F.transform(F.filter(spans, lambda c: c["b"] > c["a"]), lambda c: F.struct(c["node_id"].alias("node_id"), F.substring(
+        F.col("_whole"), (c["a"] + 1).cast("int"), (c["b"] - c["a"] - len(sep.encode())).cast("int")).cast("string").alias("txt")))
+    return per.select(*keys, F.explode(cut).alias("_c")).select(*keys, "_c.node_id", "_c.txt")
