@@ -189,10 +189,11 @@ LEAKY = [(10, "Well, alpha-beta gamma; DELTA epsilon zeta eta theta iota kappa a
          (15, "x alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu y " * 3)]
 
 
-@pytest.mark.parametrize("shard_words", [decontaminate.SHARD_WORDS, 5])
-def test_scan_job(spark, bench, shard_words):
+@pytest.mark.parametrize("shard_words, pass_shards", [(decontaminate.SHARD_WORDS, 4), (5, 1000), (5, 2)])
+def test_scan_job(spark, bench, shard_words, pass_shards):
     items, table = bench
-    rows = decontaminate.scan(spark, documents(spark, LEAKY + ODD), table, shard_words=shard_words).collect()
+    rows = decontaminate.scan(spark, documents(spark, LEAKY + ODD), table, shard_words=shard_words,
+                              pass_shards=pass_shards).collect()
     got = sorted(((r.doc_id, r.n_words, [i for s in r.spans for i in range(s.start, s.end)], r.item_ids) for r in rows), key=str)
     want = []
     for d, t in LEAKY + ODD:
@@ -201,10 +202,31 @@ def test_scan_job(spark, bench, shard_words):
     assert got == sorted(want, key=str)
 
 
-def test_remove(spark, bench, nothing):
+def test_pieces_hold_every_window_and_long_items_are_cut(spark):
+    for n in range(30):
+        for window, most in ((3, 3), (3, 7), (4, 10), (5, 2)):
+            words = [b"%d" % k for k in range(n)]
+            cut = list(decontaminate.pieces(words, window, most))
+            if n < window:
+                assert cut == [words]
+            else:
+                assert all(window <= len(p) <= max(most, window) for p in cut)
+                assert {tuple(p[k:k + window]) for p in cut for k in range(len(p) - window + 1)} == {
+                    tuple(words[k:k + window]) for k in range(n - window + 1)}
+    long = " ".join(f"w{k}" for k in range(300))
+    table = spark.createDataFrame([(7, long), (7, long), (8, long)], "item_id long, text string")
+    assert decontaminate.build(table, 10, 50).count() > 10
+    docs = documents(spark, [(1, long), (1, long), (2, "x w44 " + " ".join(f"w{k}" for k in range(45, 56)) + " y")])
+    got = sorted((r.doc_id, r.n_words, [tuple(s) for s in r.spans], r.item_ids)
+                 for r in decontaminate.scan(spark, docs, table, shard_words=50, pass_shards=3).collect())
+    assert got == [(1, 300, [(0, 300)], ["7", "8"])] * 2 + [(2, 14, [(1, 13)], ["7", "8"])]
+
+
+@pytest.mark.parametrize("shard_words, pass_shards", [(decontaminate.SHARD_WORDS, 4), (5, 2)])
+def test_remove(spark, bench, nothing, shard_words, pass_shards):
     _, table = bench
     docs = documents(spark, LEAKY + ODD, "row string,coverage double,score double")
-    out = decontaminate.remove(spark, docs, table, max_coverage=0.8)
+    out = decontaminate.remove(spark, docs, table, max_coverage=0.8, shard_words=shard_words, pass_shards=pass_shards)
     assert out.columns == docs.columns
     texts = {(r.doc_id, r.text) for r in out.collect()}
     assert {(d, t) for d, t in ODD} <= texts                       # clean rows are as they were, null text too
