@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from turnstile.plans import chat_documents, conversations, documents, pages, planted, roundtrip, structure
+from turnstile.plans import chat_documents, conversations, documents, node_rules, pages, planted, roundtrip, structure
 
 
 def _modules():
-    return [conversations, roundtrip, pages, documents, planted, chat_documents, structure]
+    return [conversations, roundtrip, pages, documents, planted, chat_documents, structure, node_rules]
 
 
 def queries():
