@@ -1,7 +1,8 @@
 """Rules on nodes and blocks where each fires, against SQL: interface and
 empty elements and attribute names (O20, O21, O89), unfenced diagrams (O38),
 protected blocks in one another and repeated (O32, O33), raw mode (O35), the
-repetition probe (O42) and regrouped fragments (O97).
+repetition probe (O42), regrouped fragments (O97), signature clusters (O55-O57)
+and the older pipeline (O22-O24, O52, O62, O80).
 
 Pages are built from ``conversations`` by a Spark job; texts stay whole."""
 
@@ -11,8 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnstile.functions.text import py_strip
 from turnstile.operators.extract import Options, extract, prepare, regroup
+from turnstile.operators.legacy import legacy_extract
 from turnstile.operators.predicates import is_empty_node, is_ui_element, scrub_attrs, wrap_mermaid
 from turnstile.operators.probes import heuristic_blocks
+from turnstile.operators.roles import LEGACY_MODEL, LEGACY_USER
+from turnstile.operators.topology import signature_blocks
 from turnstile.plans.conversations import ORACLE as CONVERSATIONS
 from turnstile.plans.planted import _WORDS_SQL
 from turnstile.plans.synth_pages import esc
@@ -25,11 +29,15 @@ def _text(name: str) -> Column:
     return F.col(name).cast("string")
 
 
-def _pages(spark: SparkSession, sf_dir: str, turn_html: Column) -> DataFrame:
-    """One page for each conversation, ``turn_html`` of its turns within ``main``."""
-    t = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").withColumn("h", turn_html)
-    g = t.groupBy("conv_id").agg(F.expr("listagg(h, '') WITHIN GROUP (ORDER BY turn)").alias("turns"))
-    html = F.concat(F.lit("<html><body><main>"), F.col("turns"), F.lit("</main></body></html>"))
+def _pages(spark: SparkSession, sf_dir: str, turn_html: Column, **others: Column) -> DataFrame:
+    """One page for each conversation, ``turn_html`` of its turns within
+    ``main``, then what ``others`` give, within elements of these names."""
+    parts = {"main": turn_html, **others}
+    t = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    g = (t.select("conv_id", "turn", *[h.alias(n) for n, h in parts.items()]).groupBy("conv_id")
+         .agg(*[F.expr(f"listagg({n}, '') WITHIN GROUP (ORDER BY turn)").alias(n) for n in parts]))
+    html = F.concat(F.lit("<html><body>"), *[x for n in parts for x in (F.lit(f"<{n}>"), F.col(n), F.lit(f"</{n}>"))],
+                    F.lit("</body></html>"))
     return g.select(F.col("conv_id").alias("page_id"), F.lit("").alias("url"), html.alias("html"))
 
 
@@ -159,6 +167,50 @@ def rt_fragments(spark, sf_dir):
     return r.select(F.col("page_id").alias("conv_id"), "idx", "role", "confidence", py_strip(F.col("content")).alias("content"))
 
 
+# ---- O55, O56, O57 ----
+
+def signature_planted(spark, sf_dir):
+    """Every turn is an element of five words in ``main``, with a line
+    break if its number is odd (signatures that agree but for one child) and of
+    one word if it is 3 modulo 4 (let in again if its signature wins), and one
+    of nine words in ``aside`` (``turn`` + 1000) at irregular places."""
+    turn, t = F.col("turn"), _text("turn")
+    even = F.concat(F.lit('<div class="even" data-t="'), t, F.lit('">'),
+                    F.when(turn % 4 == 3, F.lit("tiny")).otherwise(F.concat(F.lit("word number "), t, F.lit(" of five"))),
+                    F.when(turn % 2 == 1, F.lit("<br>")).otherwise(F.lit("")), F.lit("</div>"))
+    odd = F.concat(F.repeat(F.lit("<hr>"), (turn * turn % 5).cast("int")), F.lit('<p class="odd" data-t="'),
+                   (turn + 1000).cast("string"), F.lit('">one two three four five six seven eight nine</p>'))
+    text = F.concat(F.lit('<section class="k'), t, F.lit('x">'), esc(F.col("text")), F.lit("</section>"))
+    m, *_ = prepare(_pages(spark, sf_dir, even, aside=odd, address=text), Options(raw=True))
+    return (signature_blocks(m).join(_marked(m).select("page_id", "node_id", "turn"), ["page_id", "node_id"])
+            .select(F.col("page_id").alias("conv_id"), "turn"))
+
+
+# ---- O22-O24, O52, O62, O80 ----
+
+LONG = "These twelve words make every turn dense enough to be a block."
+
+
+def rt_older(spark, sf_dir):
+    """Each turn is a bubble with a short child that
+    names its speaker, an interface tag, a button, a line that is only a label,
+    a heading, emphasis, a link, a list, a quote and a table; every third
+    turn has no speaker, so that length or place decides."""
+    name = F.when(F.col("turn") % 3 == 2, F.lit("note")).when(F.col("role") == "user", F.lit("human")).otherwise(F.lit("gpt"))
+    bubble = F.concat(
+        F.lit('<div class="bubble"><header>gone</header><b class="copy-btn">Copy</b><p>Thinking.</p><i>'), name, F.lit("</i><p> "),
+        esc(F.col("text")), F.lit(f"</p><p>{LONG}</p><h3> Title "), _text("turn"),
+        F.lit('</h3><p>see <strong>bold</strong> <a href="/u"> link </a><a>bare</a></p><ul><li> first</li><li>next</li></ul>'
+              "<blockquote>said</blockquote><table><tr><th>k</th><th>v</th></tr><tr><td>"), _text("conv_id"),
+        F.lit("</td><td> x </td></tr></table></div>"))
+    first = F.when(F.col("turn") == 0, F.lit(f'<div class="bubble"><p>{LONG}</p></div>')).otherwise(F.lit(""))
+    r = legacy_extract(_pages(spark, sf_dir, F.concat(first, bubble)))
+    return r.select(F.col("page_id").alias("conv_id"), "idx", "label", F.round("confidence", 6).alias("confidence"), "content")
+
+
+_LONG = f"'{LONG}'"
+#: Strings of a bubble beside its name, text and numbers.
+_OTHERS = len(LONG) + sum(map(len, ("Title", "see", "bold", "link", "bare", "first", "next", "said", "k", "v", "x"))) + 1
 _KEPT = ("class,data-t", "class,data-t,n_,ngx", "class,data-_a,data-t")
 
 ORACLE = {
@@ -197,6 +249,41 @@ ORACLE = {
         SELECT c.conv_id, c.turn AS idx, r.inferred_role AS role, r.confidence,
                CASE WHEN {_WORDS_SQL.replace('text', 'c.text')} > 5 THEN c.text ELSE '' END || {_text_sql(''.join(PARTS))} AS content
         FROM conversations c JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn""",
+    "signature_planted": """
+        WITH sized AS (SELECT conv_id, turn, turn % 2 AS sig, turn % 4 <> 3 AS dense FROM conversations),
+        clusters AS (SELECT conv_id, sig FROM sized WHERE dense GROUP BY conv_id, sig HAVING count(*) >= 2),
+        m AS (
+          SELECT conv_id, 0 AS part, 5 AS words, turn + 1 AS place FROM sized JOIN clusters USING (conv_id, sig) WHERE dense
+          UNION ALL
+          SELECT conv_id, 1, 9, place FROM (
+            SELECT conv_id, sum(1 + turn * turn % 5) OVER (PARTITION BY conv_id ORDER BY turn) AS place,
+                   count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE n >= 2),
+        g AS (SELECT *, place - lag(place) OVER (PARTITION BY conv_id, part ORDER BY place) AS gap FROM m),
+        s AS (
+          SELECT conv_id, part, count(*) * avg(words) * CASE WHEN count(*) < 3 THEN 1.0::DOUBLE
+                 ELSE 1.0::DOUBLE / (1.0::DOUBLE + var_pop(gap)) END AS score FROM g GROUP BY conv_id, part),
+        best AS (SELECT conv_id, part FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, part) = 1)
+        SELECT conv_id, turn FROM sized JOIN clusters USING (conv_id, sig) JOIN best USING (conv_id) WHERE part = 0
+        UNION ALL
+        SELECT conv_id, turn + 1000 AS turn FROM conversations JOIN best USING (conv_id) WHERE part = 1""",
+    "rt_older": f"""
+        WITH c AS (
+          SELECT conv_id, turn, turn + 1 AS idx, text,
+                 CASE WHEN turn % 3 = 2 THEN 'note' WHEN role = 'user' THEN 'human' ELSE 'gpt' END AS name,
+                 regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS own FROM conversations),
+        n AS (
+          SELECT *, length(name) + length(own) + length(turn::VARCHAR) + length(conv_id::VARCHAR) + {_OTHERS} AS chars,
+                 (name = 'human')::INT + (length(own) < 30 AND regexp_matches(own, '(?i){LEGACY_USER}'))::INT AS cu,
+                 (name = 'gpt')::INT + (length(own) < 30 AND regexp_matches(own, '(?i){LEGACY_MODEL}'))::INT AS cm FROM c),
+        v AS (SELECT *, 2 * cu + (chars < 150)::INT AS u0, 2 * cm + (chars > 300)::INT AS m0 FROM n),
+        w AS (SELECT *, u0 + (u0 = m0 AND idx % 2 = 0)::INT AS u, m0 + (u0 = m0 AND idx % 2 = 1)::INT AS m FROM v)
+        SELECT conv_id, idx, CASE WHEN u > m THEN 'User' ELSE 'Model' END AS label,
+               round(greatest(u, m)::DOUBLE / (u + m), 6) AS confidence,
+               '*' || name || '*' || {NL} || own || {NL} || {NL} || {_LONG} || {NL} || {NL} || '### Title ' || turn || {NL} || {NL}
+               || 'see **bold** [link](/u)bare' || {NL} || {NL} || '- first' || {NL} || '- next' || {NL} || {NL} || '> said' || {NL} || {NL}
+               || '| k | v |' || {NL} || '| --- | --- |' || {NL} || '| ' || conv_id || ' | x |' AS content FROM w
+        UNION ALL
+        SELECT conv_id, 0 AS idx, 'User' AS label, 1.0::DOUBLE AS confidence, {_LONG} AS content FROM conversations WHERE turn = 0""",
 }
 
 QUERIES = {
@@ -206,4 +293,6 @@ QUERIES = {
     "rt_raw": rt_raw,
     "rt_repetition": rt_repetition,
     "rt_fragments": rt_fragments,
+    "signature_planted": signature_planted,
+    "rt_older": rt_older,
 }
