@@ -77,7 +77,7 @@ def typed_parts(turns: DataFrame, raw_content: DataFrame, protected: DataFrame)
         "page_id", "block_idx", (F.col("i") * 2).alias("at"), F.lit("text").alias("type"), text.alias("content"),
         none.alias("language")).filter(F.col("content") != "")
     ks = segs.select("page_id", "block_idx", F.posexplode("ks").alias("i", "key")).join(
-        protected, ["page_id", "key"], "left")
+        protected.hint("merge"), ["page_id", "key"], "left")
     typ = (F.when(F.col("ptype") == "math", F.when(F.col("formatted").startswith("$$"), "math_block")
                   .otherwise("math_inline"))
            .otherwise(F.coalesce("ptype", F.when(F.col("key").startswith("|"), "table")
