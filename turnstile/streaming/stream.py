@@ -3,7 +3,8 @@ in a directory are extracted by a Structured Streaming query.
 
 * source: ``readStream`` parquet files ``(page_id, url, html)``;
 * what was seen of a page is keyed state (``transformWithState``): by page_id
-  the html hashes, each an entry of its own, and their number. A page with
+  the html hashes, each an entry of its own, and their number; pages are dealt
+  into ``GROUPS`` groups, as a call into Python for each page costs far more than its entries. A page with
   html that was not seen gets the next ``revision`` and is extracted; one that
   was seen is written to a table of its own and not extracted again. Pages
   without an id count as delivered again if their html is the same;
@@ -37,26 +38,30 @@ SEEN_SCHEMA = "page_id long, url string, html string, page_hash long, revision i
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups of the state step: pages share a group's call into Python and its entries, which are by page.
+GROUPS = 2048
+
+
 class SeenPages(StatefulProcessor):
-    """Per page: its html hashes (a map, one entry each) and their number."""
+    """Per page: its html hashes and their number, one entry each in a group's maps."""
 
     def __init__(self, keep_ms: int | None = None) -> None:
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hashes = handle.getMapState("hashes", "page_hash long", "revision int", self.keep_ms)
-        self.count = handle.getValueState("count", "n int", self.keep_ms)
+        self.hashes = handle.getMapState("hashes", "page string, page_hash long", "revision int", self.keep_ms)
+        self.count = handle.getMapState("count", "page string", "n int", self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
             revision, again = [], []
-            for h in part["page_hash"]:
-                seen = self.hashes.getValue((int(h),)) if self.hashes.containsKey((int(h),)) else None
+            for page, h in zip(part["page"], part["page_hash"]):
+                seen = self.hashes.getValue((page, int(h)))
                 again.append(seen is not None)
                 if seen is None:
-                    n = (self.count.get()[0] if self.count.exists() else 0) + 1
-                    self.count.update((n,))
-                    self.hashes.updateValue((int(h),), (n,))
+                    n = (self.count.getValue((page,)) or (0,))[0] + 1
+                    self.count.updateValue((page,), (n,))
+                    self.hashes.updateValue((page, int(h)), (n,))
                     seen = (n,)
                 revision.append(seen[0])
             yield pd.DataFrame({"page_id": part["page_id"].astype("Int64"), "url": part["url"], "html": part["html"],
@@ -70,7 +75,8 @@ def seen(src: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """Each delivered page with its hash, its revision and whether it was seen before."""
     own = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("no id "), F.sha2(F.coalesce("html", F.lit("")), 256)))
     rows = src.select("page_id", "url", "html", F.xxhash64("html").alias("page_hash"), own.alias("page"))
-    return rows.groupBy("page").transformWithStateInPandas(
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page"), F.lit(GROUPS)))
+    return rows.groupBy("part").transformWithStateInPandas(
         SeenPages(keep_ms), SEEN_SCHEMA, "Append", "ProcessingTime" if keep_ms else "None")
 
 
