@@ -73,6 +73,66 @@ def test_unigram_viterbi_against_all_segmentations():
             assert "".join(table[i][0] for i in ids) == word
 
 
+def test_words_met_again_stay_when_memory_is_full(model, library, monkeypatch):
+    encoded, rows = [], model._read
+    monkeypatch.setattr(model, "_read", lambda word, last: encoded.append(word) or rows(word, last))
+    encoder = pieces.Encoder(model, memo_words=6)
+    batches = [["one two"], ["two one"], ["three four five"], ["six seven one two"], ["one two " + "x" * 70 + " one"]]
+    for texts in batches:
+        assert [x.tolist() for x in encoder.encode(texts)] == [library.encode(t) for t in texts]
+    assert len(encoded) == len(set(encoded)) == 8  # no word twice
+    assert len(encoder.memo) == len(encoder.again) == len(encoder.start) - 1 <= 6
+
+
+def test_ends_are_the_pieces_that_end_at_a_position(monkeypatch):
+    rng = random.Random(4)
+    for steps in (0, 3, 1000):  # with little room for remembered steps too
+        monkeypatch.setattr(pieces, "MEMO_STEPS", steps)
+        texts = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(20)})
+        m = pieces.Pieces([("<unk>", 0.0)] + [(p, 0.0) for p in texts], "bpe", {0}, 0, None, dummy_prefix=False)
+        for _ in range(20):
+            word, state = "".join(rng.choice("abcd") for _ in range(12)), 0
+            for i, c in enumerate(word, 1):
+                state = m.go[state][c] if c in m.go[state] else m._step(state, c)
+                here = sorted((p for p in texts if word[:i].endswith(p)), key=len, reverse=True)
+                assert [(m.table[p][0], back) for back, p in m.ends[state]] == [(p, -len(p)) for p in here]
+        assert m.steps <= steps
+
+
+def merged(scores, text):
+    """The merges one by one: the best pair first, the left one of equals."""
+    symbols = list(text)
+    while pairs := [(-scores[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in scores]:
+        i = min(pairs)[1]
+        symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+    return symbols
+
+
+def test_merges_of_made_up_models():
+    rng = random.Random(5)
+    for _ in range(60):
+        texts = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(25)} | set("abc")
+        scores = {p: -float(rng.randint(0, 9)) for p in sorted(texts)}  # equal scores too
+        # where two pieces that merge to themselves may stay side by side
+        m = pieces.Pieces([("<unk>", 0.0), *scores.items()], "bpe", {0}, 0, None, dummy_prefix=False)
+        for a in scores:
+            assert m._fit(-1, m.ids[a]) == (merged(scores, a) == [a])
+            for b in scores:
+                ok = merged(scores, a) == [a] and merged(scores, b) == [b] and apart(scores, a, b)
+                assert m._fit(m.ids[a], m.ids[b]) == ok
+
+
+def apart(scores, a, b):
+    """Whether no merge of the two texts side by side reaches over the edge."""
+    symbols = list(a + b)
+    while pairs := [(-scores[x + y], i) for i, (x, y) in enumerate(zip(symbols, symbols[1:])) if x + y in scores]:
+        i = min(pairs)[1]
+        if sum(map(len, symbols[:i + 1])) == len(a):
+            return False
+        symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+    return True
+
+
 def test_encode_decode_job(spark, odd, nothing):
     rows = pieces.encode(spark, odd, check=True)
     assert rows.count() == len(ODD) and rows.where("round_trip").count() == len(ODD)
